@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from .filters import vocabulary_filter
-from .rouge import rouge_l, rouge_n, tokenize_pairs
+from .rouge import f1_scores
 
 SCORES = ["rouge1", "rouge2", "rougeL", "rougeLsum"]
 
@@ -64,43 +64,32 @@ def score_samples(
     stem: bool = True, lcs: bool = True, keep: list[str] | None = None,
 ) -> DataFrame:
     """Per-pair F1 scores in percent beside the columns of the pair."""
-    tokens = tokenize_pairs(pairs, key, ref, pred, stem)
-    scores = rouge_n(tokens, key)
-    names = ["rouge1", "rouge2"]
-    if lcs:
-        scores = scores.join(rouge_l(tokens, key), key)
-        names = SCORES
-    rounded = scores.select(key, *[_percent(F.col(f"{n}_f1")).alias(n) for n in names])
+    scores = f1_scores(pairs, key, ref, pred, stem, lcs)
+    rounded = scores.select(key, *[_percent(F.col(f"{n}_f1")).alias(n) for n in (SCORES if lcs else SCORES[:2])])
     return pairs.select(key, *[c for c in (keep or pairs.columns) if c != key]).join(rounded, key)
 
 
 def corpus_accuracy(
-    pairs: DataFrame, scores: DataFrame | None = None, key: str = "pair_id",
-    pred: str = "prediction", n_tokens: str = "n_tokens", stem: bool = True, lcs: bool = True,
+    pairs: DataFrame, key: str = "pair_id", ref: str = "reference", pred: str = "prediction",
+    n_tokens: str = "n_tokens", stem: bool = True, lcs: bool = True,
 ) -> DataFrame:
     """One record: mean scores, generated characters, samples, tokens, tokens per sample.
 
-    ``pairs`` holds sentence-form predictions. Without pairs the record carries an error
-    text and zeros. ``scores`` (key, <name>_f1) may be passed in when already computed.
+    ``pairs`` holds sentence-form texts. Lengths and token counts are carried through the
+    scoring, so the corpus is read once. Without pairs the record carries an error text and
+    zeros.
     """
     names = SCORES if lcs else SCORES[:2]
-    if scores is None:
-        tokens = tokenize_pairs(pairs, key, pred=pred, stem=stem)
-        scores = rouge_n(tokens, key)
-        if lcs:
-            scores = scores.join(rouge_l(tokens, key), key)
-    means = scores.agg(*[_percent(F.avg(f"{n}_f1")).alias(n) for n in names]).withColumn("_one", F.lit(1))
-    sizes = pairs.agg(
-        F.coalesce(F.sum(F.length(pred)), F.lit(0)).cast("long").alias("gen_len"),
+    sized = pairs.withColumns({"_chars": F.coalesce(F.length(pred), F.lit(0)), "_tokens": F.col(n_tokens)})
+    scores = f1_scores(sized, key, ref, pred, stem, lcs, ["_chars", "_tokens"])
+    record = scores.agg(
+        *[_percent(F.avg(f"{n}_f1")).alias(n) for n in names],
+        F.coalesce(F.sum("_chars"), F.lit(0)).cast("long").alias("gen_len"),
         F.count(F.lit(1)).alias("gen_num"),
-        F.coalesce(F.sum(n_tokens), F.lit(0)).cast("long").alias("gen_tok_len"),
-    ).withColumn("_one", F.lit(1))
-    # Two one-row tables side by side.
-    return means.join(sizes, "_one").select(
-        *names,
-        "gen_len",
-        "gen_num",
-        "gen_tok_len",
+        F.coalesce(F.sum("_tokens"), F.lit(0)).cast("long").alias("gen_tok_len"),
+    )
+    return record.select(
+        "*",
         F.coalesce(F.bround(F.try_divide(F.col("gen_tok_len"), F.col("gen_num")), 1), F.lit(0.0)).alias("tokens_per_sample"),
         F.when(F.col("gen_num") == 0, F.lit("No valid samples")).alias("error"),
     )

@@ -20,19 +20,20 @@ def _scores(hits: Column, ref_n: Column, pred_n: Column) -> dict[str, Column]:
 
 
 def tokenize_pairs(
-    pairs: DataFrame, key: str, ref: str = "reference", pred: str = "prediction", stem: bool = False
+    pairs: DataFrame, key: str, ref: str = "reference", pred: str = "prediction", stem: bool = False, carry: list[str] = []
 ) -> DataFrame:
-    """(key, ref_tokens, pred_tokens); line breaks stay as marker tokens.
+    """(key, carried columns, ref_tokens, pred_tokens); line breaks stay as marker tokens.
 
     A null text counts as empty. With ``stem`` the tokens are stemmed as rows and put back
     in order; a pair was one row before and is one row again.
     """
     tokens = pairs.select(
         key,
+        *carry,
         score_tokens(F.coalesce(F.col(ref), F.lit(""))).alias("ref_tokens"),
         score_tokens(F.coalesce(F.col(pred), F.lit(""))).alias("pred_tokens"),
     )
-    return stem_tokens(tokens, key, ["ref_tokens", "pred_tokens"]) if stem else tokens
+    return stem_tokens(tokens, [key, *carry], ["ref_tokens", "pred_tokens"]) if stem else tokens
 
 
 def _tagged(tokens: Column, side: int) -> Column:
@@ -41,10 +42,10 @@ def _tagged(tokens: Column, side: int) -> Column:
     )
 
 
-def stem_tokens(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
-    """Stem the words of token-array columns; ``key`` is unique per row."""
+def stem_tokens(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """Stem the words of token-array columns; ``keys`` are unique per row."""
     tagged = F.concat(*[_tagged(F.col(c), side) for side, c in enumerate(cols)])
-    rows = df.select(key, F.explode_outer(tagged).alias("t")).select(key, "t.side", "t.pos", "t.word")
+    rows = df.select(*keys, F.explode_outer(tagged).alias("t")).select(*keys, "t.side", "t.pos", "t.word")
     stemmed = stem_column(rows, "word")
     lists = [
         F.transform(
@@ -53,40 +54,42 @@ def stem_tokens(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
         ).alias(c)
         for side, c in enumerate(cols)
     ]
-    return stemmed.groupBy(key).agg(*lists)
+    return stemmed.groupBy(*keys).agg(*lists)
 
 
 def _grams(tokens: Column, n: int, ref: int, pred: int) -> Column:
     """All n-grams of a token list as rows (n, gram, ref, pred)."""
-    plain = F.filter(tokens, lambda t: t != NEWLINE)
-    grams = F.transform(
-        plain,
-        lambda t, i: F.struct(
-            F.lit(n).alias("n"),
-            (t if n == 1 else F.concat_ws(" ", *[F.get(plain, i + k) for k in range(n)])).alias("gram"),
-            F.lit(ref).cast("long").alias("ref"),
-            F.lit(pred).cast("long").alias("pred"),
+    gram = tokens
+    count = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+    for k in range(1, n):
+        # Shifted copies side by side; each is made once per text.
+        gram = F.zip_with(F.slice(gram, F.lit(1), count), F.slice(tokens, F.lit(k + 1), count), lambda a, b: F.concat_ws(" ", a, b))
+    return F.transform(
+        gram,
+        lambda g: F.struct(
+            F.lit(n).alias("n"), g.alias("gram"), F.lit(ref).cast("long").alias("ref"), F.lit(pred).cast("long").alias("pred")
         ),
     )
-    if n == 1:
-        return grams
-    count = F.greatest(F.size(plain) - (n - 1), F.lit(0))
-    return F.slice(grams, F.lit(1), count)
 
 
-def rouge_n(tokens: DataFrame, key: str, ns: tuple[int, ...] = (1, 2)) -> DataFrame:
-    """ROUGE-N precision, recall and F1, one row per pair.
+def rouge_n(tokens: DataFrame, key: str, ns: tuple[int, ...] = (1, 2), carry: list[str] = []) -> DataFrame:
+    """ROUGE-N precision, recall and F1, one row per pair, beside the carried columns.
 
     The grams of both texts become rows of one list, so a single aggregation per
-    (pair, gram) counts both sides at once; it combines before the shuffle, where both texts
-    of a pair still sit in the same task. All orders share the pass.
+    (pair, gram) counts both sides at once, and all orders share the pass. Pairs are spread
+    by key first: moving the token lists once is cheaper than moving their grams, and every
+    aggregation after it is local.
     """
-    lists = [
-        g for n in ns for g in (_grams(F.col("ref_tokens"), n, 1, 0), _grams(F.col("pred_tokens"), n, 0, 1))
-    ]
+    plain = tokens.repartition(F.col(key)).select(
+        key,
+        *carry,
+        F.filter("ref_tokens", lambda t: t != NEWLINE).alias("_r"),
+        F.filter("pred_tokens", lambda t: t != NEWLINE).alias("_p"),
+    )
+    lists = [g for n in ns for g in (_grams(F.col("_r"), n, 1, 0), _grams(F.col("_p"), n, 0, 1))]
     counts = (
-        tokens.select(key, F.explode_outer(F.concat(*lists)).alias("g"))
-        .groupBy(key, F.col("g.n").alias("n"), F.col("g.gram").alias("gram"))
+        plain.select(key, *carry, F.explode_outer(F.concat(*lists)).alias("g"))
+        .groupBy(key, *carry, F.col("g.n").alias("n"), F.col("g.gram").alias("gram"))
         .agg(F.sum("g.ref").alias("ref"), F.sum("g.pred").alias("pred"))
     )
     zero = F.lit(0)
@@ -94,7 +97,7 @@ def rouge_n(tokens: DataFrame, key: str, ns: tuple[int, ...] = (1, 2)) -> DataFr
     def of(n: int, c: Column) -> Column:
         return F.coalesce(F.sum(F.when(F.col("n") == n, c)), zero)
 
-    sums = counts.groupBy(key).agg(
+    sums = counts.groupBy(key, *carry).agg(
         *[
             c
             for n in ns
@@ -109,7 +112,7 @@ def rouge_n(tokens: DataFrame, key: str, ns: tuple[int, ...] = (1, 2)) -> DataFr
     for n in ns:
         for stat, c in _scores(F.col(f"_h{n}"), F.col(f"_r{n}"), F.col(f"_p{n}")).items():
             out.append(c.alias(f"rouge{n}_{stat}"))
-    return sums.select(key, *out)
+    return sums.select(key, *carry, *out)
 
 
 # --- longest common subsequences (Arrow) --------------------------------------------
@@ -195,15 +198,35 @@ def _subsequence_hits(ref: pd.Series, pred: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["l", "lsum"])
 
 
-def rouge_l(tokens: DataFrame, key: str) -> DataFrame:
-    """ROUGE-L and ROUGE-Lsum precision, recall and F1, one row per pair; no shuffle."""
+def _lcs_scores(tokens: DataFrame, keep: list[str]) -> DataFrame:
     n_ref = F.size(F.filter("ref_tokens", lambda t: t != NEWLINE))
     n_pred = F.size(F.filter("pred_tokens", lambda t: t != NEWLINE))
-    hits = tokens.select(
-        key, n_ref.alias("_r"), n_pred.alias("_p"), _subsequence_hits("ref_tokens", "pred_tokens").alias("_h")
-    )
+    hits = tokens.select(*keep, n_ref.alias("_nr"), n_pred.alias("_np"), _subsequence_hits("ref_tokens", "pred_tokens").alias("_h"))
     out = []
     for name, c in (("rougeL", F.col("_h.l")), ("rougeLsum", F.col("_h.lsum"))):
-        for stat, score in _scores(c, F.col("_r"), F.col("_p")).items():
+        for stat, score in _scores(c, F.col("_nr"), F.col("_np")).items():
             out.append(score.alias(f"{name}_{stat}"))
-    return hits.select(key, *out)
+    return hits.select(*keep, *out)
+
+
+def rouge_l(tokens: DataFrame, key: str) -> DataFrame:
+    """ROUGE-L and ROUGE-Lsum precision, recall and F1, one row per pair; no shuffle."""
+    return _lcs_scores(tokens, [key])
+
+
+def f1_scores(
+    pairs: DataFrame, key: str, ref: str = "reference", pred: str = "prediction",
+    stem: bool = True, lcs: bool = True, carry: list[str] = [],
+) -> DataFrame:
+    """F1 of every score per pair (``rouge1_f1`` ..) in one flow without joins.
+
+    The subsequence scores are computed where the token lists are and travel as two numbers
+    through the gram aggregation.
+    """
+    tokens = tokenize_pairs(pairs, key, ref, pred, stem, carry)
+    extra = []
+    if lcs:
+        extra = ["rougeL_f1", "rougeLsum_f1"]
+        kept = [key, *carry, "ref_tokens", "pred_tokens"]
+        tokens = _lcs_scores(tokens, kept).select(*kept, *extra)
+    return rouge_n(tokens, key, carry=[*carry, *extra]).select(key, *carry, "rouge1_f1", "rouge2_f1", *extra)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import sentence_lines
 from ..operators import accuracy as acc
 from ..operators import clean, enrich, filters, runs
 from ..schema import conform, qcol
@@ -64,16 +65,9 @@ def accuracy_evaluation(
     decoded = acc.decode_hex_ids(matched.select(key, "data"), vocab_size=vocab_size)
     texts = acc.decode_tokens(decoded, vocab, key, sep=sep, out="prediction")
     samples = acc.normalize_sentences(matched.drop("data").join(texts, key), ["prediction"])
-    scored = acc.normalize_sentences(samples, ["reference"])
-    raw = acc.tokenize_pairs(scored, key, stem=stem)
-    scores = acc.rouge_n(raw, key)
-    if lcs:
-        scores = scores.join(acc.rouge_l(raw, key), key)
-    names = acc.SCORES if lcs else acc.SCORES[:2]
-    details = samples.join(
-        scores.select(key, *[F.bround(F.col(f"{n}_f1") * 100, 4).alias(n) for n in names]), key
-    )
-    return details, acc.corpus_accuracy(samples, scores, key, lcs=lcs)
+    targets = samples.withColumn("_target", sentence_lines(F.col("reference")))
+    details = acc.score_samples(targets, key, ref="_target", stem=stem, lcs=lcs).drop("_target")
+    return details, acc.corpus_accuracy(targets, key, ref="_target", stem=stem, lcs=lcs)
 
 
 def aggregate_runs(spark: SparkSession, base: str, published: DataFrame | None = None) -> DataFrame:
