@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.layout import spread_small_input
 from ..operators.ranks import ordered_index
 
 DAY_US = 86_400_000_000
@@ -14,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def fact_table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
+    """Needed columns of a large table, spread over the task slots if it is a single split."""
+    return spread_small_input(table(spark, sf_dir, name).select(*cols))
+
+
 def choose(index: Column, values: list) -> Column:
     """Value by number; a string names itself, None is null, a column is used as it is."""
     case = F
@@ -28,7 +34,10 @@ def raw_results(spark: SparkSession, sf_dir: str, need: set[str] | list[str] | N
     ``need`` limits the columns. The dimensions are joined from the left on their unique
     keys, so leaving out an unneeded one changes no row.
     """
-    line = table(spark, sf_dir, "lineitem")
+    line = fact_table(
+        spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus",
+    )
     c = F.col
     n, pk, sk = c("l_linenumber"), c("l_partkey"), c("l_suppkey")
     size, quantity = c("p_size"), c("l_quantity").cast("int")
@@ -109,7 +118,8 @@ def price_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with a zoned timestamp and the number ``k`` of their properties."""
-    return table(spark, sf_dir, "events").select(
+    cols = ["event_id", "ts", "user_id", "event_type", "value", "props"]
+    return fact_table(spark, sf_dir, "events", *cols).select(
         "event_id",
         F.col("ts").cast("timestamp").alias("ts"),
         "user_id",
@@ -180,12 +190,12 @@ def accuracy_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     hourly = (
         ev.groupBy("user_id", "hour")
-        .agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "w"))).alias("x"))
+        .agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "w"))).alias("x"))
         .select("user_id", F.floor(F.col("hour") / 24).alias("day"), "hour", in_order("x", "w").alias("w"))
     )
     daily = (
         hourly.groupBy("user_id", "day")
-        .agg(F.array_sort(F.collect_list(F.struct("hour", "w"))).alias("x"))
+        .agg(F.sort_array(F.collect_list(F.struct("hour", "w"))).alias("x"))
         .select("user_id", "day", in_order("x", "w").alias("data"))
     )
     rows = ordered_index(daily, "user_id", "day", out="n").select(

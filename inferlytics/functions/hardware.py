@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strip
+
 # --- fixed values ---------------------------------------------------------------
 NULL_WORDS = ["", "N/A", "DUMMY"]
 
@@ -63,13 +66,19 @@ def contains_any(c: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in words])
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def clean_string(c: Column) -> Column:
     """Placeholder words become null; nothing is trimmed."""
-    return F.when(F.upper(c).isin(NULL_WORDS), F.lit(None)).otherwise(c)
+    # Lengths are cheap to compare; only texts of a placeholder's length are upper-cased.
+    lengths = sorted({len(w) for w in NULL_WORDS})
+    return F.when(F.octet_length(c).isin(lengths) & F.upper(c).isin(NULL_WORDS), F.lit(None)).otherwise(c)
 
 
-def _memory_part(part: Column) -> Column:
-    text = F.upper(F.replace(part, F.lit(" "), F.lit("")))
+def _part_gb(text: Column) -> Column:
     number = F.regexp_extract(text, r"^([0-9.]*)", 1).try_cast("double")
     return F.when(contains_any(text, ["TB", "TIB"]), number * 1024).when(
         contains_any(text, ["GB", "GIB"]), number
@@ -78,15 +87,17 @@ def _memory_part(part: Column) -> Column:
 
 def memory_gb(c: Column) -> Column:
     """Memory text in GB; ``+`` adds parts, and a sum of nothing is null."""
-    # The sum runs from the last part to the first, which fixes its rounding.
-    total = F.aggregate(
-        F.reverse(F.split(c, r"\+")),
-        F.lit(0.0),
-        lambda acc, part: acc + F.coalesce(_memory_part(part), F.lit(0.0)),
-    )
-    return F.when(F.contains(c, F.lit("+")), F.nullif(total, F.lit(0.0))).otherwise(
-        _memory_part(c)
-    )
+
+    def total(text: Column) -> Column:
+        # The sum runs from the last part to the first, which fixes its rounding.
+        parts = F.aggregate(
+            F.reverse(F.split(text, r"\+")),
+            F.lit(0.0),
+            lambda acc, part: acc + F.coalesce(_part_gb(part), F.lit(0.0)),
+        )
+        return F.when(F.contains(text, F.lit("+")), F.nullif(parts, F.lit(0.0))).otherwise(_part_gb(text))
+
+    return F.when(c.isNotNull(), let(F.upper(F.replace(c, F.lit(" "), F.lit(""))), total))
 
 
 def frequency_ghz(c: Column) -> Column:
@@ -161,10 +172,10 @@ def model_architecture(c: Column) -> Column:
 def framework_entries(c: Column) -> Column:
     """``name version`` items of a comma list, as array<struct<name, version>>."""
     items = F.transform(
-        F.split(c, ","),
+        F.transform(F.split(c, ","), strip),
         lambda item: F.struct(
-            F.lower(F.regexp_extract(F.regexp_replace(item, r"(?U)^\s+|\s+$", ""), r"(?U)(\w+)\s+", 1)).alias("name"),
-            F.regexp_extract(F.regexp_replace(item, r"(?U)^\s+|\s+$", ""), r"(?U)\s+([\d.]+)", 1).alias("version"),
+            F.lower(F.regexp_extract(item, r"(?U)(\w+)\s+", 1)).alias("name"),
+            F.regexp_extract(item, r"(?U)\s+([\d.]+)", 1).alias("version"),
         ),
     )
     found = F.filter(items, lambda e: (e["name"] != "") & (e["version"] != ""))
@@ -189,17 +200,18 @@ def accuracy_entries(c: Column) -> Column:
     )
 
 
-def entries_to_map(entries: Column, key: str = "key", value: str = "value", keep: str = "last") -> Column:
-    """Map of an entry array in which a key may repeat; ``keep`` names the surviving entry."""
-    keys = F.transform(entries, lambda e: e[key])
-    if keep == "last":
-        kept = F.filter(
-            entries,
-            lambda e, i: i == F.size(entries) - F.array_position(F.reverse(keys), e[key]),
-        )
-    else:
-        kept = F.filter(entries, lambda e, i: i == F.array_position(keys, e[key]) - 1)
-    return F.map_from_entries(F.transform(kept, lambda e: F.struct(e[key], e[value])))
+def entries_to_map(entries: Column, key: str = "key", value: str = "value") -> Column:
+    """Map of an entry array in which a key may repeat; its last entry survives."""
+
+    def build(items: Column) -> Column:
+        def last_of_each(keys: Column) -> Column:
+            n = F.size(items)
+            return F.filter(items, lambda e, i: i == n - F.array_position(keys, e[key]))
+
+        kept = let(F.reverse(F.transform(items, lambda e: e[key])), last_of_each)
+        return F.map_from_entries(F.transform(kept, lambda e: F.struct(e[key], e[value])))
+
+    return F.when(entries.isNotNull(), let(entries, build))
 
 
 def within_tolerance(a: Column, b: Column, tol: float = 0.1) -> Column:

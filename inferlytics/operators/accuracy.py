@@ -43,7 +43,7 @@ def decode_tokens(df: DataFrame, vocab: DataFrame, key: str, ids: str = "token_i
     """
     rows = df.select(key, F.posexplode_outer(ids).alias("pos", "token_id"))
     pieces = rows.join(vocab.where(~F.col("special")).select("token_id", "piece"), "token_id", "left")
-    ordered = F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("pos", "piece"))))
+    ordered = F.sort_array(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("pos", "piece"))))
     return pieces.groupBy(key).agg(
         F.concat_ws(sep, F.transform(ordered, lambda x: x["piece"])).alias(out),
         F.count("token_id").alias("n_tokens"),

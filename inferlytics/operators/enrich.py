@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hardware as hw
@@ -51,14 +51,17 @@ def framework_wide(
     names = discover_frameworks(df, col) if names is None else names
     if not names:
         return df
-    base = df.withColumn("_versions", hw.entries_to_map(hw.framework_entries(qcol(col)), "name", "version", keep="first"))
-    wide = [F.try_element_at("_versions", F.lit(n)) for n in names]
+    base = df.withColumn("_entries", hw.framework_entries(qcol(col)))
     return base.select(
         *[qcol(c) for c in df.columns],
-        *[v.alias(f"{col}.{n}") for v, n in zip(wide, names)],
+        *[_version_of(F.col("_entries"), n).alias(f"{col}.{n}") for n in names],
     )
 
 
+def _version_of(entries: Column, name: str) -> Column:
+    return F.get(F.filter(entries, lambda e: e["name"] == name), F.lit(0))["version"]
+
+
 def model_parameters(df: DataFrame, col: str = "model.name") -> DataFrame:
     return df.withColumn("model.number_of_parameters", hw.model_parameters(qcol(col)))
 
@@ -151,9 +154,8 @@ def cost_columns(df: DataFrame) -> DataFrame:
 
 def parse_accuracy(df: DataFrame, col: str = "metrics.accuracy") -> DataFrame:
     """Add ``metrics.accuracy.structured``: map of lower-case metric name to value."""
-    return df.withColumn(
-        "metrics.accuracy.structured", hw.entries_to_map(hw.accuracy_entries(qcol(col)))
-    )
+    entries = df.withColumn("_entries", hw.accuracy_entries(qcol(col)))
+    return entries.withColumn("metrics.accuracy.structured", hw.entries_to_map(F.col("_entries"))).drop("_entries")
 
 
 def apply_price_overrides(base: DataFrame, overrides: DataFrame) -> DataFrame:

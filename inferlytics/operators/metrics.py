@@ -138,7 +138,7 @@ def inter_token_latency(
         gaps.groupBy(*request_keys, bucket)
         .agg(
             F.max("ttft_s").alias("ttft_s"),
-            F.array_sort(F.collect_list(F.struct("chunk_ts", order, "gap_s", "text"))).alias("_items"),
+            F.sort_array(F.collect_list(F.struct("chunk_ts", order, "gap_s", "text"))).alias("_items"),
         )
         .select(
             *request_keys,
@@ -154,7 +154,7 @@ def inter_token_latency(
         .agg(
             F.max("ttft_s").alias("ttft_s"),
             F.sum("_n").alias("output_tokens"),
-            F.array_sort(F.collect_list(F.struct("_bucket", "_gaps", "_text"))).alias("_parts"),
+            F.sort_array(F.collect_list(F.struct("_bucket", "_gaps", "_text"))).alias("_parts"),
         )
         .select(
             *request_keys,

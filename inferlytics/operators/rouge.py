@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.stem import stem_column
 from ..functions.text import score_tokens
 from ..schema import struct
+from .layout import spread_by
 
 NEWLINE = "\n"
 
@@ -24,10 +25,12 @@ def tokenize_pairs(
 ) -> DataFrame:
     """(key, carried columns, ref_tokens, pred_tokens); line breaks stay as marker tokens.
 
-    A null text counts as empty. With ``stem`` the tokens are stemmed as rows and put back
+    Pairs are spread by key first: moving the texts once is cheaper than moving their grams,
+    and every aggregation after it is local. A null text counts as empty. With ``stem`` the tokens are stemmed as rows and put back
     in order; a pair was one row before and is one row again.
     """
-    tokens = pairs.select(
+    texts = spread_by(pairs.select(key, *carry, ref, pred), key)
+    tokens = texts.select(
         key,
         *carry,
         score_tokens(F.coalesce(F.col(ref), F.lit(""))).alias("ref_tokens"),
@@ -49,7 +52,7 @@ def stem_tokens(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     stemmed = stem_column(rows, "word")
     lists = [
         F.transform(
-            F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("pos", "word")))),
+            F.sort_array(F.collect_list(F.when(F.col("side") == side, F.struct("pos", "word")))),
             lambda x: x["word"],
         ).alias(c)
         for side, c in enumerate(cols)
@@ -76,11 +79,9 @@ def rouge_n(tokens: DataFrame, key: str, ns: tuple[int, ...] = (1, 2), carry: li
     """ROUGE-N precision, recall and F1, one row per pair, beside the carried columns.
 
     The grams of both texts become rows of one list, so a single aggregation per
-    (pair, gram) counts both sides at once, and all orders share the pass. Pairs are spread
-    by key first: moving the token lists once is cheaper than moving their grams, and every
-    aggregation after it is local.
+    (pair, gram) counts both sides at once, and all orders share the pass.
     """
-    plain = tokens.repartition(F.col(key)).select(
+    plain = tokens.select(
         key,
         *carry,
         F.filter("ref_tokens", lambda t: t != NEWLINE).alias("_r"),

@@ -220,7 +220,7 @@ def tag_map(tags: Column) -> Column:
 
 
 def plain_tags(tags: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.filter(tags, lambda t: ~t.rlike(r"^_[^.]*\."))))
+    return F.sort_array(F.array_distinct(F.filter(tags, lambda t: ~t.rlike(r"^_[^.]*\."))))
 
 
 EXPERIMENT_INPUT = (

@@ -78,11 +78,11 @@ def stream_token_latency(
         first, last, start, tokens = state.get if state.exists else (float("inf"), float("-inf"), float("inf"), 0)
         done = False
         for frame in frames:
-            told = frame[frame["has_text"]]
-            if len(told):
-                first, last = min(first, told["us"].min()), max(last, told["us"].max())
-            start, tokens = min(start, frame["start_us"].min()), tokens + len(told)
-            done = done or bool(frame["done"].any())
+            told = frame["us"].to_numpy()[frame["has_text"].to_numpy(dtype=bool)]
+            if told.size:
+                first, last = min(first, told.min()), max(last, told.max())
+            start, tokens = min(start, frame["start_us"].to_numpy().min()), tokens + told.size
+            done = done or bool(frame["done"].to_numpy(dtype=bool).any())
         if not (done or state.hasTimedOut):
             state.update((float(first), float(last), float(start), int(tokens)))
             seen = last if tokens else start
