@@ -126,7 +126,7 @@ def datetime_iso(c: Column) -> Column:
     stamp = F.translate(c, "/", "-").try_cast("timestamp_ntz")
     return F.when(
         F.contains(c, F.lit("/")) & F.contains(c, F.lit("_")), F.when(swapped_ok, swapped)
-    ).when(plain_ok, F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss"))
+    ).when(plain_ok, F.translate(stamp.cast("string"), " ", "T"))
 
 
 def interconnect(c: Column) -> Column:

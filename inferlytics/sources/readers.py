@@ -23,10 +23,10 @@ SPLITS = ["train", "test", "validation", "default"]
 
 def _whole_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(path, text) of every file below ``path``."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    reader = spark.read.option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def read_result_summaries(

@@ -78,6 +78,8 @@ def stream_token_latency(
         first, last, start, tokens = state.get if state.exists else (float("inf"), float("-inf"), float("inf"), 0)
         done = False
         for frame in frames:
+            if frame.empty:  # a timeout brings no rows
+                continue
             told = frame["us"].to_numpy()[frame["has_text"].to_numpy(dtype=bool)]
             if told.size:
                 first, last = min(first, told.min()), max(last, told.max())
