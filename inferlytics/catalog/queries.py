@@ -622,3 +622,16 @@ def stream_tokens(spark, sf):
     )
     out = streams.replay(spark, streams.stream_token_latency(chunk, ["user_id", "day"], watermark="60 days"), "token-latency")
     return out.select("user_id", "day", "ttft_s", "latency_s", "output_tokens", "tpot_s")
+
+
+@query
+def stream_token_sessions(spark, sf):
+    day = F.floor(F.unix_micros("ts") / bridge.DAY_US)
+    chunk = event_stream(spark, sf).select(
+        "user_id", day.alias("day"), F.col("ts").alias("chunk_ts"), F.timestamp_micros(day * bridge.DAY_US).alias("request_start"),
+        F.when(F.col("event_type") == "error", "").otherwise(F.col("event_type")).alias("text"), F.lit(False).alias("done"),
+    )
+    keys = ["user_id", "day"]
+    # Complete mode, since a replay ends before the watermark passes its last sessions.
+    out = streams.replay(spark, streams.stream_token_sessions(chunk, keys, "60 days", "1 day"), "token-sessions", "complete")
+    return streams.latest(out, keys)

@@ -55,6 +55,36 @@ def stream_request_metrics(
     )
 
 
+def stream_token_sessions(
+    chunks: DataFrame, request_keys: list[str], watermark: str = "10 minutes", timeout: str = "1 hour"
+) -> DataFrame:
+    """One row per request, built-in operators only: TTFT, latency, tokens, TPOT.
+
+    A request is a session of its chunks. The chunk whose ``done`` is true keeps the session
+    open for no longer than itself, every other one for ``timeout``. Rows appear in append
+    mode once the watermark has passed the end of the session, so a finished request waits
+    for the watermark; :func:`stream_token_latency` reports it at its marker, at the cost of a
+    Python call per request. Works on a table as well.
+    """
+    gap = F.when(F.coalesce(F.col("done"), F.lit(False)), F.lit("1 microsecond")).otherwise(F.lit(timeout))
+    us = F.unix_micros("chunk_ts")
+    told = F.length("text") > 0
+    first, last, start = F.min(F.when(told, us)), F.max(F.when(told, us)), F.unix_micros(F.min("request_start"))
+    return (
+        chunks.withWatermark("chunk_ts", watermark)
+        .groupBy(*request_keys, F.session_window("chunk_ts", gap).alias("_session"))
+        .agg(
+            ((first - start) / 1e6).alias("ttft_s"),
+            ((last - start) / 1e6).alias("latency_s"),
+            F.count_if(told).alias("output_tokens"),
+            ((last - first) / 1e6).alias("_tail_s"),
+        )
+        .where(F.col("output_tokens") > 0)
+        .withColumn("tpot_s", F.when(F.col("output_tokens") > 1, F.col("_tail_s") / (F.col("output_tokens") - 1)))
+        .drop("_session", "_tail_s")
+    )
+
+
 TOKEN_STATE = "first_us double, last_us double, start_us double, tokens long"
 
 

@@ -10,7 +10,7 @@ SAMPLE = [
     "price_join", "price_overrides", "kpis", "performance_view", "top_n_systems", "cost_view", "pair_compare", "cost_sensitivity", "similar_counts",
     "request_metrics", "token_latency", "inter_token", "request_fold", "progress", "slo_report", "rule_resolution", "config_violations",
     "log_metrics", "prompt_render", "prompt_fit", "hex_decode", "decode_tokens", "rouge_n", "corpus_accuracy", "accuracy_evaluation", "run_merge",
-    "union_runs", "stream_metrics", "stream_tokens",
+    "union_runs", "stream_metrics", "stream_token_sessions",
 ]
 
 

@@ -66,6 +66,27 @@ def test_token_latency_across_batches(spark, tmp_path):
         assert [mine[c] for c in ("ttft_s", "latency_s", "output_tokens", "tpot_s")] == [want[c] for c in ("ttft_s", "latency_s", "output_tokens", "tpot_s")]
 
 
+def test_token_sessions_close_by_marker_and_by_timeout(spark, tmp_path):
+    schema = "r string, us long, text string, done boolean"
+    hour = 3600 * 10**6
+    one = [("a", 5, "x", False), ("a", 40, "z", True), ("b", 9, "q", False), ("e", 1, "", False)]
+    two = [("b", hour // 2, "q", False), ("c", 2 * hour, "w", True)]
+    three = [("d", 9 * hour, "v", False)]
+    source = files_of(spark, tmp_path / "in", [one, two, three], schema)
+
+    def shape(df):
+        return df.select("r", "text", "done", F.timestamp_micros("us").alias("chunk_ts"), F.timestamp_micros(F.lit(0)).alias("request_start"))
+
+    out = streams.replay(spark, streams.stream_token_sessions(shape(source), ["r"], "1 minute", "1 hour"), "sessions")
+    got = {r["r"]: r for r in out.collect()}
+    assert sorted(got) == ["a", "b", "c"]  # d is still open
+    table = spark.createDataFrame(one + two, schema)
+    for want in metrics.request_tokens(shape(table), ["r"]).collect():
+        assert [got[want["r"]][c] for c in ("ttft_s", "latency_s", "output_tokens", "tpot_s")] == [want[c] for c in ("ttft_s", "latency_s", "output_tokens", "tpot_s")]
+    batch = streams.stream_token_sessions(shape(spark.createDataFrame(one + two + three, schema)), ["r"])
+    assert sorted(r["r"] for r in batch.collect()) == ["a", "b", "c", "d"]
+
+
 def test_run_stream_merges_halves_and_restarts(spark, tmp_path):
     base, table, check = tmp_path / "runs", str(tmp_path / "table"), str(tmp_path / "check")
 
