@@ -102,7 +102,7 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = raw_results(spark, sf_dir, ["system.accelerator.name"]).select(F.col("`system.accelerator.name`").alias("name"))
     return (
-        names.where(F.col("name").isNotNull() & ~F.endswith("name", F.lit("5")))
+        names.where(F.col("name").isNotNull() & ~F.col("name").endswith("5"))
         .distinct()
         .withColumn("price_per_hour", F.round(F.length("name") * 0.1, 2))
     )
@@ -111,7 +111,7 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def price_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = spark.range(1).select(F.lit("Override Only").alias("name"))
     return (
-        prices(spark, sf_dir).where(F.endswith("name", F.lit("1"))).select("name").union(new)
+        prices(spark, sf_dir).where(F.col("name").endswith("1")).select("name").union(new)
         .withColumn("price_per_hour", F.lit(9.99))
     )
 

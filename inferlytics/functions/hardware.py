@@ -63,7 +63,7 @@ def first_match(rules: list[tuple[Column, object]], otherwise: object = None) ->
 
 
 def contains_any(c: Column, words: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in words])
+    return reduce(lambda a, b: a | b, [c.contains(w) for w in words])
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -95,7 +95,7 @@ def memory_gb(c: Column) -> Column:
             F.lit(0.0),
             lambda acc, part: acc + F.coalesce(_part_gb(part), F.lit(0.0)),
         )
-        return F.when(F.contains(text, F.lit("+")), F.nullif(parts, F.lit(0.0))).otherwise(_part_gb(text))
+        return F.when(text.contains("+"), F.nullif(parts, F.lit(0.0))).otherwise(_part_gb(text))
 
     return F.when(c.isNotNull(), let(F.upper(F.replace(c, F.lit(" "), F.lit(""))), total))
 
@@ -105,7 +105,7 @@ def frequency_ghz(c: Column) -> Column:
     text = F.upper(c)
     digits = F.regexp_extract(text, r"^\s*(\d+)\s*$", 1)
     top = F.array_max(F.regexp_extract_all(text, F.lit(r"([\d.]+)"), F.lit(1)).try_cast("array<double>"))
-    scaled = F.when(F.contains(text, F.lit("MHZ")), top / 1000).otherwise(top)
+    scaled = F.when(text.contains("MHZ"), top / 1000).otherwise(top)
     return (
         F.when((c == "") | (c == "undefined"), F.lit(None).cast("double"))
         .when(digits != "", digits.try_cast("double") / 1000)
@@ -125,7 +125,7 @@ def datetime_iso(c: Column) -> Column:
     plain_ok = c.rlike(f"{day}[ T]{clock}") | c.rlike(rf"^\d{{4}}/\d{{1,2}}/\d{{1,2}} {clock}")
     stamp = F.translate(c, "/", "-").try_cast("timestamp_ntz")
     return F.when(
-        F.contains(c, F.lit("/")) & F.contains(c, F.lit("_")), F.when(swapped_ok, swapped)
+        c.contains("/") & c.contains("_"), F.when(swapped_ok, swapped)
     ).when(plain_ok, F.translate(stamp.cast("string"), " ", "T"))
 
 
@@ -134,7 +134,7 @@ def interconnect(c: Column) -> Column:
     text = F.upper(c)
 
     def has(word: str) -> Column:
-        return F.contains(text, F.lit(word))
+        return text.contains(word)
 
     return (
         F.when(text.isin(UNKNOWN_INTERCONNECTS), F.lit(None).cast("string"))
@@ -142,7 +142,7 @@ def interconnect(c: Column) -> Column:
         .when(has("NVLINK") & has("4TH"), F.lit("NVLink-4"))
         .when(has("NVLINK"), F.lit("NVLink"))
         .when(
-            has("PCIE") & F.contains(F.replace(text, F.lit(" "), F.lit("")), F.lit("GEN5")),
+            has("PCIE") & F.replace(text, F.lit(" "), F.lit("")).contains("GEN5"),
             F.lit("PCIe-5"),
         )
         .when(has("PCIE"), F.lit("PCIe"))
@@ -161,7 +161,7 @@ def keyword_class(c: Column, rules: list[tuple[str, list[str]]]) -> Column:
 def model_parameters(c: Column) -> Column:
     text = F.lower(c)
     return first_match(
-        [(F.startswith(text, F.lit(p.lower())), F.lit(n)) for p, n in MODEL_PARAMETERS]
+        [(text.startswith(p.lower()), F.lit(n)) for p, n in MODEL_PARAMETERS]
     ).cast("double")
 
 

@@ -56,7 +56,7 @@ def extract_log_metrics(df: DataFrame, text: str = "text", strict: bool = False,
     return df.select(
         "*",
         *[log_number(body, label, strict).alias(name) for name, label in LOG_PATTERNS.items()],
-        F.contains(body, F.lit(VALID_TEXT)).alias("valid"),
-        F.when(F.contains(body, F.lit(COMPLETE_TEXT)), total).otherwise(F.lit(0)).alias("completed"),
+        body.contains(VALID_TEXT).alias("valid"),
+        F.when(body.contains(COMPLETE_TEXT), total).otherwise(F.lit(0)).alias("completed"),
         total.alias("total_samples"),
     )

@@ -10,6 +10,7 @@ A run of seven or more y is not resolved to its end.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +47,7 @@ def _pattern(w: Column) -> Column:
     out = F.regexp_replace(raw, "^y", "c")
     for _ in range(3):
         out = F.replace(F.replace(out, F.lit("cy"), F.lit("cv")), F.lit("vy"), F.lit("vc"))
-    return F.when(F.contains(w, F.lit("y")), out).otherwise(raw)
+    return F.when(w.contains("y"), out).otherwise(raw)
 
 
 class _Word:
@@ -54,23 +55,18 @@ class _Word:
 
     def __init__(self, word: str, pattern: str):
         self.text, self.cv = F.col(word), F.col(pattern)
+        # Rules with suffixes of one length share the expressions of that stem.
+        self.stem = cache(lambda cut: F.left(self.text, F.length(self.text) - cut))
+        self.stem_cv = cache(lambda cut: F.left(self.cv, F.length(self.cv) - cut))
+        self.measure = cache(lambda cut: F.regexp_count(self.stem_cv(cut), F.lit("vc")))
 
     def ends(self, suffix: str) -> Column:
-        return F.endswith(self.text, F.lit(suffix))
-
-    def stem(self, cut: int) -> Column:
-        return F.left(self.text, F.length(self.text) - cut)
-
-    def stem_cv(self, cut: int) -> Column:
-        return F.left(self.cv, F.length(self.cv) - cut)
-
-    def measure(self, cut: int) -> Column:
-        return F.regexp_count(self.stem_cv(cut), F.lit("vc"))
+        return self.text.endswith(suffix)
 
     def short(self, cut: int) -> Column:
         """Stem ends consonant-vowel-consonant, not in w, x, y; or is vowel-consonant."""
         cv, last = self.stem_cv(cut), F.right(self.stem(cut), F.lit(1))
-        return (F.endswith(cv, F.lit("cvc")) & ~last.isin("w", "x", "y")) | (cv == "vc")
+        return (cv.endswith("cvc") & ~last.isin("w", "x", "y")) | (cv == "vc")
 
 
 def _first_rule(w: _Word, rules: list[tuple[str, str, Callable[[int], Column] | None]]) -> Column:
@@ -94,10 +90,10 @@ def _step_1b(w: _Word) -> Column:
     def repaired(cut: int) -> Column:
         base, cv = w.stem(cut), w.stem_cv(cut)
         last = F.right(base, F.lit(1))
-        double = (F.length(base) >= 2) & (last == F.substr(base, F.length(base) - 1, F.lit(1))) & F.endswith(cv, F.lit("c"))
+        double = (F.length(base) >= 2) & (last == F.substr(base, F.length(base) - 1, F.lit(1))) & cv.endswith("c")
         add_e = F.concat(base, F.lit("e"))
         return (
-            F.when(F.endswith(base, F.lit("at")) | F.endswith(base, F.lit("bl")) | F.endswith(base, F.lit("iz")), add_e)
+            F.when(base.endswith("at") | base.endswith("bl") | base.endswith("iz"), add_e)
             .when(double & ~last.isin("l", "s", "z"), F.left(base, F.length(base) - 1))
             .when(double, base)
             .when((w.measure(cut) == 1) & w.short(cut), add_e)
@@ -105,7 +101,7 @@ def _step_1b(w: _Word) -> Column:
         )
 
     def voiced(cut: int) -> Column:
-        return F.contains(w.stem_cv(cut), F.lit("v"))
+        return w.stem_cv(cut).contains("v")
 
     return (
         F.when(w.ends("ied"), F.concat(w.stem(3), F.when(F.length(w.text) == 4, F.lit("ie")).otherwise(F.lit("i"))))
@@ -117,7 +113,7 @@ def _step_1b(w: _Word) -> Column:
 
 
 def _step_1c(w: _Word) -> Column:
-    soft = w.ends("y") & (F.length(w.text) > 2) & F.endswith(w.stem_cv(1), F.lit("c"))
+    soft = w.ends("y") & (F.length(w.text) > 2) & w.stem_cv(1).endswith("c")
     return F.when(soft, F.concat(w.stem(1), F.lit("i"))).otherwise(w.text)
 
 

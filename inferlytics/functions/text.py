@@ -39,7 +39,7 @@ def model_family(path: Column, patterns: list[tuple[str, str]] | None = None) ->
     rules = patterns or [(name, name) for name, _ in PROMPT_TEMPLATES]
     text, case = F.lower(path), F
     for name, pattern in rules:
-        case = case.when(F.contains(text, F.lit(pattern)), F.lit(name))
+        case = case.when(text.contains(pattern), F.lit(name))
     return case.otherwise(F.lit(rules[-1][0]))
 
 
