@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from ..functions import hardware as hw
+from ..functions import stem as st
 from . import bridge
 
 
@@ -226,16 +227,25 @@ FROM v_perf p FULL JOIN v_acc a USING (run_id) FULL JOIN v_acc_results r USING (
 }
 
 
-def _rouge(source: str, key: str) -> str:
+def _rouge(source: str, key: str, stem: bool = False) -> str:
     """ROUGE-1 and ROUGE-2 of (key, reference, prediction) rows, unrounded, as CTEs."""
     parts = [
         f"tok AS (SELECT {key} AS id, {_TOKENS.format('reference')} AS r, {_TOKENS.format('prediction')} AS p FROM {source})"
     ]
+    if stem:
+        parts.append(_stems())
     for side in "rp":
-        parts.append(
-            f"g_{side} AS (SELECT id, 1 AS n, unnest({side}) AS gram FROM tok UNION ALL SELECT id, 2, "
-            f"unnest(list_transform(range(1, len({side})), lambda i: {side}[i] || ' ' || {side}[i + 1])) FROM tok)"
-        )
+        if stem:
+            parts.append(
+                f"w_{side} AS (SELECT id, pos, stem FROM (SELECT id, unnest({side}) AS word, unnest(range(1, len({side}) + 1)) AS pos FROM tok) JOIN stems USING (word)), "
+                f"g_{side} AS (SELECT id, 1 AS n, stem AS gram FROM w_{side} UNION ALL SELECT id, 2, gram FROM "
+                f"(SELECT id, stem || ' ' || lead(stem) OVER (PARTITION BY id ORDER BY pos) AS gram FROM w_{side}) WHERE gram IS NOT NULL)"
+            )
+        else:
+            parts.append(
+                f"g_{side} AS (SELECT id, 1 AS n, unnest({side}) AS gram FROM tok UNION ALL SELECT id, 2, "
+                f"unnest(list_transform(range(1, len({side})), lambda i: {side}[i] || ' ' || {side}[i + 1])) FROM tok)"
+            )
         parts.append(f"c_{side} AS (SELECT id, n, gram, count(*) AS c FROM g_{side} GROUP BY ALL)")
     parts.append("hit AS (SELECT id, n, sum(least(c_r.c, c_p.c)) AS h FROM c_r JOIN c_p USING (id, n, gram) GROUP BY ALL)")
     parts.append(
@@ -246,6 +256,77 @@ def _rouge(source: str, key: str) -> str:
     return ", ".join(parts)
 
 
+def _stems() -> str:
+    """Stems of the distinct words of tok(id, r, p), as CTEs ending in stems(word, stem)."""
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    classes = "".join("y" if ch == "y" else "v" if ch in "aeiou" else "c" for ch in letters)
+
+    def pattern(w: str) -> str:
+        out = f"regexp_replace(translate({w}, '{letters}', '{classes}'), '^y', 'c')"
+        for _ in range(3):
+            out = f"replace(replace({out}, 'cy', 'cv'), 'vy', 'vc')"
+        return out
+
+    def stem(cut: int) -> str:
+        return f"left(w, length(w) - {cut})"
+
+    def cv(cut: int) -> str:
+        return f"left(cv, length(cv) - {cut})"
+
+    def m(cut: int) -> str:
+        return f"len(regexp_extract_all({cv(cut)}, 'vc'))"
+
+    def short(cut: int) -> str:
+        return f"((ends_with({cv(cut)}, 'cvc') AND right({stem(cut)}, 1) NOT IN ('w', 'x', 'y')) OR {cv(cut)} = 'vc')"
+
+    def rules(items) -> str:
+        """(suffix, replacement, condition) list as one CASE."""
+        whens = [
+            f"WHEN ends_with(w, '{x}') THEN CASE WHEN {cond(len(x))} THEN {stem(len(x))} || '{put}' ELSE w END" for x, put, cond in items
+        ]
+        return "CASE " + " ".join(whens) + " ELSE w END"
+
+    def always(_: int) -> str:
+        return "true"
+
+    def some(cut: int) -> str:
+        return f"{m(cut)} > 0"
+
+    def mended(cut: int) -> str:
+        b, c = stem(cut), cv(cut)
+        double = f"length({b}) >= 2 AND right({b}, 1) = left(right({b}, 2), 1) AND ends_with({c}, 'c')"
+        return (
+            f"CASE WHEN ends_with({b}, 'at') OR ends_with({b}, 'bl') OR ends_with({b}, 'iz') THEN {b} || 'e' "
+            f"WHEN {double} THEN CASE WHEN right({b}, 1) IN ('l', 's', 'z') THEN {b} ELSE left({b}, length({b}) - 1) END "
+            f"WHEN {m(cut)} = 1 AND {short(cut)} THEN {b} || 'e' ELSE {b} END"
+        )
+
+    def long_stem(x: str):
+        return lambda cut: f"{m(cut)} > 1" + (f" AND right({stem(cut)}, 1) IN ('s', 't')" if x == "ion" else "")
+
+    steps = [
+        f"CASE WHEN ends_with(w, 'ies') AND length(w) = 4 THEN {stem(1)} ELSE "
+        + rules([("sses", "ss", always), ("ies", "i", always), ("ss", "ss", always), ("s", "", always)]) + " END",
+        f"CASE WHEN ends_with(w, 'ied') THEN CASE WHEN length(w) = 4 THEN {stem(1)} ELSE {stem(2)} END "
+        f"WHEN ends_with(w, 'eed') THEN CASE WHEN {m(3)} > 0 THEN {stem(1)} ELSE w END "
+        f"WHEN ends_with(w, 'ed') AND contains({cv(2)}, 'v') THEN {mended(2)} "
+        f"WHEN ends_with(w, 'ing') AND contains({cv(3)}, 'v') THEN {mended(3)} ELSE w END",
+        f"CASE WHEN ends_with(w, 'y') AND length(w) > 2 AND ends_with({cv(1)}, 'c') THEN {stem(1)} || 'i' ELSE w END",
+        f"CASE WHEN ends_with(w, 'alli') AND {m(4)} > 0 THEN {stem(2)} ELSE w END",
+        rules([(a, b, some) for a, b in st.STEP_2] + [("logi", "log", lambda cut: f"{m(cut - 1)} > 0")]),
+        rules([(a, b, some) for a, b in st.STEP_3]),
+        rules([(x, "", long_stem(x)) for x in st.STEP_4]),
+        f"CASE WHEN ends_with(w, 'e') AND ({m(1)} > 1 OR ({m(1)} = 1 AND NOT {short(1)})) THEN {stem(1)} ELSE w END",
+        f"CASE WHEN ends_with(w, 'll') AND {m(1)} > 1 THEN {stem(1)} ELSE w END",
+    ]
+    parts = ["st0 AS (SELECT DISTINCT word, word AS w FROM (SELECT unnest(r) AS word FROM tok UNION SELECT unnest(p) FROM tok))"]
+    for i, step in enumerate(steps):
+        parts.append(f"st{i + 1} AS (SELECT word, {step} AS w FROM (SELECT *, {pattern('w')} AS cv FROM st{i}))")
+    fixed = " ".join(f"WHEN '{form}' THEN '{root}'" for root, forms in st.IRREGULAR.items() for form in forms)
+    parts.append(f"stems AS (SELECT word, CASE WHEN length(word) < 4 THEN word ELSE CASE word {fixed} ELSE w END END AS stem FROM st{len(steps)})")
+    return ", ".join(parts)
+
+
 def _board_cols(*extra: str) -> str:
     names = {
         "model": "model_name", "scenario": "submission_scenario", "system": "system_name",
@@ -464,6 +545,21 @@ FROM (SELECT sample_idx, list_filter(regexp_split_to_array(trim(input, {_TRIM}),
     "rouge_n": ", " + _rouge("v_prompts", "sample_idx") + " SELECT id AS sample_idx, "
     + ", ".join(f"round(max({c}) FILTER (n = {n}), 6) AS rouge{n}_{s}" for n in (1, 2) for c, s in (("prec", "precision"), ("rec", "recall"), ("f1", "f1")))
     + " FROM sc GROUP BY id",
+    "rouge_n_stemmed": ", " + _rouge("v_prompts", "sample_idx", stem=True) + " SELECT id AS sample_idx, "
+    + ", ".join(f"round(max({c}) FILTER (n = {n}), 6) AS rouge{n}_{s}" for n in (1, 2) for c, s in (("prec", "precision"), ("rec", "recall"), ("f1", "f1")))
+    + " FROM sc GROUP BY id",
+    "stem_words": ", tok AS (SELECT regexp_extract_all(lower(text), '[a-z0-9]+') AS r, regexp_extract_all(lower(text), '[a-z0-9]+') AS p FROM conversations), "
+    + _stems() + " SELECT word, stem FROM stems",
+    # One row of the table of common subsequence lengths after another, by a fold over the prediction.
+    "rouge_l": """
+, tok AS (SELECT sample_idx AS id, regexp_extract_all(lower(reference), '[a-z0-9]+') AS r, regexp_extract_all(lower(prediction), '[a-z0-9]+') AS p FROM v_prompts),
+lcs AS (SELECT id, len(r) AS nr, len(p) AS np, coalesce(list_reduce(list_transform(p, lambda t: list_transform(r, lambda x: (x = t)::BIGINT)),
+  lambda acc, hit: list_transform([list_transform(range(1, len(acc) + 1), lambda j: CASE WHEN hit[j] = 1 THEN coalesce(acc[j - 1], 0) + 1 ELSE acc[j] END)],
+    lambda c: list_transform(range(1, len(c) + 1), lambda j: list_max(c[1:j])))[1],
+  list_transform(r, lambda x: 0::BIGINT))[-1], 0) AS h FROM tok),
+pr AS (SELECT id, coalesce(h / nullif(np, 0), 0) AS prec, coalesce(h / nullif(nr, 0), 0) AS rec FROM lcs)
+SELECT id AS sample_idx, round(prec, 6) AS rougeL_precision, round(rec, 6) AS rougeL_recall,
+  round(coalesce(2 * prec * rec / nullif(prec + rec, 0), 0), 6) AS rougeL_f1 FROM pr""",
     "sentence_lines": f"""
 SELECT sample_idx, regexp_replace(trim(input, {_TRIM}), '([.!?])\\s+', '\\1' || chr(10), 'g') AS input,
   regexp_replace(trim(reference, {_TRIM}), '([.!?])\\s+', '\\1' || chr(10), 'g') AS reference FROM v_prompts""",

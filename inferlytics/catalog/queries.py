@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import hardware as hw
 from ..functions.logs import extract_log_metrics
+from ..functions.stem import stem_column
+from ..functions.text import score_tokens
 from ..operators import accuracy as acc
 from ..operators import boards, clean, enrich, filters, metrics, prompts, rouge, rules, runs, similar
 from ..plans import pipelines
@@ -513,11 +515,27 @@ def rouge_n_stemmed(spark, sf):
 
 
 @query
-def rouge_l(spark, sf):
+def stem_words(spark, sf):
+    words = score_tokens(F.col("text"))
+    distinct = bridge.table(spark, sf, "conversations").select(F.explode(words).alias("word")).where("word != '\\n'").distinct()
+    return stem_column(distinct, "word", "stem")
+
+
+def lcs_scores(spark, sf) -> DataFrame:
     text = acc.normalize_sentences(bridge.prompts(spark, sf), ["reference", "prediction"])
     return rounded(rouge.rouge_l(rouge.tokenize_pairs(text, "sample_idx"), "sample_idx"), 6)
 
 
+@query
+def rouge_l(spark, sf):
+    return lcs_scores(spark, sf).select("sample_idx", "rougeL_precision", "rougeL_recall", "rougeL_f1")
+
+
+@query
+def rouge_lsum(spark, sf):
+    return lcs_scores(spark, sf).select("sample_idx", "rougeLsum_precision", "rougeLsum_recall", "rougeLsum_f1")
+
+
 @query
 def sentence_lines(spark, sf):
     return acc.normalize_sentences(bridge.prompts(spark, sf), ["input", "reference"]).select("sample_idx", "input", "reference")
