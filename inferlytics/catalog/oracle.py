@@ -504,9 +504,9 @@ SELECT sweep_id, (step + 1)::DOUBLE AS target_qps, CASE WHEN step <> 3 THEN n EN
 , lim AS (SELECT model, scenario, max(value) FILTER (key = 'ttft_latency') AS ttft, max(value) FILTER (key = 'tpot_latency') AS tpot,
   max(value) FILTER (key = 'target_latency' AND value > 0) AS latency FROM v_resolved GROUP BY ALL)
 SELECT m.run_id, m.model, m.scenario, 99::DOUBLE AS target_latency_percentile,
-  round(p99_first_token_latency_ns / 1e6, 4) AS ttft_ms, ttft AS ttft_limit_ms, round(ttft - p99_first_token_latency_ns / 1e6, 4) AS ttft_margin_ms,
-  round(p99_tpot_ns / 1e6, 4) AS tpot_ms, tpot AS tpot_limit_ms, round(tpot - p99_tpot_ns / 1e6, 4) AS tpot_margin_ms,
-  round(p99_latency_ns / 1e6, 4) AS latency_ms, latency AS latency_limit_ms, round(latency - p99_latency_ns / 1e6, 4) AS latency_margin_ms,
+  round(p99_first_token_latency_ns / 1e6, 6) AS ttft_ms, ttft AS ttft_limit_ms, round(ttft - p99_first_token_latency_ns / 1e6, 6) AS ttft_margin_ms,
+  round(p99_tpot_ns / 1e6, 6) AS tpot_ms, tpot AS tpot_limit_ms, round(tpot - p99_tpot_ns / 1e6, 6) AS tpot_margin_ms,
+  round(p99_latency_ns / 1e6, 6) AS latency_ms, latency AS latency_limit_ms, round(latency - p99_latency_ns / 1e6, 6) AS latency_margin_ms,
   (ttft IS NULL OR p99_first_token_latency_ns / 1e6 <= ttft) AND (tpot IS NULL OR p99_tpot_ns / 1e6 <= tpot)
     AND (latency IS NULL OR p99_latency_ns / 1e6 <= latency) AS valid
 FROM v_slo_model m LEFT JOIN v_token_metrics t USING (run_id) LEFT JOIN lim ON lim.model = m.model AND lim.scenario = m.scenario""",

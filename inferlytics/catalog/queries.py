@@ -251,6 +251,11 @@ def dashboard(spark, sf):
     )
 
 
+def best_table(spark, sf, keys: list[str]) -> DataFrame:
+    cols = ["metrics.result", "metrics.units", ACC, "model.name", "system.name", "submission.scenario", "submission.organization"]
+    return pipelines.best_then_price(counted(spark, sf, *cols), bridge.prices(spark, sf), keys)
+
+
 # --- boards ---------------------------------------------------------------------------
 
 
@@ -276,7 +281,7 @@ def overview(spark, sf):
 
 @query
 def performance_view(spark, sf):
-    return plain_names(boards.performance_view(dashboard_table(spark, sf)))
+    return plain_names(boards.performance_view(best_table(spark, sf, boards.PERFORMANCE_KEYS)))
 
 
 @query
@@ -288,17 +293,17 @@ def top_n_systems(spark, sf):
 
 @query
 def cost_view(spark, sf):
-    return plain_names(boards.cost_view(dashboard_table(spark, sf)))
+    return plain_names(boards.cost_view(best_table(spark, sf, boards.COST_KEYS)))
 
 
 @query
 def cost_vs_performance(spark, sf):
-    return plain_names(boards.cost_vs_performance_view(dashboard_table(spark, sf)))
+    return plain_names(boards.cost_vs_performance_view(best_table(spark, sf, boards.COST_KEYS)))
 
 
 @query
 def pair_compare(spark, sf):
-    return boards.compare_systems(boards.best_per_configuration(dashboard_table(spark, sf)))
+    return boards.compare_systems(boards.best_per_configuration(best_table(spark, sf, boards.CONFIG_KEYS)))
 
 
 @query
@@ -429,7 +434,7 @@ def rule_resolution(spark, sf):
 
 @query
 def slo_report(spark, sf):
-    return rounded(rules.slo_report(run_slo_metrics(spark, sf), bridge.rules(spark)))
+    return rounded(rules.slo_report(run_slo_metrics(spark, sf), bridge.rules(spark)), 6)
 
 
 @query

@@ -109,20 +109,23 @@ def _board(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     return best_per_group(df.select(*[qcol(c) for c in cols]), keys)
 
 
+PERFORMANCE_KEYS = ["model.name", "submission.scenario", "system.name"]
+COST_KEYS = ["model.name", "system.name"]
+
+
 def performance_view(df: DataFrame) -> DataFrame:
     """Best row per (model, scenario, system), with tokens/s per accelerator."""
-    keys = ["model.name", "submission.scenario", "system.name"]
-    return tokens_per_accelerator(_board(df, keys, VIEW_COLUMNS))
+    return tokens_per_accelerator(_board(df, PERFORMANCE_KEYS, VIEW_COLUMNS))
 
 
 def cost_view(df: DataFrame) -> DataFrame:
     """Best row per (model, system) with price and cost."""
-    return _board(df, ["model.name", "system.name"], [*VIEW_COLUMNS, "usd_per_million_tokens"])
+    return _board(df, COST_KEYS, [*VIEW_COLUMNS, "usd_per_million_tokens"])
 
 
 def cost_vs_performance_view(df: DataFrame) -> DataFrame:
     """Price against tokens/s of the best row per (model, system)."""
-    best = _board(df, ["model.name", "system.name"], VIEW_COLUMNS)
+    best = _board(df, COST_KEYS, VIEW_COLUMNS)
     return best.select(*[qcol(c) for c in ["model.name", "system.name", "system.accelerator.name", "system.total_accelerators", PRICE, TOKENS, COST]])
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import sentence_lines
 from ..operators import accuracy as acc
-from ..operators import clean, enrich, filters, runs
+from ..operators import boards, clean, enrich, filters, runs
 from ..schema import conform, qcol
 from ..sources.readers import read_run_directories
 
@@ -52,6 +52,26 @@ def dashboard(df: DataFrame, prices: DataFrame, default_price: float | None = No
     )
 
 
+def best_then_price(df: DataFrame, prices: DataFrame, keys: list[str], default_price: float | None = None) -> DataFrame:
+    """Dashboard rows of the best result per group, priced after the choice.
+
+    A price does not change which result is fastest, so the table is first reduced to one
+    row per group, before any shuffle, and only the winners meet the prices. The board views
+    give the same rows on this table as on the whole dashboard table of the same keys.
+    """
+    totals = enrich.total_accelerators(df, null_policy="one").transform(filters.tokens_only)
+    carried = [
+        "model.name", "submission.scenario", "system.name", "submission.organization", enrich.ACCELERATOR,
+        "system.total_accelerators", "metrics.result", "metrics.units", "submission.debug_uid",
+    ]
+    best = boards.best_per_group(view_columns(totals, carried), keys, metric="metrics.result")
+    return (
+        best.transform(enrich.with_prices, prices, default_price)
+        .transform(enrich.system_price)
+        .transform(enrich.cost_columns)
+    )
+
+
 def accuracy_evaluation(
     log: DataFrame, refs: DataFrame, vocab: DataFrame, vocab_size: int,
     key: str = "log_id", sep: str = "", stem: bool = True, lcs: bool = True, dedupe_references: bool = False,

@@ -293,6 +293,20 @@ def test_best_rows_equal_rank_one_and_nulls_lose(spark):
     assert boards.best_per_group(df.repartition(7), ["system.name"]).count() == 3
 
 
+def test_pricing_after_the_choice_gives_the_same_boards(spark):
+    from inferlytics.catalog import bridge
+    from inferlytics.operators.boards import COST_KEYS, PERFORMANCE_KEYS
+    from inferlytics.plans import pipelines
+
+    sf = "/root/testdata/sf0.001"
+    df = clean.cast_columns(bridge.raw_results(spark, sf), {c: "long" for c in ["system.number_of_nodes", "system.accelerator.count_per_node"]})
+    prices = bridge.prices(spark, sf)
+    whole = pipelines.dashboard(df, prices)
+    for view, keys in ((boards.cost_view, COST_KEYS), (boards.performance_view, PERFORMANCE_KEYS)):
+        a, b = view(whole), view(pipelines.best_then_price(df, prices, keys))
+        assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
 def test_kpis_count_null_as_a_value(spark):
     df = spark.createDataFrame(
         [("s", None, "a", 2), ("s", "o", "a", None)],
