@@ -12,6 +12,8 @@ from ..schema import struct
 from .layout import spread_by
 
 NEWLINE = "\n"
+#: Stands between the two token lists of a pair; no token contains it.
+BORDER = "|"
 
 
 def _scores(hits: Column, ref_n: Column, pred_n: Column) -> dict[str, Column]:
@@ -60,38 +62,45 @@ def stem_tokens(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     return stemmed.groupBy(*keys).agg(*lists)
 
 
-def _grams(tokens: Column, n: int, ref: int, pred: int) -> Column:
-    """All n-grams of a token list as rows (n, gram, ref, pred)."""
-    gram = tokens
-    count = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
-    for k in range(1, n):
-        # Shifted copies side by side; each is made once per text.
-        gram = F.zip_with(F.slice(gram, F.lit(1), count), F.slice(tokens, F.lit(k + 1), count), lambda a, b: F.concat_ws(" ", a, b))
-    return F.transform(
-        gram,
-        lambda g: F.struct(
-            F.lit(n).alias("n"), g.alias("gram"), F.lit(ref).cast("long").alias("ref"), F.lit(pred).cast("long").alias("pred")
-        ),
-    )
-
-
 def rouge_n(tokens: DataFrame, key: str, ns: tuple[int, ...] = (1, 2), carry: list[str] = []) -> DataFrame:
     """ROUGE-N precision, recall and F1, one row per pair, beside the carried columns.
 
-    The grams of both texts become rows of one list, so a single aggregation per
-    (pair, gram) counts both sides at once, and all orders share the pass.
+    Both token lists of a pair are laid end to end around a border token and zipped with
+    their shifted copies, so one pass over the positions yields the grams of all orders and
+    both sides, and a single aggregation per (pair, gram) counts them. Every step is generated
+    code. The border row stays in, which keeps pairs without any token.
     """
+    width = max(ns)
+    shifted = [F.col("_all"), *[F.slice("_all", F.lit(k + 1), F.size("_all")) for k in range(1, width)]]
+    words = [F.col(f"_t.{k}") for k in range(width)]
+
+    def gram(n: int) -> Column:
+        text = words[0] if n == 1 else F.concat(words[0], *[x for w in words[1:n] for x in (F.lit(" "), w)])
+        whole = words[0] != BORDER
+        for w in words[1:n]:
+            whole = whole & (w != BORDER)
+        return F.struct(F.lit(n).alias("n"), F.when(whole, text).alias("gram"))
+
     plain = tokens.select(
         key,
         *carry,
-        F.filter("ref_tokens", lambda t: t != NEWLINE).alias("_r"),
-        F.filter("pred_tokens", lambda t: t != NEWLINE).alias("_p"),
+        F.size(F.array_remove("ref_tokens", NEWLINE)).alias("_nr"),
+        F.concat(F.array_remove("ref_tokens", NEWLINE), F.array(F.lit(BORDER)), F.array_remove("pred_tokens", NEWLINE)).alias("_all"),
+    )
+    places = plain.select(
+        key, *carry, "_nr", F.posexplode(F.arrays_zip(*[c.alias(str(k)) for k, c in enumerate(shifted)])).alias("_pos", "_t")
     )
-    lists = [g for n in ns for g in (_grams(F.col("_r"), n, 1, 0), _grams(F.col("_p"), n, 0, 1))]
-    counts = (
-        plain.select(key, *carry, F.explode_outer(F.concat(*lists)).alias("g"))
-        .groupBy(key, *carry, F.col("g.n").alias("n"), F.col("g.gram").alias("gram"))
-        .agg(F.sum("g.ref").alias("ref"), F.sum("g.pred").alias("pred"))
+    is_border = words[0] == BORDER
+    rows = places.select(
+        key,
+        *carry,
+        (F.col("_pos") < F.col("_nr")).cast("long").alias("ref"),
+        (F.col("_pos") > F.col("_nr")).cast("long").alias("pred"),
+        is_border.alias("_border"),
+        F.explode(F.array(*[gram(n) for n in ns])).alias("g"),
+    ).where(F.col("g.gram").isNotNull() | F.col("_border"))
+    counts = rows.groupBy(key, *carry, F.col("g.n").alias("n"), F.col("g.gram").alias("gram")).agg(
+        F.sum("ref").alias("ref"), F.sum("pred").alias("pred")
     )
     zero = F.lit(0)
 
