@@ -55,8 +55,7 @@ def test_stemmer(spark):
         "hopefully hope geology geolog goodness good cats cat ties tie be be the the"
     ).split()
     df = spark.createDataFrame(list(zip(words[::2], words[1::2])), "w string, expected string")
-    bad = [(r["w"], r["s"], r["expected"]) for r in stem_column(df, "w", "s").collect() if r["s"] != r["expected"]]
-    assert bad in ([], [("hopefully", "hopefulli", "hope")]) or all(w == "hopefully" for w, _, _ in bad)
+    assert [(r["w"], r["s"]) for r in stem_column(df, "w", "s").collect() if r["s"] != r["expected"]] == []
 
 
 def score(spark, ref, pred, **options):
@@ -139,7 +138,7 @@ def test_evaluation(spark):
 
 def test_sentence_lines(spark):
     df = spark.createDataFrame([(" One. Two!  Three? four ",)], "t string")
-    assert acc.normalize_sentences(df, ["t"]).first()["t"] == "One.\nTwo!\nThree? four".replace("? ", "?\n")
+    assert acc.normalize_sentences(df, ["t"]).first()["t"] == "One.\nTwo!\nThree?\nfour"
 
 
 def double_up(frame):
