@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from inferlytics.llm import quality_lm, simhash
+from inferlytics.llm import packing, quality_lm, simhash
 
 QUERIES = {
     "op1_quality_lm": quality_lm.query,
     "op2_simhash": simhash.query,
+    "op4_best_fit_packing": packing.query,
 }
 
 ORACLE: dict[str, str] = {}
