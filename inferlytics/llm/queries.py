@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from inferlytics.llm import packing, quality_lm, simhash
+from inferlytics.llm import mixing, packing, pii, quality_lm, secret_scan, sharding, simhash, topk
 
 QUERIES = {
     "op1_quality_lm": quality_lm.query,
     "op2_simhash": simhash.query,
+    "op3_exact_topk": topk.query,
     "op4_best_fit_packing": packing.query,
+    "op7_source_mixing": mixing.query,
+    "op8_lookup_sharding": sharding.query,
+    "op9_pii_weak_labels": pii.query,
+    "op10_secret_ownership": secret_scan.query,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_exact_topk": topk.ORACLE,
+    "op7_source_mixing": mixing.ORACLE,
+}
