@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from inferlytics.llm import mixing, packing, pii, quality_lm, secret_scan, sharding, simhash, topk
+from inferlytics.llm import line_crf, mixing, packing, pii, quality_lm, secret_scan, sharding, simhash, topk, warc
 
 QUERIES = {
     "op1_quality_lm": quality_lm.query,
     "op2_simhash": simhash.query,
     "op3_exact_topk": topk.query,
     "op4_best_fit_packing": packing.query,
+    "op5_line_crf": line_crf.query,
+    "op6_zip_warc": warc.query,
     "op7_source_mixing": mixing.query,
     "op8_lookup_sharding": sharding.query,
     "op9_pii_weak_labels": pii.query,
@@ -17,5 +19,6 @@ QUERIES = {
 
 ORACLE: dict[str, str] = {
     "op3_exact_topk": topk.ORACLE,
+    "op6_zip_warc": warc.ORACLE,
     "op7_source_mixing": mixing.ORACLE,
 }
