@@ -147,21 +147,21 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT) ->
     return rows.mapInArrow(_pieces(tokenizer, limit), PIECES)
 
 
+_NONE = np.zeros(0, np.uint16)
+
+
 class _Sums:
     """Index of the lengths at hand: singles, pair sums and triple sums."""
 
     def __init__(self, counts: np.ndarray, limit: int):
         self.counts, self.limit = counts, limit
-        lengths = np.flatnonzero(counts)
-        self.pairs: dict[int, list[int]] = {}  # sum -> larger members, the smaller one follows
-        if len(lengths):
-            sums = lengths[:, None] + lengths[None, :]
-            i, j = np.nonzero((sums <= limit) & (lengths[:, None] >= lengths[None, :]))
-            order = np.argsort(sums[i, j], kind="stable")
-            totals, larger = sums[i, j][order], lengths[i][order]
-            cuts = np.flatnonzero(np.diff(totals)) + 1
-            for total, members in zip(totals[np.concatenate([[0], cuts])] if len(totals) else [], np.split(larger, cuts), strict=False):
-                self.pairs[int(total)] = members[::-1].tolist()
+        present = counts > 0
+        self.pairs: dict[int, np.ndarray] = {}  # sum -> larger members, longest first; the smaller one follows
+        for total in range(2, limit + 1):
+            larger = np.arange((total + 1) // 2, total)
+            members = larger[present[larger] & present[total - larger]]
+            if len(members):
+                self.pairs[total] = members[::-1].astype(np.uint16)
 
     def times(self, *lengths: int) -> int:
         """How often the counts allow these lengths together."""
@@ -172,12 +172,12 @@ class _Sums:
         gap = self.limit - first
         if gap and self.counts[gap]:
             yield (gap,)
-        for larger in self.pairs.get(gap, ()):
+        for larger in self.pairs.get(gap, _NONE).tolist():
             yield larger, gap - larger
         for one in np.flatnonzero(self.counts[: gap + 1])[::-1].tolist():
-            for larger in self.pairs.get(gap - one, ()):
-                if larger <= one:
-                    yield one, larger, gap - one - larger
+            pairs = self.pairs.get(gap - one, _NONE)
+            for larger in pairs[pairs <= one].tolist():
+                yield one, larger, gap - one - larger
 
 
 def plan(histogram: dict[int, int], limit: int = LIMIT) -> list[tuple[tuple[int, ...], int]]:
