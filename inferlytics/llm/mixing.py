@@ -6,7 +6,7 @@ shortage reach the level above, because a node never gets more than its whole su
 rounded down.
 
 A leaf reads its documents in the order of a seeded hash, anew for each epoch. Whole epochs take every document; of the
-last one the longest prefix that fits the rest of the budget is taken. The hash space is counted in 65,536 ranges first,
+last one the longest prefix that fits the rest of the budget is taken (nothing, if the epochs use it up). The hash space is counted in 65,536 ranges first,
 so a leaf with a third of all rows is never ordered in one task: only the one range where the budget ends is.
 
 Nulls and odd input: null domain, language or source is the node ''; leaves that the tree does not name, and weights that
@@ -120,8 +120,8 @@ def mix(rows: DataFrame, tree: DataFrame, total: int | None = None, share: tuple
     last = near.where(F.col("part") == F.col("edge")).withColumn("upto", F.col("before") + F.sum("tokens").over(order))
     columns = ["doc_id", "text_key", *LEVELS, "tokens"]
     both = near.where(F.col("part") != F.col("edge")).select(
-        *columns, (F.col("whole") + (F.col("part") < F.col("edge")).cast("int")).alias("copies")
-    ).union(last.select(*columns, (F.col("whole") + (F.col("upto") <= F.col("rest")).cast("int")).alias("copies")))
+        *columns, (F.col("whole") + ((F.col("part") < F.col("edge")) & (F.col("rest") > 0)).cast("int")).alias("copies")
+    ).union(last.select(*columns, (F.col("whole") + ((F.col("upto") <= F.col("rest")) & (F.col("rest") > 0)).cast("int")).alias("copies")))
     return both.where("copies > 0").select(*columns, F.col("copies").cast("int").alias("copies"))
 
 
@@ -224,6 +224,6 @@ WITH d AS (
     sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5(concat_ws(':', '7', CAST(b // supply AS VARCHAR), CAST(doc_id AS VARCHAR))) ROWS UNBOUNDED PRECEDING) AS upto
   FROM d JOIN s3 USING (domain, lang, source)
 )
-SELECT doc_id, domain, lang, source, CAST(tokens AS BIGINT) AS tokens, CAST(whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS INTEGER) AS copies
-FROM p WHERE whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END > 0
+SELECT doc_id, domain, lang, source, CAST(tokens AS BIGINT) AS tokens, CAST(whole + CASE WHEN upto <= rest AND rest > 0 THEN 1 ELSE 0 END AS INTEGER) AS copies
+FROM p WHERE whole + CASE WHEN upto <= rest AND rest > 0 THEN 1 ELSE 0 END > 0
 """
