@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.layout import spread_small_input
 from ..operators.ranks import ordered_index
 
 DAY_US = 86_400_000_000
@@ -16,8 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fact_table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
-    """Needed columns of a large table, spread over the task slots if it is a single split."""
-    return spread_small_input(table(spark, sf_dir, name).select(*cols))
+    """Needed columns of a large table."""
+    return table(spark, sf_dir, name).select(*cols)
 
 
 def choose(index: Column, values: list) -> Column:

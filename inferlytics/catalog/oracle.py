@@ -452,10 +452,10 @@ SELECT model, uid_a, uid_b, ix, iy, x AS price_per_hour, y AS tokens_per_second,
   CASE WHEN price_a * perf_a / 60 = 0 THEN 0 ELSE d / nullif(price_a * perf_a / 60, 0) * 100 END AS cost_delta_pct_of_cost,
   greatest(abs((mx * my - price_a * perf_a) / 60), abs(price_a * perf_a / 60)) AS max_abs_cost_delta
 FROM (SELECT *, (x * y - price_a * perf_a) / 60 AS d FROM (
-  SELECT *, CASE WHEN ix = 4 THEN mx ELSE ix * (mx / 4) END AS x, CASE WHEN iy = 4 THEN my ELSE iy * (my / 4) END AS y FROM (
+  SELECT *, CASE WHEN ix = 99 THEN mx ELSE ix * (mx / 99) END AS x, CASE WHEN iy = 99 THEN my ELSE iy * (my / 99) END AS y FROM (
     SELECT *, uid AS uid_b, greatest(price_a, system_price) * 1.25::DOUBLE AS mx, greatest(perf_a, tokens_per_second) * 1.25::DOUBLE AS my
-    FROM v_pairs WHERE price_a IS NOT NULL AND system_price IS NOT NULL),
-  (SELECT unnest(range(0, 5))::INT AS ix), (SELECT unnest(range(0, 5))::INT AS iy)))""",
+    FROM v_pairs WHERE uid = (SELECT min(uid) FROM v_pairs WHERE price_a IS NOT NULL AND system_price IS NOT NULL)),
+  (SELECT unnest(range(0, 100))::INT AS ix), (SELECT unnest(range(0, 100))::INT AS iy)))""",
     "select_runs": """
 SELECT uid, organization, accelerator FROM v_board WHERE model = 'mixtral-8x7b' AND organization IN ('NATION_1', 'NATION_3', 'NATION_15')
   AND accelerator IN ('TPU-v5e Brand#11', 'speedAI Brand#2', 'NVIDIA H100 Brand#4')""",
@@ -537,6 +537,7 @@ FROM (SELECT *, coalesce(system_prompt, '') AS sys, CASE WHEN contains(lower(mod
     "prompt_fit": f"""
 SELECT sample_idx, array_to_string(list_concat(w[1:24], list_transform(range(0, greatest(24 - len(w), 0)), lambda i: '<pad>')), ' ') AS fitted, least(len(w), 24)::INT AS n_tokens
 FROM (SELECT sample_idx, list_filter(regexp_split_to_array(trim(input, {_TRIM}), '\\s+'), lambda x: x <> '') AS w FROM v_prompts)""",
+    "limited_prompts": "SELECT sample_idx, conv_id, turn FROM v_prompts WHERE sample_idx < 100",
     "prompt_batches": "SELECT sample_idx, conv_id, turn, sample_idx // 64 AS batch_id FROM v_prompts",
     "map_batches": "SELECT sample_idx, len(string_split(input, ' ')) AS words, length(input) AS chars FROM v_prompts",
     "hex_decode": "SELECT log_id, len(ids)::INT AS n, array_to_string(ids, ',') AS ids FROM v_ids",

@@ -308,7 +308,9 @@ def pair_compare(spark, sf):
 
 @query
 def cost_sensitivity(spark, sf):
-    return boards.cost_sensitivity(pair_compare(spark, sf), points=5)
+    priced = pair_compare(spark, sf).where("price_per_hour_a IS NOT NULL AND price_per_hour_b IS NOT NULL")
+    named = priced.agg(F.min("uid_b").alias("uid_b"))
+    return boards.cost_sensitivity(priced.join(named, "uid_b", "left_semi"))
 
 
 @query
@@ -470,6 +472,11 @@ def prompt_fit(spark, sf):
     return out.select("sample_idx", "fitted", "n_tokens")
 
 
+@query
+def limited_prompts(spark, sf):
+    return prompts.limit_samples(bridge.prompts(spark, sf), 100).select("sample_idx", "conv_id", "turn")
+
+
 @query
 def prompt_batches(spark, sf):
     out = prompts.assign_batches(prompts.limit_samples(bridge.prompts(spark, sf), None), 64)
@@ -558,6 +565,12 @@ def corpus_accuracy(spark, sf):
     return acc.corpus_accuracy(pairs, key="sample_idx", stem=False, lcs=False)
 
 
+@query
+def corpus_accuracy_full(spark, sf):
+    pairs = bridge.prompts(spark, sf).withColumn("n_tokens", F.size(F.split("prediction", " ")))
+    return acc.corpus_accuracy(pairs, key="sample_idx")
+
+
 def evaluation(spark, sf, **options) -> tuple[DataFrame, DataFrame]:
     refs = bridge.prompts(spark, sf).select("sample_idx", "system_prompt", "input", "reference")
     return pipelines.accuracy_evaluation(
@@ -570,6 +583,11 @@ def accuracy_evaluation(spark, sf):
     return evaluation(spark, sf, stem=False, lcs=False)[1]
 
 
+@query
+def accuracy_evaluation_full(spark, sf):
+    return evaluation(spark, sf)[1]
+
+
 @query
 def accuracy_details(spark, sf):
     return evaluation(spark, sf)[0].select("log_id", "qsl_idx", "prediction", "n_tokens", *acc.SCORES)

@@ -7,21 +7,8 @@ from pyspark.sql import functions as F
 
 
 def spread_by(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash rows by near-unique keys into the session's number of shuffle partitions.
+    """Hash rows by near-unique keys; adaptive execution chooses the number of tasks.
 
-    The number is given outright, so that small but compute-heavy inputs keep their tasks
-    instead of being merged into one for their few bytes. Aggregations on the keys that
-    follow need no further shuffle.
+    Aggregations on the keys that follow need no further shuffle.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(parts, *[F.col(k) for k in keys])
-
-
-def spread_small_input(df: DataFrame) -> DataFrame:
-    """Spread a table that arrives in fewer splits than there are task slots.
-
-    A single small file is one split and would keep one core busy. Tables with enough
-    splits, as any large one has, pass through unchanged and unshuffled.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+    return df.repartition(*[F.col(k) for k in keys])

@@ -123,22 +123,24 @@ def read_published(spark: SparkSession, path: str, split: str | None = None) ->
     return spark.read.option("recursiveFileLookup", True).parquet(path)
 
 
-def read_prices(spark: SparkSession, path: str) -> DataFrame:
-    """(name, price_per_hour) of flat JSON objects; the last of repeated names wins."""
-    pairs = r'"((?:[^"\\]|\\.)*)"\s*:\s*(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)'
-    found = F.arrays_zip(
-        F.regexp_extract_all("text", F.lit(pairs), F.lit(1)).alias("name"),
-        F.regexp_extract_all("text", F.lit(pairs), F.lit(2)).alias("price"),
-    )
+def parse_prices(files: DataFrame) -> DataFrame:
+    """(name, price_per_hour) of JSON object texts in (path, text) rows; the last of repeated names wins.
+
+    A value that is no number (also a nested object) gives a null price; text that is no object gives nothing.
+    """
+    entries = F.from_json("text", "map<string,string>")
     return (
-        _whole_files(spark, path)
-        .select(F.posexplode(found).alias("pos", "p"))
-        .select("pos", F.col("p.name").alias("name"), F.col("p.price").try_cast("double").alias("price"))
+        files.select("path", F.posexplode(entries).alias("pos", "name", "price"))
         .groupBy("name")
-        .agg(F.max_by("price", "pos").alias("price_per_hour"))
+        .agg(F.max_by(F.col("price").try_cast("double"), F.struct("path", "pos")).alias("price_per_hour"))
     )
 
 
+def read_prices(spark: SparkSession, path: str) -> DataFrame:
+    """(name, price_per_hour) of the JSON objects below ``path``."""
+    return parse_prices(_whole_files(spark, path))
+
+
 def read_prompts(
     spark: SparkSession, path: str, input_col: str, output_col: str | None = None,
     system_col: str | None = None, index_col: str = "sample_idx", fmt: str = "parquet", split: str | None = None,

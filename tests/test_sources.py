@@ -38,6 +38,9 @@ def test_result_summaries_to_dashboard(cased, tmp_path):
     put(tmp_path / "prices.json", '{"NVIDIA L4": 0.40, "TPU-v5e": 1.20,\n "a \\"b\\"": 3}')
     prices = readers.read_prices(cased, str(tmp_path / "prices.json"))
     assert {r["name"]: r["price_per_hour"] for r in prices.collect()}["NVIDIA L4"] == 0.4 and prices.count() == 3
+    put(tmp_path / "odd.json", '{"Acme \\"X\\" \\u00e9":1.5,"nested":{"inner":7}, "A": 1, "A": 2}')
+    odd = {r["name"]: r["price_per_hour"] for r in readers.read_prices(cased, str(tmp_path / "odd.json")).collect()}
+    assert odd == {'Acme "X" é': 1.5, "nested": None, "A": 2.0}
     board = pipelines.dashboard(clean_rows, prices)
     assert {r["submission.debug_uid"]: r["system.price_per_hour"] for r in board.collect()} == {"1": pytest.approx(3.2), "2": None}
     assert boards.overview(board).count() == 2
