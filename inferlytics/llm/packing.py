@@ -100,7 +100,10 @@ class WordEncoder:
     def encode(self, texts: pa.Array, together: int = 4000) -> Iterator[bytes]:
         end = np.array([END_TOKEN], "<u4").tobytes()
         for at in range(0, len(texts), together):
-            words = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(at, together)))
+            part = texts.slice(at, together)
+            # special tokens are told from like texts by their case
+            part = pc.if_else(pc.match_substring(part, "<|"), part, pc.ascii_lower(part))
+            words = pc.ascii_split_whitespace(part)
             coded = words.flatten().dictionary_encode()
             known = self.recall(coded.dictionary.to_pylist())
             which = coded.indices.to_numpy(zero_copy_only=False)
