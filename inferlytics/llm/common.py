@@ -8,7 +8,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -60,32 +59,73 @@ def documents_only(docs: DataFrame) -> DataFrame:
     return docs.select(*DOCUMENTS)
 
 
-SPAN = T.StructType(
-    [T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("value", T.StringType())]
-)
+FOLD = 64  # spans in one fold; an array grows by copying, so long runs are cut
 
 
-def find_spans(text: Column, pattern: str, gate: Column | None = None) -> Column:
+def find_spans(text: Column, pattern: str, gate: Column | None = None, near: int = 0) -> Column:
     """All leftmost non-overlapping matches as array<struct<start,end,value>>, positions in code points.
 
-    The pieces between matches give the positions. ``gate`` is a cheap test; texts that fail it are not searched.
-    A pattern must not match the empty string.
+    With ``near`` also ``left`` and ``right``: up to so many characters before a match, no further than the begin of the
+    match before, and the character after it. The pieces between matches give positions and neighbours, so the work grows
+    with the text and not with matches times text. ``gate`` is a cheap test; texts that fail it are not searched. A
+    pattern must not match the empty string.
     """
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda piece: F.length(piece))
-    pairs = F.zip_with(values, gaps, lambda value, gap: F.struct(value.alias("value"), gap.alias("gap")))
-    empty = F.array().cast(T.ArrayType(SPAN))
-    start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-
-    def step(state: Column, pair: Column) -> Column:
-        begin = state["at"] + pair["gap"]
-        end = begin + F.length(pair["value"])
-        span = F.struct(begin.alias("start"), end.alias("end"), pair["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
-
-    found = F.aggregate(F.filter(pairs, lambda p: p["value"].isNotNull()), start, step, lambda s: s["spans"])
+    pieces = F.split(text, pattern, -1)
+    fields = ["start int", "end int", "value string", *(["left string", "right string"] if near else [])]
+    empty = F.array().cast(f"array<struct<{','.join(f.replace(' ', ':') for f in fields)}>>")
+
+    def placed(bound: Column) -> Column:
+        vs, ps = bound["values"], bound["pieces"]
+
+        def one(value: Column, i: Column) -> Column:
+            before = F.get(ps, i)
+            size = F.length(value)
+            out = [value.alias("value"), F.length(before).alias("gap"), (F.length(before) + size).alias("size")]
+            if near:
+                left = F.right(F.concat(F.coalesce(F.get(vs, i - 1), F.lit("")), before), F.lit(near))
+                right = F.left(F.concat(F.get(ps, i + 1), F.coalesce(F.left(F.get(vs, i + 1), F.lit(1)), F.lit(""))), F.lit(1))
+                out += [left.alias("left"), right.alias("right")]
+            return F.struct(*out)
+
+        return F.transform(vs, one)
+
+    def step(state: Column, m: Column) -> Column:
+        end = state["at"] + m["size"]
+        span = [(state["at"] + m["gap"]).alias("start"), end.alias("end"), m["value"].alias("value")]
+        span += [m["left"].alias("left"), m["right"].alias("right")] if near else []
+        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(F.struct(*span))).alias("spans"))
+
+    def run(ms: Column, k: Column) -> Column:
+        return F.slice(ms, k * FOLD + 1, F.lit(FOLD))
+
+    def folded(bound: Column) -> Column:
+        ms, sums = bound["ms"], bound["sums"]
+
+        def fold(k: Column) -> Column:
+            at = F.aggregate(F.slice(sums, F.lit(1), k), F.lit(0), lambda a, x: a + x)
+            return F.aggregate(run(ms, k), F.struct(at.alias("at"), empty.alias("spans")), step, lambda s: s["spans"])
+
+        return F.flatten(F.transform(_runs(ms), fold))
+
+    def summed(ms: Column) -> Column:
+        sums = F.transform(_runs(ms), lambda k: F.aggregate(run(ms, k), F.lit(0), lambda a, m: a + m["size"]))
+        return F.struct(ms.alias("ms"), sums.alias("sums"))
+
+    found = _bind(F.struct(values.alias("values"), pieces.alias("pieces")), placed)
+    found = _bind(_bind(found, summed), folded)
     hit = text.rlike(pattern) if gate is None else gate
-    return F.when(hit, found).otherwise(empty)
+    return F.when(hit, F.coalesce(found, empty)).otherwise(empty)
+
+
+def _runs(items: Column) -> Column:
+    """Numbers of the runs of ``FOLD`` items; one run, which is empty, of no items."""
+    return F.sequence(F.lit(0), F.floor(F.greatest(F.size(items) - 1, F.lit(0)) / FOLD).cast("int"))
+
+
+def _bind(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def span_text(spans: Column) -> Column:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from inferlytics.llm.common import DOCUMENTS, find_spans, only, settle, span_text, table
 
 KINDS = ("email", "ip", "card", "phone")
-NEAR = 24  # characters before a span that the context labeler reads
+NEAR = 24  # characters before a span that the context labeler reads, back to the match before at most
 ROUNDS = 60
 MAIL = "[A-Za-z0-9._%+-]"
 HOST = "[A-Za-z0-9-]"
@@ -87,7 +87,7 @@ def _valid(kind: str, value: Column) -> Column:
 
 
 def base_spans(text: Column, kind: str) -> Column:
-    spans = find_spans(text, BASE[kind], text.rlike(GATE[kind]))
+    spans = find_spans(text, BASE[kind], text.rlike(GATE[kind]), NEAR)
     return F.filter(spans, lambda s: _valid(kind, s["value"])) if kind != "email" else spans
 
 
@@ -111,15 +111,12 @@ def _symbol(c: Column) -> Column:
     return F.when(c.rlike(r"^\s?$"), "s").when(c.rlike(r"^\p{L}$"), "a").when(c.rlike(r"^[0-9]$"), "9").otherwise("o")
 
 
-def _described(kind: str, text: Column, spans: Column, base: bool) -> Column:
+def _described(kind: str, spans: Column, base: bool) -> Column:
     rank = KINDS.index(kind)
 
     def one(s: Column) -> Column:
-        value = s["value"]
-        at = F.greatest(s["start"] - NEAR, F.lit(0))
-        near = F.substring(text, at + 1, s["start"] - at)
-        left = F.when(s["start"] > 0, F.substring(text, s["start"], F.lit(1))).otherwise("")
-        right = F.substring(text, s["end"] + 1, F.lit(1))
+        value, near, right = s["value"], s["left"], s["right"]
+        left = F.right(near, F.lit(1))
         border = r"^[\p{L}0-9]$"
         share = F.length(_digits(value)) / F.length(value)
         votes = F.concat(
@@ -149,12 +146,12 @@ def candidates(docs: DataFrame) -> DataFrame:
     """The documents' columns and ``found``: array of all candidate spans with votes and features."""
     text = F.coalesce(F.col("text"), F.lit(""))
     spans = docs.withColumns(
-        {f"_base_{k}": base_spans(text, k) for k in KINDS} | {f"_wide_{k}": find_spans(text, WIDE[k], text.rlike(WIDE_GATE[k])) for k in KINDS}
+        {f"_base_{k}": base_spans(text, k) for k in KINDS} | {f"_wide_{k}": find_spans(text, WIDE[k], text.rlike(WIDE_GATE[k]), NEAR) for k in KINDS}
     )
     parts = []
     for kind in KINDS:
-        parts.append(_described(kind, text, F.col(f"_base_{kind}"), True))
-        parts.append(_described(kind, text, _apart(F.col(f"_wide_{kind}"), F.col(f"_base_{kind}")), False))
+        parts.append(_described(kind, F.col(f"_base_{kind}"), True))
+        parts.append(_described(kind, _apart(F.col(f"_wide_{kind}"), F.col(f"_base_{kind}")), False))
     some = F.greatest(*[F.size(f"_{form}_{kind}") for form in ("base", "wide") for kind in KINDS]) > 0
     found = F.when(some, F.concat(*parts))
     return spans.withColumn("found", found).drop(*[f"_{form}_{k}" for form in ("base", "wide") for k in KINDS])

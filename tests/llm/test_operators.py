@@ -9,9 +9,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from inferlytics.llm import line_crf, mixing, packing, pii, quality_lm, secret_scan, sharding, simhash, topk, warc
+from inferlytics.llm.common import find_spans
 from inferlytics.llm.queries import ORACLE, QUERIES
 from tests.check_oracle import compare, duck
 
@@ -415,6 +418,30 @@ def test_base_spans_equal_definition(spark, docs):
     assert pii.find(docs).count() == docs.count()
 
 
+def test_many_spans_with_neighbours_equal_definition(spark):
+    rng = random.Random(11)
+    texts = ["".join(rng.choice(["12", "7", "é😀", "word ", "-", " " * 9]) for _ in range(n)) for n in (0, 1, 5, 90, 129, 2000)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    found = rows.select("i", find_spans(F.col("text"), "[0-9]+", near=4).alias("s")).collect()
+    for row in found:
+        text, last, want = texts[row["i"]], 0, []
+        for m in re.finditer("[0-9]+", text):
+            want.append((m.start(), m.end(), m[0], text[max(last, m.start() - 4) : m.start()], text[m.end() : m.end() + 1]))
+            last = m.start()
+        assert [tuple(s) for s in row["s"]] == want
+
+
+def test_special_tokens_keep_their_case():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(packing.TOKENIZER)
+    texts = ["a <|ENDOFTEXT|> b", "A<|endoftext|>B", "<|StartOfText|>", "Plain TEXT", ""]
+    whole = Tokenizer.from_file(path)
+    for text, ids in zip(texts, packing.WordEncoder(path).encode(pa.array(texts)), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == [*whole.encode(text, add_special_tokens=False).ids, 1]
+
+
 def test_long_domain_is_one_span(spark):
     row = pii.find(spark.createDataFrame([(1, TEXTS[13])], "doc_id long, text string")).first()
     assert row["n_email"] == 1 and row["spans"].startswith(f"email:0:{len(TEXTS[13])}")
