@@ -291,6 +291,33 @@ def run_halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     return perf, acc, results
 
 
+def run_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, text): files of one run directory per order, some with sweeps, own keys, odd numbers or broken text."""
+    orders = table(spark, sf_dir, "orders")
+    key, total = F.col("o_orderkey"), F.col("o_totalprice")
+    place = F.concat(F.lit("/runs/"), F.lpad(key.cast("string"), 10, "0"), F.lit("-1/"))
+    sweep = F.array(F.struct(key.alias("target_qps")))
+    perf = F.to_json(
+        F.struct(
+            F.when(key % 10 != 1, total).alias("samples_per_second"),
+            F.col("o_orderstatus").alias("scenario"),
+            F.col("o_orderpriority").alias("gpu"),
+            F.concat(key.cast("string"), F.when(key % 5 == 0, ".5").otherwise("")).alias("gen_len"),
+            F.when(key % 7 == 0, total * 2).alias("max_throughput"),
+            F.when(key % 7 == 0, sweep).alias("sweep_results"),
+        )
+    )
+    acc = F.to_json(F.struct((total / 2).alias("samples_per_second"), F.lit("Offline").alias("scenario"), F.lit("acc").alias("gpu"), F.lit("n").alias("note")))
+    results = F.to_json(F.struct((key % 100).cast("double").alias("rouge1"), (key % 9 + 0.5).alias("gen_num")))
+    files = [
+        (key % 3 != 0, "performance/benchmark_results.json", F.when(key % 11 == 0, F.lit("{ broken")).otherwise(perf)),
+        (key % 2 == 0, "accuracy/benchmark_results.json", F.when(key % 13 == 0, F.lit("[1]")).otherwise(acc)),
+        (key % 4 == 0, "accuracy/accuracy_results.json", F.when(key % 17 == 0, F.lit(" {} ")).otherwise(results)),
+    ]
+    some = F.array_compact(F.array(*[F.when(has, F.struct(F.concat(place, F.lit(name)).alias("path"), text.alias("text"))) for has, name, text in files]))
+    return orders.select(F.explode(some).alias("f")).select("f.path", "f.text")
+
+
 def published_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(
         F.concat(F.lit("pub"), F.col("c_custkey").cast("string")).alias("run_id"),
@@ -299,18 +326,29 @@ def published_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- fixed values: lines of a summary log, in its order ----------------------------
+LOG_LINES = [
+    "50.00 percentile latency", "90.00 percentile latency", "99.00 percentile latency",
+    "Min First Token latency", "Max First Token latency", "Mean First Token latency",
+    "50.00 percentile first token latency", "90.00 percentile first token latency", "95.00 percentile first token latency",
+    "97.00 percentile first token latency", "99.00 percentile first token latency", "99.90 percentile first token latency",
+    "Min Time to Output Token", "Max Time to Output Token", "Mean Time to Output Token",
+    "50.00 percentile time to output token", "90.00 percentile time to output token", "95.00 percentile time to output token",
+    "97.00 percentile time to output token", "99.00 percentile time to output token", "99.90 percentile time to output token",
+]
+# --- end of fixed values -------------------------------------------------------------
+
+
 def log_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One summary log text per event: (run_id, text, samples)."""
     ev = events(spark, sf_dir)
-    line = F.lit("\n")
-    plain = [
-        F.lit("Completed samples per second    : "), F.col("value").cast("string"), line,
-        F.lit("Completed tokens per second : "), F.col("k").cast("string"), line,
-        F.lit("Result is : "), F.when(F.col("event_type") == "error", "INVALID").otherwise("VALID"), line,
-        F.when(F.col("k") % 2 == 0, F.lit("Early stopping satisfied\n")).otherwise(F.lit("")),
-        F.lit("Mean latency (ns) : "), F.col("k").cast("string"), F.lit(".5e+06"), line,
-        F.lit("99.00 percentile latency (ns)   : "), (F.col("k") * 100).cast("string"), line,
-        F.lit("99.90 percentile first token latency (ns) : "), (F.col("k") * 7).cast("string"), line,
-        F.lit("50.00 percentile time to output token (ns) : "), (F.col("k") + 3).cast("string"),
+    k = F.col("k")
+    lines = [
+        F.concat(F.lit("Completed samples per second    : "), F.col("value").cast("string")),
+        F.concat(F.lit("Completed tokens per second : "), k.cast("string")),
+        F.concat(F.lit("Result is : "), F.when(F.col("event_type") == "error", "INVALID").otherwise("VALID")),
+        F.when(k % 2 == 0, F.lit("Early stopping satisfied")),
+        F.concat(F.lit("Mean latency (ns) : "), k.cast("string"), F.lit(".5e+06")),
+        *[F.concat(F.lit(f"{label} (ns)   : "), (k * n + n).cast("string")) for n, label in enumerate(LOG_LINES, 2)],
     ]
-    return ev.select(F.col("event_id").cast("string").alias("run_id"), F.concat(*plain).alias("text"), F.col("k").alias("samples"))
+    return ev.select(F.col("event_id").cast("string").alias("run_id"), F.concat_ws("\n", *lines).alias("text"), F.col("k").alias("samples"))

@@ -263,9 +263,8 @@ def _stems() -> str:
 
     def pattern(w: str) -> str:
         out = f"regexp_replace(translate({w}, '{letters}', '{classes}'), '^y', 'c')"
-        for _ in range(3):
-            out = f"replace(replace({out}, 'cy', 'cv'), 'vy', 'vc')"
-        return out
+        kind = "CASE WHEN x <> 'y' THEN x WHEN right(a, 1) = 'c' THEN 'v' ELSE 'c' END"
+        return f"CASE WHEN contains({w}, 'y') THEN list_reduce(string_split({out}, ''), lambda a, x: a || {kind}) ELSE {out} END"
 
     def stem(cut: int) -> str:
         return f"left(w, length(w) - {cut})"
@@ -353,6 +352,15 @@ _QUALITY = [
     ("integer:system.number_of_nodes", "nodes", lambda c: f"try_cast({c} AS BIGINT)"),
 ]
 
+_LATENCIES = ", ".join(
+    f"(k * {n} + {n})::DOUBLE AS {name}"
+    for n, name in enumerate(
+        [f"p{p}_latency_ns" for p in (50, 90, 99)]
+        + [f"{s}_{kind}_ns" for kind in ("first_token_latency", "tpot") for s in ("min", "max", "mean", "p50", "p90", "p95", "p97", "p99", "p99_9")],
+        2,
+    )
+)
+
 STATEMENTS = {
     "aliases_resolved": """
 SELECT uid AS submission_debug_uid, organization AS submission_organization, scenario AS submission_scenario,
@@ -520,11 +528,11 @@ v AS (SELECT id, list_filter([
   CASE WHEN s = 2 AND m = 1 THEN 'single_stream_without_accuracy' END,
   CASE WHEN sweep AND m IN (1, 2) THEN 'sweep_without_accuracy' END], lambda x: x IS NOT NULL) AS l FROM cfg)
 SELECT id AS config_id, len(l)::INT AS n, array_to_string(l, ',') AS violations FROM v""",
-    "log_metrics": """
-SELECT event_id::VARCHAR AS run_id, value AS samples_per_second, k::DOUBLE AS tokens_per_second, k + 0.5::DOUBLE AS mean_latency_ns,
-  NULL::DOUBLE AS p50_latency_ns, k * 100::DOUBLE AS p99_latency_ns, k * 7::DOUBLE AS p99_9_first_token_latency_ns, (k + 3)::DOUBLE AS p50_tpot_ns,
+    "log_metrics": f"""
+SELECT event_id::VARCHAR AS run_id, value AS samples_per_second, k::DOUBLE AS tokens_per_second, k + 0.5::DOUBLE AS mean_latency_ns, {_LATENCIES},
   event_type <> 'error' AS valid, (CASE WHEN k % 2 = 0 THEN k ELSE 0 END)::BIGINT AS completed, k::BIGINT AS total_samples FROM v_events""",
-    "log_metrics_strict": "SELECT event_id::VARCHAR AS run_id, (k || '.5e+06')::DOUBLE AS mean_latency_ns FROM v_events",
+    "log_metrics_strict": f"""
+SELECT event_id::VARCHAR AS run_id, value AS samples_per_second, k::DOUBLE AS tokens_per_second, (k || '.5e+06')::DOUBLE AS mean_latency_ns, {_LATENCIES} FROM v_events""",
     "prompt_render": f"""
 SELECT sample_idx, family, trim(CASE family
   WHEN 'llama2' THEN '<s>[INST] <<SYS>>' || chr(10) || sys || chr(10) || '<</SYS>>' || chr(10) || chr(10) || input || ' [/INST]'
@@ -575,6 +583,18 @@ SELECT round_even(avg(f1) FILTER (n = 1) * 100, 4) AS rouge1, round_even(avg(f1)
   (SELECT sum(n_tokens)::BIGINT FROM v_samples) AS gen_tok_len,
   (SELECT round_even(sum(n_tokens) / count(*), 1) FROM v_samples) AS tokens_per_sample, NULL::VARCHAR AS error FROM sc""",
     "run_merge": "SELECT run_id, samples_per_second, scenario, rouge1, mode, gen_num FROM v_merged",
+    "run_files": """
+WITH f AS (
+  SELECT *, o_orderkey AS k, o_orderkey % 3 <> 0 AND o_orderkey % 11 <> 0 AS p, o_orderkey % 2 = 0 AND o_orderkey % 13 <> 0 AS a,
+    o_orderkey % 4 = 0 AND o_orderkey % 17 <> 0 AS r FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0
+)
+SELECT lpad(k::VARCHAR, 10, '0') || '-1' AS run_id, CASE WHEN p AND k % 10 <> 1 THEN o_totalprice WHEN a THEN o_totalprice / 2 END AS samples_per_second,
+  CASE WHEN p THEN o_orderstatus WHEN a THEN 'Offline' END AS scenario,
+  CASE WHEN p AND (a OR r) THEN 'PerformanceAndAccuracy' WHEN p THEN 'PerformanceOnly' WHEN a OR r THEN 'AccuracyOnly' END AS mode,
+  NULL::VARCHAR AS datetime, CASE WHEN p AND k % 5 <> 0 THEN k END AS gen_len, CASE WHEN p THEN o_orderpriority WHEN a THEN 'acc' END AS gpu,
+  CASE WHEN p AND k % 5 = 0 THEN k || '.5' END AS gen_len_text, CASE WHEN p AND k % 7 = 0 THEN o_totalprice * 2 END AS max_throughput,
+  CASE WHEN p AND k % 7 = 0 THEN '[{"target_qps":' || k || '}]' END AS sweep_results, CASE WHEN a THEN 'n' END AS note,
+  CASE WHEN r THEN (k % 100)::DOUBLE END AS rouge1, CASE WHEN r THEN k % 9 + 0.5 END::DOUBLE AS gen_num FROM f""",
     "union_runs": """
 SELECT 'published' AS source, 'pub' || c_custkey AS run_id, c_acctbal AS samples_per_second, c_mktsegment AS segment, NULL AS mode FROM customer
 UNION ALL SELECT 'local', run_id, samples_per_second, NULL, mode FROM v_merged""",

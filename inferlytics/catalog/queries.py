@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hardware as hw
-from ..functions.logs import extract_log_metrics
+from ..functions.logs import LOG_PATTERNS, extract_log_metrics
 from ..functions.stem import stem_column
 from ..functions.text import score_tokens
 from ..operators import accuracy as acc
 from ..operators import boards, clean, enrich, filters, metrics, prompts, rouge, rules, runs, similar
 from ..plans import pipelines
 from ..schema import conform, plain_names, qcol
+from ..sources import readers
 from ..sources.writers import write_results
 from ..streaming import streams
 from ..streaming.storage import shared_folder
@@ -90,7 +91,7 @@ def integer_casts(spark, sf):
 
 @query
 def quality_report(spark, sf):
-    return clean.quality_report(bridge.raw_results(spark, sf), bridge.prices(spark, sf))
+    return clean.quality_report(bridge.raw_results(spark, sf, clean.reported_columns()), bridge.prices(spark, sf))
 
 
 # --- enrichment -----------------------------------------------------------------------
@@ -448,13 +449,12 @@ def config_violations(spark, sf):
 @query
 def log_metrics(spark, sf):
     out = extract_log_metrics(bridge.log_texts(spark, sf), total=F.col("samples"))
-    names = ["samples_per_second", "tokens_per_second", "mean_latency_ns", "p50_latency_ns", "p99_latency_ns", "p99_9_first_token_latency_ns", "p50_tpot_ns"]
-    return out.select("run_id", *names, "valid", "completed", "total_samples")
+    return out.select("run_id", *LOG_PATTERNS, "valid", "completed", "total_samples")
 
 
 @query
 def log_metrics_strict(spark, sf):
-    return extract_log_metrics(bridge.log_texts(spark, sf), strict=True).select("run_id", "mean_latency_ns")
+    return extract_log_metrics(bridge.log_texts(spark, sf), strict=True).select("run_id", *LOG_PATTERNS)
 
 
 # --- prompts and accuracy -------------------------------------------------------------
@@ -608,6 +608,19 @@ def run_merge(spark, sf):
     )
 
 
+@query
+def run_files(spark, sf):
+    """Runs from file texts: unknown keys, mistyped numbers and texts that are no JSON among them."""
+    files = bridge.run_files(spark, sf)
+    out = runs.merge_runs(*readers.run_halves(readers.parse_run_files(files)))
+    return out.select(
+        "run_id", "samples_per_second", "scenario", "mode", "datetime", "gen_len", F.col("extra.gpu").alias("gpu"),
+        F.col("extra.gen_len").alias("gen_len_text"), F.col("extra.max_throughput").try_cast("double").alias("max_throughput"),
+        F.col("extra.sweep_results").alias("sweep_results"), F.col("extra.note").alias("note"),
+        F.col("accuracy_results.rouge1").alias("rouge1"), F.col("accuracy_results.extra.gen_num").try_cast("double").alias("gen_num"),
+    )
+
+
 @query
 def union_runs(spark, sf):
     out = runs.combine(bridge.published_runs(spark, sf), merged(spark, sf))

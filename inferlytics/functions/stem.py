@@ -4,7 +4,7 @@ The published algorithm (M. F. Porter, 1980) with the usual corrections of curre
 toolkits: a few irregular words, ``-ied``, ``-alli``, ``-fulli``, ``-logi``, ``-bli`` and a
 milder rule for a final y. Every step is one projection of string built-ins; a word's
 consonant/vowel pattern is a string of the same length, so the pattern of a stem is a prefix.
-A run of seven or more y is not resolved to its end.
+A run of y alternates between both kinds, however long it is.
 """
 
 from __future__ import annotations
@@ -45,8 +45,10 @@ def _pattern(w: Column) -> Column:
     raw = F.translate(w, letters, classes)
     # A y is a consonant at the start and after a vowel, and a vowel after a consonant.
     out = F.regexp_replace(raw, "^y", "c")
-    for _ in range(3):
-        out = F.replace(F.replace(out, F.lit("cy"), F.lit("cv")), F.lit("vy"), F.lit("vc"))
+    # A run goes on in pairs from where the last pair ended; at most one y is left at its end.
+    for before, after in ("cv", "vc"):
+        out = F.regexp_replace(out, f"(?:(?<={before})|(?!^)\\G)yy", after + before)
+        out = F.replace(out, F.lit(before + "y"), F.lit(before + after))
     return F.when(w.contains("y"), out).otherwise(raw)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,9 @@ from ..schema import (
     qcol,
 )
 
+ACCELERATOR = "system.accelerator.name"
+UNPRICED = "unpriced_accelerators"
+
 
 def replace_columns(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     """One projection that swaps the named columns and keeps the column order."""
@@ -99,31 +104,40 @@ def drop_null_fields(record: Column, fields: list[str], fallback: Column | None
     return {f: F.coalesce(record[f], fallback[f]) for f in fields}
 
 
-def quality_report(df_raw: DataFrame, prices: DataFrame | None = None) -> DataFrame:
-    """Distinct values the cleaning rules could not resolve, with row counts.
-
-    ``df_raw`` is the table after alias resolution. One scan, one aggregation: each row
-    emits its unresolved values, which are counted before the shuffle. With ``prices``
-    the accelerators that have no price are added.
-    """
-    df = clean_strings(conform(df_raw))
-    checks = [
+def _checks() -> list[tuple[str, str, Callable[[Column], Column]]]:
+    """(category, column, rule) of the quality report."""
+    return [
         ("datetime_values", "datetime", hw.datetime_iso),
         ("frequency_values", "system.cpu.frequency", hw.frequency_ghz),
-        ("accelerator_vendors", "system.accelerator.name", lambda c: hw.keyword_class(c, hw.ACCELERATOR_VENDORS)),
+        ("accelerator_vendors", ACCELERATOR, lambda c: hw.keyword_class(c, hw.ACCELERATOR_VENDORS)),
         ("cpu_vendors", "system.cpu.model", lambda c: hw.keyword_class(c, hw.CPU_VENDORS)),
         *[("interconnect_types", c, hw.interconnect) for c in INTERCONNECT_COLUMNS],
         *[(f"memory:{c}", c, hw.memory_gb) for c in MEMORY_COLUMNS],
         *[(f"integer:{c}", c, lambda x: x.try_cast("long")) for c in INTEGER_COLUMNS],
     ]
+
+
+def reported_columns() -> list[str]:
+    """The columns that :func:`quality_report` reads."""
+    return sorted({c for _, c, _ in _checks()})
+
+
+def quality_report(df_raw: DataFrame, prices: DataFrame | None = None) -> DataFrame:
+    """Distinct values the cleaning rules could not resolve, with row counts.
+
+    ``df_raw`` is the table after alias resolution. One scan, one aggregation: each row
+    emits its unresolved values, which are counted before the shuffle. With ``prices`` each
+    row also emits its accelerator name, and priced names leave the counted result.
+    """
+    df = clean_strings(conform(df_raw))
+    emitted = [(category, c, resolve(qcol(c)).isNull()) for category, c, resolve in _checks()]
+    if prices is not None:
+        emitted.append((UNPRICED, ACCELERATOR, F.lit(True)))
     issues = F.array_compact(
         F.array(
             *[
-                F.when(
-                    qcol(c).isNotNull() & resolve(qcol(c)).isNull(),
-                    F.struct(F.lit(category).alias("category"), qcol(c).alias("value")),
-                )
-                for category, c, resolve in checks
+                F.when(qcol(c).isNotNull() & unresolved, F.struct(F.lit(category).alias("category"), qcol(c).alias("value")))
+                for category, c, unresolved in emitted
             ]
         )
     )
@@ -132,15 +146,7 @@ def quality_report(df_raw: DataFrame, prices: DataFrame | None = None) -> DataFr
         .groupBy("issue.category", "issue.value")
         .agg(F.count(F.lit(1)).alias("rows"))
     )
-    if prices is not None:
-        from .enrich import unpriced_accelerators
-
-        missing = unpriced_accelerators(df, prices)
-        report = report.unionByName(
-            missing.select(
-                F.lit("unpriced_accelerators").alias("category"),
-                qcol("system.accelerator.name").alias("value"),
-                "rows",
-            )
-        )
-    return report
+    if prices is None:
+        return report
+    priced = prices.select(F.col("name").alias("_name"), F.lit(UNPRICED).alias("_category"))
+    return report.join(priced, (F.col("category") == F.col("_category")) & (F.col("value") == F.col("_name")), "left_anti")

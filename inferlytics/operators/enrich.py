@@ -10,6 +10,9 @@ from ..schema import qcol
 
 ACCELERATOR = "system.accelerator.name"
 
+SMALL_PRICE_LIST = 100_000  # names, a few MB
+SALTS = 64
+
 
 def classify_by_keyword(
     df: DataFrame, col: str, rules: list[tuple[str, list[str]]], out: str
@@ -101,15 +104,23 @@ def tokens_per_accelerator(df: DataFrame) -> DataFrame:
     )
 
 
-def with_prices(df: DataFrame, prices: DataFrame, default_price: float | None = None) -> DataFrame:
+def with_prices(df: DataFrame, prices: DataFrame, default_price: float | None = None, small: int = SMALL_PRICE_LIST) -> DataFrame:
     """Left join of unit prices by exact accelerator name; unmatched rows keep null.
 
     ``prices`` (name, price_per_hour) is reduced to one row per name first, so the join
-    never multiplies rows. No broadcast hint is given: Spark broadcasts the side when its
-    measured size is under the threshold and otherwise shuffles, splitting hot names.
+    never multiplies rows. Its names are counted: up to ``small`` of them are broadcast, so
+    the results are not shuffled; a longer list meets them by (name, salt), which spreads
+    rows of frequent names and rows without a name.
     """
     unit = prices.groupBy("name").agg(F.max("price_per_hour").alias("accelerator.price_per_hour"))
-    out = df.join(unit, qcol(ACCELERATOR) == F.col("name"), "left").drop("name")
+    if unit.limit(small + 1).count() <= small:
+        out = df.join(F.broadcast(unit), qcol(ACCELERATOR) == F.col("name"), "left").drop("name")
+    else:
+        flat = [qcol(c) for c, kind in df.dtypes if not kind.startswith(("map<", "array<", "struct<"))]
+        copies = unit.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*flat), F.lit(SALTS)))
+        on = (qcol(ACCELERATOR) == F.col("name")) & (F.col("_salt") == F.col("_copy"))
+        out = salted.join(copies, on, "left").drop("name", "_salt", "_copy")
     if default_price is None:
         return out
     return out.withColumn(

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .clean import drop_null_fields
 
 
+def _filled_map(first: Column, late: Column) -> Column:
+    gaps = F.map_filter(late, lambda k, v: ~F.map_contains_key(first, k))
+    return F.coalesce(F.map_concat(first, gaps), first, late)
+
+
 def merge_runs(
     perf: DataFrame,
     acc: DataFrame,
@@ -17,7 +22,7 @@ def merge_runs(
 ) -> DataFrame:
     """One row per run: performance values win, accuracy values fill the gaps.
 
-    ``acc_results`` (key and any columns) is nested as ``accuracy_results``. ``listing`` (key,
+    Maps are merged key by key. ``acc_results`` (key and any columns) is nested as ``accuracy_results``. ``listing`` (key,
     optionally ``datetime`` from the directory name) adds runs that left no file. Runs are
     unique per table; the outer joins are on the run id alone.
     """
@@ -42,6 +47,10 @@ def merge_runs(
     has_perf = F.col("_p").isNotNull()
     has_acc = F.col("_a").isNotNull() | F.col("accuracy_results").isNotNull()
     values = drop_null_fields(F.col("_p"), fields, F.col("_a"))
+    kinds = dict(perf.dtypes)
+    for name in set(perf.columns) & set(acc.columns) & set(fields):
+        if kinds[name].startswith("map<"):
+            values[name] = _filled_map(F.col("_p")[name], F.col("_a")[name])
     mode = values.pop("mode", F.lit(None).cast("string"))
     if dated:
         # A time in a performance file replaces that of the directory; others only fill in.

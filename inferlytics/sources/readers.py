@@ -77,23 +77,35 @@ def parse_run_files(files: DataFrame) -> DataFrame:
     )
 
 
+def parse_documents(texts: DataFrame, schema: T.StructType, key: str = "run_id") -> DataFrame:
+    """Key, the fields of ``schema`` and ``extra`` of (key, text) rows that are JSON objects.
+
+    ``extra`` maps all other non-null keys to their JSON text. A value that its field's type cannot hold is null in the
+    field and kept in ``extra``. Text that is no JSON object, and the empty object, give no row.
+    """
+    is_object = F.col("text").rlike(r"^\s*\{") & ~F.col("text").rlike(r"^\s*\{\s*\}\s*$")
+    docs = texts.where(is_object).select(key, F.from_json("text", "map<string,string>").alias("_doc"))
+    fields = [f.name for f in schema.fields]
+    typed = docs.where(F.col("_doc").isNotNull()).select(
+        key, "_doc", *[F.try_element_at("_doc", F.lit(f.name)).try_cast(f.dataType).alias(f.name) for f in schema.fields]
+    )
+    held = F.array_compact(F.array(*[F.when(F.col(n).isNotNull(), F.lit(n)) for n in fields]))
+    with_held = typed.withColumn("_held", held)
+    extra = F.map_filter("_doc", lambda k, v: v.isNotNull() & ~F.array_contains("_held", k))
+    return with_held.select(key, *fields, extra.alias("extra"))
+
+
 def run_halves(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Performance, accuracy and accuracy-result tables plus the list of runs.
 
-    Text that is no JSON object, and the empty object, count as an absent file.
+    Text that is no JSON object, and the empty object, count as an absent file. Keys without a column, such as those of a
+    sweep, are kept in ``extra``.
     """
     # The directory supplies the time unless the file itself has one.
     record = T.StructType([T.StructField("datetime", T.StringType()), *benchmark_result_schema().fields])
 
     def half(kind: str, schema: T.StructType) -> DataFrame:
-        with_flag = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-        parsed = F.from_json("text", with_flag, {"columnNameOfCorruptRecord": "_corrupt"})
-        return (
-            files.where((F.col("kind") == kind) & ~F.col("text").rlike(r"^\s*\{\s*\}\s*$"))
-            .select("run_id", parsed.alias("r"))
-            .where(F.col("r").isNotNull() & F.col("r._corrupt").isNull())
-            .select("run_id", *[F.col(f"r.{f.name}") for f in schema.fields])
-        )
+        return parse_documents(files.where(F.col("kind") == kind), schema)
 
     listing = files.groupBy("run_id").agg(F.min("run_dir").alias("run_dir"), F.min("datetime").alias("datetime"))
     return (

@@ -6,7 +6,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from inferlytics.functions.stem import stem_column
+from inferlytics.functions.stem import _pattern, stem_column
 from inferlytics.operators import accuracy as acc
 from inferlytics.operators import prompts, rouge
 from inferlytics.plans.pipelines import accuracy_evaluation
@@ -44,6 +44,20 @@ def test_lcs_of_long_texts():
     assert rouge.lcs_length(a, a[::2]) == 10_000
 
 
+def test_long_runs_of_y(spark):
+    words = ["c" * c + "y" * n + tail for c in (0, 1) for n in range(1, 14) for tail in ("", "b", "a")] + ["a" + "y" * n for n in range(1, 14)]
+    words += ["byyyyyaayyyyybyy"]
+
+    def pattern(word):
+        out = ""
+        for ch in word:
+            out += "v" if ch in "aeiou" or (ch == "y" and out.endswith("c")) else "c"
+        return out
+
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", _pattern(F.col("w")).alias("p")).collect()
+    assert {r["w"]: r["p"] for r in rows} == {w: pattern(w) for w in words}
+
+
 def test_stemmer(spark):
     # Published sample words of the algorithm and its corrections.
     words = (

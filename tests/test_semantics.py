@@ -358,3 +358,13 @@ def test_strict_cast_fails(spark):
     assert clean.cast_columns(df, {"v": "long"}).first()["v"] is None
     with pytest.raises(Exception):
         clean.cast_columns(df, {"v": "long"}, strict=True).collect()
+
+
+def test_prices_join_the_same_with_any_list_size(spark):
+    rows = [(k, [None, "a", "b", "c d"][k % 4]) for k in range(50)]
+    df = spark.createDataFrame(rows, "uid long, name string").select("uid", F.col("name").alias("system.accelerator.name"))
+    prices = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("c d", 3.0)], "name string, price_per_hour double")
+    one, other = enrich.with_prices(df, prices), enrich.with_prices(df, prices, small=1)
+    assert one.columns == other.columns and sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
+    assert "BroadcastHashJoin" in one._jdf.queryExecution().toString()
+    assert {r["accelerator.price_per_hour"] for r in one.collect()} == {None, 2.0, 3.0}

@@ -78,6 +78,21 @@ def test_run_directories(spark, tmp_path):
     assert tuple(summary.first()) == (4, 2, 1)
 
 
+def test_run_documents_lose_nothing(spark, tmp_path):
+    base = tmp_path / "results"
+    put(base / "20250404-153652/performance/benchmark_results.json", {"samples_per_second": 3.0, "gpu": "H100", "model": "m", "none": None})
+    put(base / "20250404-153652/accuracy/benchmark_results.json", {"gpu": "late", "note": "n"})
+    put(base / "20250404-153652/accuracy/accuracy_results.json", {"rouge1": 44.4, "gen_len": 12.5, "gen_num": 3})
+    sweep = {"max_throughput": 8.5, "sweep_results": [{"target_qps": 1.0}], "latest_result": {"a": 1}}
+    put(base / "20250405-000000/performance/benchmark_results.json", sweep)
+    got = {r["run_id"]: r for r in pipelines.aggregate_runs(spark, str(base)).collect()}
+    one = got["20250404-153652"]
+    assert one["extra"] == {"gpu": "H100", "model": "m", "note": "n"} and one["samples_per_second"] == 3.0
+    results = one["accuracy_results"]
+    assert (results["rouge1"], results["gen_len"], results["gen_num"], results["extra"]) == (44.4, None, 3, {"gen_len": "12.5"})
+    assert {k: json.loads(v) for k, v in got["20250405-000000"]["extra"].items()} == sweep
+
+
 def test_published_split_preference(spark, tmp_path):
     one = spark.range(1)
     one.write.parquet(str(tmp_path / "t/validation"))
