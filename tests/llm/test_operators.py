@@ -202,6 +202,56 @@ def test_near_duplicates_and_stage(spark, docs):
     assert sorted(ids) == sorted({r["component_id"] for r in rows})
 
 
+def near_texts():
+    """Families of copies with some words changed, so that pairs lie on both sides of 0.8."""
+    rng = random.Random(8)
+    texts = []
+    for family in range(25):
+        words = text_of(1000 + family, 150).split()
+        for changes in (0, 1, 2, 3, 4, 6, 12):
+            copy = list(words)
+            for _ in range(changes):
+                copy[rng.randrange(len(copy))] = f"new{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    return texts
+
+
+def near_components(texts):
+    def runs(t):
+        words = (t or "").lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets, parent = [runs(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+    return [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("chunk", [256, 3])
+def test_stage_keeps_one_of_five_word_near_copies(spark, monkeypatch, chunk):
+    texts = near_texts()
+    want = near_components(texts)
+    monkeypatch.setattr(simhash.near_copies, "__defaults__", (chunk,))
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = simhash.stage(spark, docs.repartition(3), SF)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
+    assert 25 < len(set(want)) < len(texts) - 25
+
+
+def test_near_links_equal_brute_force():
+    texts = [t for t in near_texts()[:60] if t] + ["a b", "A  b", "a b c d e", "a b c d e f", "one"]
+    assert simhash.near_links([simhash.runs_of(t) for t in texts]).tolist() == near_components(texts)
+
+
 # ---- 3
 
 
