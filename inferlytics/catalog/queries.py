@@ -314,6 +314,12 @@ def cost_sensitivity(spark, sf):
     return boards.cost_sensitivity(priced.join(named, "uid_b", "left_semi"))
 
 
+@query
+def cost_sensitivity_full(spark, sf):
+    """The grid of every priced pair; the query above is the excerpt that its SQL covers."""
+    return boards.cost_sensitivity(pair_compare(spark, sf))
+
+
 @query
 def select_runs(spark, sf):
     df = dashboard_table(spark, sf)

@@ -338,6 +338,28 @@ def test_named_pairs_and_grid(spark):
     assert boards.cost_sensitivity(boards.compare_systems(best, named)).count() == 10_000
 
 
+def test_full_grid_covers_every_priced_pair(spark):
+    from inferlytics.catalog.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    names = ["price_per_hour_a", "price_per_hour_b", "tokens_per_second_a", "tokens_per_second_b"]
+    pairs = [r for r in QUERIES["pair_compare"](spark, sf).collect() if r[names[0]] is not None and r[names[1]] is not None]
+    grid = QUERIES["cost_sensitivity_full"](spark, sf)
+    cells = grid.groupBy("model", "uid_a", "uid_b").agg(
+        F.count("*").alias("n"), F.countDistinct("ix", "iy").alias("places"), F.max("price_per_hour").alias("x"), F.max("tokens_per_second").alias("y"),
+        F.max("max_abs_cost_delta").alias("most"), F.max(F.abs("cost_delta")).alias("found"),
+    )
+    got = {(r["model"], r["uid_a"], r["uid_b"]): r for r in cells.collect()}
+    assert set(got) == {(p["model"], p["uid_a"], p["uid_b"]) for p in pairs} and len(pairs) > 100
+    for p in pairs:
+        r = got[p["model"], p["uid_a"], p["uid_b"]]
+        assert r["n"] == r["places"] == 10_000
+        top_y = [v for v in (p[names[2]], p[names[3]]) if v is not None]
+        assert r["x"] == max(p[names[0]], p[names[1]]) * 1.25 and r["y"] == (max(top_y) * 1.25 if top_y else None)
+        if r["most"] is not None:
+            assert r["found"] == pytest.approx(r["most"])
+
+
 def test_pivot_first(spark):
     df = spark.createDataFrame([(1, "a", "x", 1), (1, "a", "y", 0), (1, "b", "z", 0)], "k int, n string, v string, p int")
     assert boards.pivot_first(df, ["k"], "n", "v", "p", prefix="c.").collect()[0].asDict() == {"k": 1, "c.a": "y", "c.b": "z"}
