@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inferlytics.llm import line_crf, mixing, packing, pii, quality_lm, secret_scan, sharding, simhash, topk, warc
+from inferlytics.llm import line_crf, mixing, packing, pii, quality_lm, secret_scan, sharding, simhash, topk, vector_codes, warc
 
 QUERIES = {
     "op1_quality_lm": quality_lm.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_lookup_sharding": sharding.query,
     "op9_pii_weak_labels": pii.query,
     "op10_secret_ownership": secret_scan.query,
+    "op11_vector_codes": vector_codes.query,
 }
 
 ORACLE: dict[str, str] = {
     "op3_exact_topk": topk.ORACLE,
     "op6_zip_warc": warc.ORACLE,
     "op7_source_mixing": mixing.ORACLE,
+    "op11_vector_codes": vector_codes.ORACLE,
 }
