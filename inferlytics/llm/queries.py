@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inferlytics.llm import line_crf, mixing, packing, periodic_runs, pii, quality_lm, secret_scan, sharding, simhash, topk, vector_codes, warc
+from inferlytics.llm import license_scan, line_crf, mixing, packing, periodic_runs, pii, quality_lm, secret_scan, sharding, simhash, topk, vector_codes, warc
 
 QUERIES = {
     "op1_quality_lm": quality_lm.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_pii_weak_labels": pii.query,
     "op10_secret_ownership": secret_scan.query,
     "op11_vector_codes": vector_codes.query,
+    "op12_license_scan": license_scan.query,
     "op13_periodic_runs": periodic_runs.query,
 }
 
@@ -24,5 +25,6 @@ ORACLE: dict[str, str] = {
     "op6_zip_warc": warc.ORACLE,
     "op7_source_mixing": mixing.ORACLE,
     "op11_vector_codes": vector_codes.ORACLE,
+    "op12_license_scan": license_scan.ORACLE,
     "op13_periodic_runs": periodic_runs.ORACLE,
 }
