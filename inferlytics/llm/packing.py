@@ -4,9 +4,9 @@ Documents are tokenised where they lie; only (doc_id, piece, start, length, chec
 than how many pieces there are of each length (at most ``LIMIT`` numbers): the driver plans on that histogram, in
 patterns "these lengths, so many times", and the pieces find their place by (length, rank within the length).
 
-Planning goes through the lengths from long to short. The gap that a length leaves is looked up in the index of single
-lengths, of pair sums and of triple sums, and combinations that fill it exactly are taken as often as their counts
-allow. What has no exact filling is placed best-fit, longest first.
+Planning: long pieces (over an eighth of a sequence) are placed best-fit, longest first. Each gap that they leave is looked
+up in the index of single lengths, of pair sums and of triple sums, and combinations that fill it exactly are taken as often
+as their counts allow. What has no exact filling is placed best-fit.
 
 Nulls and odd input: a null or empty text is one piece with the end token alone; a null doc_id is kept and sorts first.
 Repeated rows are packed as often as they occur. An empty table gives an empty result; extra columns are ignored.
@@ -17,6 +17,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -36,66 +37,82 @@ CACHE_WORDS = 1_200_000
 
 
 class WordEncoder:
-    """Token ids of a text as packed little-endian 32-bit ids, looked up word by word.
+    """Token ids of a text, looked up word by word.
 
-    The tokenizer never merges across white space or between a letter and punctuation, and lower-cases; so a text's ids
-    are those of its words, and a word's are those of its core and of the punctuation around it. Words are kept in two
-    generations, so memory is bounded and frequent words stay.
+    The tokenizer never merges across white space or between a letter and punctuation, lower-cases, and takes a word of
+    letters as it is; so a text's ids are those of its words, and a word's are those of its core and of the punctuation
+    around it. The ids of all words lie in one array; a dictionary has their numbers. Beyond ``capacity`` words it starts
+    anew, so memory is bounded.
     """
 
     SEPARATOR = "|"
     PUNCTUATION = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'  # without the apostrophe, which contractions need
-    EDGES = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+    CORE = "^[a-z0-9](?s:.*)[a-z0-9]$|^[a-z0-9]$"
 
     def __init__(self, path: str, capacity: int = CACHE_WORDS):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.capacity = capacity
-        self.fresh: dict[str, bytes] = {}
-        self.stale: dict[str, bytes] = {}
+        self.tokenizer, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.letters.normalizer = normalizers.Sequence([])  # nothing to normalise or to cut in a word of a to z
+        self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.separator = self.tokenizer.encode(self.SEPARATOR, add_special_tokens=False).ids
-
-    def _tokenize(self, items: list[str]) -> Iterator[bytes]:
-        """Ids of items without the separator, many in one call."""
-        for at in range(0, len(items), 1000):
-            text = f" {self.SEPARATOR} ".join(items[at : at + 1000])
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-            cuts, packed = (4 * np.flatnonzero(ids == self.separator[0])).tolist(), ids.tobytes()
-            for a, b in zip([-4, *cuts], [*cuts, len(packed)], strict=True):
-                yield packed[a + 4 : b]
-
-    def learn(self, unknown: list[str]) -> None:
-        cut: list[tuple[str, str, str, str]] = []
-        whole: set[str] = set()
-        for word in unknown:
-            core = word.strip(self.PUNCTUATION)
-            if core and core[0] in self.EDGES and core[-1] in self.EDGES and core != word and "<|" not in word:
-                before, _, after = word.partition(core)
-                cut.append((word, before, core, after))
-                whole.update(cut[-1][1:])
-            else:
-                whole.add(word)
-        whole.difference_update(self.fresh)
-        odd = [w for w in whole if self.SEPARATOR in w]
-        plain = [w for w in whole if self.SEPARATOR not in w and w]
-        self.fresh.update(zip(plain, self._tokenize(plain), strict=True))
-        for word in odd:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-            self.fresh[word] = np.array(ids, "<u4").tobytes()
-        self.fresh[""] = b""
-        for word, *parts in cut:
-            self.fresh[word] = b"".join([self.fresh[x] for x in parts])
-
-    def recall(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words."""
-        if len(self.fresh) > self.capacity // 2:
-            self.stale, self.fresh = self.fresh, {}
-        missing = [w for w in words if w not in self.fresh]
-        older = [w for w in missing if w in self.stale]
-        self.fresh.update((w, self.stale[w]) for w in older)
-        self.learn([w for w in missing if w not in self.stale])
-        return [self.fresh[w] for w in words]
+        self.capacity = capacity
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers = {"": 0}
+        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(2, np.int32)
+
+    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first = len(self.ends) - 1
+        self.numbers.update(zip(words, range(first, first + len(words)), strict=True))
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes, dtype=np.int32)])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _lists(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words of these numbers, one after another, and where each ends."""
+        found = pa.ListArray.from_arrays(pa.array(self.ends), pa.array(self.ids)).take(pa.array(numbers))
+        return found.flatten().to_numpy(), found.offsets.to_numpy()
+
+    def _tokenize(self, tokenizer, items: list[str]) -> None:
+        """Learn items without the separator, many in one text."""
+        texts = [f" {self.SEPARATOR} ".join([*items[at : at + 1000], ""]) for at in range(0, len(items), 1000)]
+        coded = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, np.uint32), *[np.array(e.ids, np.uint32) for e in coded]])
+        cuts = np.flatnonzero(ids == self.separator[0])
+        self._add(items, np.delete(ids, cuts), np.diff(cuts, prepend=-1) - 1)
+
+    def learn(self, unknown: np.ndarray) -> None:
+        words = pa.array(unknown, pa.string())
+        core = pc.ascii_trim(words, self.PUNCTUATION)
+        cut = pc.and_(pc.match_substring_regex(core, self.CORE), pc.not_equal(core, words))
+        cut = pc.and_not(cut, pc.match_substring(words, "<|"))
+        edged = unknown[cut.to_numpy(zero_copy_only=False)].tolist()
+        parts = list(chain.from_iterable(map(str.partition, edged, core.filter(cut).to_pylist())))  # before, core, after
+        whole = dict.fromkeys(chain(unknown[pc.invert(cut).to_numpy(zero_copy_only=False)].tolist(), parts))
+        new = np.array([w for w in whole if w not in self.numbers], object)
+        coded = pa.array(new, pa.string())
+        letters = pc.match_substring_regex(coded, "^[a-z]+$").to_numpy(zero_copy_only=False)
+        split = pc.match_substring(coded, self.SEPARATOR).to_numpy(zero_copy_only=False)
+        self._tokenize(self.letters, new[letters].tolist())
+        self._tokenize(self.tokenizer, new[~(letters | split)].tolist())
+        for word in new[split].tolist():
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32)
+            self._add([word], ids, np.array([len(ids)]))
+        ids, ends = self._lists(np.fromiter(map(self.numbers.__getitem__, parts), np.int32, len(parts)))
+        self._add(edged, ids, np.diff(ends[::3]))
+
+    def recall(self, words: pa.Array) -> np.ndarray:
+        """Numbers of distinct words."""
+        if len(self.numbers) > self.capacity:
+            self.clear()
+        names = words.to_numpy(zero_copy_only=False)
+        found = np.fromiter(map(self.numbers.get, names, repeat(-1)), np.int32, len(names))
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            self.learn(names[missing])
+            found[missing] = list(map(self.numbers.__getitem__, names[missing]))
+        return found
 
     def encode(self, texts: pa.Array, together: int = 4000) -> Iterator[bytes]:
         end = np.array([END_TOKEN], "<u4").tobytes()
@@ -105,14 +122,10 @@ class WordEncoder:
             part = pc.if_else(pc.match_substring(part, "<|"), part, pc.ascii_lower(part))
             words = pc.ascii_split_whitespace(part)
             coded = words.flatten().dictionary_encode()
-            known = self.recall(coded.dictionary.to_pylist())
-            which = coded.indices.to_numpy(zero_copy_only=False)
-            sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
-            begins = np.cumsum(sizes) - sizes
-            flat = np.frombuffer(b"".join(known), "<u4")
-            reached = np.concatenate([[0], np.cumsum(sizes[which])])
-            ids = flat[np.repeat(begins[which] - reached[:-1], sizes[which]) + np.arange(reached[-1])]
+            known = self.recall(coded.dictionary)
+            ids, reached = self._lists(known[coded.indices.to_numpy(zero_copy_only=False)])
             cuts = reached[words.offsets.to_numpy() - words.offsets[0].as_py()].tolist()
+            ids = ids.astype("<u4", copy=False)
             for a, b in zip(cuts, cuts[1:], strict=False):
                 yield ids[a:b].tobytes() + end
 
@@ -150,96 +163,118 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT) ->
     return rows.mapInArrow(_pieces(tokenizer, limit), PIECES)
 
 
-_NONE = np.zeros(0, np.uint16)
-
-
 class _Sums:
-    """Index of the lengths at hand: singles, pair sums and triple sums."""
+    """Index of the lengths at hand as bits of whole numbers: which sums have a single, a pair or a triple of them."""
 
-    def __init__(self, counts: np.ndarray, limit: int):
+    def __init__(self, counts: list[int], limit: int):
         self.counts, self.limit = counts, limit
-        present = counts > 0
-        self.pairs: dict[int, np.ndarray] = {}  # sum -> larger members, longest first; the smaller one follows
-        for total in range(2, limit + 1):
-            larger = np.arange((total + 1) // 2, total)
-            members = larger[present[larger] & present[total - larger]]
-            if len(members):
-                self.pairs[total] = members[::-1].astype(np.uint16)
-
-    def times(self, *lengths: int) -> int:
-        """How often the counts allow these lengths together."""
-        return min(int(self.counts[x]) // lengths.count(x) for x in lengths)
-
-    def fillings(self, first: int) -> Iterator[tuple[int, ...]]:
-        """Combinations that fill the gap beside ``first`` exactly: single, pairs, triples."""
-        gap = self.limit - first
-        if gap and self.counts[gap]:
+        self.up = sum(1 << x for x, n in enumerate(counts) if n)  # bit x: length x is there
+        self.down = sum(1 << (limit - x) for x, n in enumerate(counts) if n)
+
+    def take(self, lengths: tuple[int, ...], most: int) -> int:
+        """Use these lengths together as often as their counts allow, up to ``most`` times; how often."""
+        n = min(most, *[self.counts[x] // lengths.count(x) for x in lengths])
+        for x in lengths if n else ():
+            self.counts[x] -= n
+        for x in set(lengths):
+            if not self.counts[x]:
+                self.up &= ~(1 << x)
+                self.down &= ~(1 << (self.limit - x))
+        return n
+
+    def singles(self, gap: int) -> Iterator[tuple[int, ...]]:
+        if self.up >> gap & 1:
             yield (gap,)
-        for larger in self.pairs.get(gap, _NONE).tolist():
-            yield larger, gap - larger
-        for one in np.flatnonzero(self.counts[: gap + 1])[::-1].tolist():
-            pairs = self.pairs.get(gap - one, _NONE)
-            for larger in pairs[pairs <= one].tolist():
-                yield one, larger, gap - one - larger
-
 
-def plan(histogram: dict[int, int], limit: int = LIMIT) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths, times) that use up the histogram."""
-    counts = np.zeros(limit + 1, np.int64)
+    def pairs(self, gap: int, most: int | None = None) -> Iterator[tuple[int, ...]]:
+        """Pairs of sum ``gap``, the longer member first and up to ``most``, the longest first."""
+        high = min(gap - 1, gap if most is None else most)
+        allowed = (1 << (high + 1)) - (1 << (gap + 1) // 2) if high >= (gap + 1) // 2 else 0
+        while longer := max((self.up & (self.down >> (self.limit - gap)) & allowed).bit_length() - 1, 0):
+            yield longer, gap - longer
+            allowed &= (1 << longer) - 1
+
+    def triples(self, gap: int) -> Iterator[tuple[int, ...]]:
+        longest = self.up & ((1 << max(gap - 1, 0)) - 1)
+        while (one := longest.bit_length() - 1) * 3 >= gap > 2:
+            for pair in self.pairs(gap - one, one):
+                yield one, *pair
+            longest &= (1 << one) - 1
+
+
+class _Sequences:
+    """Sequences by their free room; equal ones are handled together."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.rooms: list[int] = []  # sorted
+        self.groups: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+
+    def put(self, room: int, pattern: tuple[int, ...], n: int) -> None:
+        if room not in self.groups:
+            self.groups[room] = []
+            insort(self.rooms, room)
+        self.groups[room].append((pattern, n))
+
+    def pop(self, room: int) -> tuple[tuple[int, ...], int]:
+        group = self.groups[room].pop()
+        if not self.groups[room]:
+            del self.groups[room], self.rooms[bisect_left(self.rooms, room)]
+        return group
+
+    def best_fit(self, counts: list[int], longest: int, shortest: int) -> None:
+        """Place these lengths, longest first, each where least room is left; uses up the counts."""
+        for length in range(longest, shortest - 1, -1):
+            left, counts[length] = counts[length], 0
+            while left:
+                at = bisect_left(self.rooms, length)
+                if at == len(self.rooms):
+                    per = self.limit // length
+                    for fill in (per, left % per) if left >= per else (left,):
+                        if fill:
+                            n = left // per if fill == per else 1
+                            self.put(self.limit - fill * length, (length,) * fill, n)
+                            left -= n * fill
+                    continue
+                room = self.rooms[at]
+                pattern, n = self.pop(room)
+                used = min(n, left)
+                if used < n:
+                    self.put(room, pattern, n - used)
+                self.put(room - length, (*pattern, length), used)
+                left -= used
+
+    def fill_exactly(self, sums: _Sums) -> None:
+        """Fill gaps, large ones first: all that can be by one length, then by two, then by three."""
+        for fillings in (sums.singles, sums.pairs, sums.triples):
+            for room in [r for r in reversed(self.rooms) if r]:
+                for pattern, n in [self.pop(room) for _ in range(len(self.groups[room]))]:
+                    for rest in fillings(room) if n else ():
+                        if done := sums.take(rest, n):
+                            self.put(0, (*pattern, *rest), done)
+                            n -= done
+                        if not n:
+                            break
+                    if n:
+                        self.put(room, pattern, n)
+
+
+def plan(histogram: dict[int, int], limit: int = LIMIT, small: int | None = None) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns (lengths, times) that use up the histogram.
+
+    Pieces over ``small`` (by default an eighth of the limit) are placed best-fit and leave gaps; shorter ones fill gaps
+    exactly, as far as their counts allow, and the rest is placed best-fit. Exact filling with longer pieces would spend
+    what a medium piece can use in no other place.
+    """
+    small = limit // 8 if small is None else small
+    counts = [0] * (limit + 1)
     for length, n in histogram.items():
         counts[length] = n
-    out: list[tuple[tuple[int, ...], int]] = []
-    if counts[limit]:
-        out.append(((limit,), int(counts[limit])))
-        counts[limit] = 0
-    sums = _Sums(counts, limit)
-    for first in range(limit - 1, limit // 4 - 1, -1):
-        if not counts[first]:
-            continue
-        for rest in sums.fillings(first):
-            n = sums.times(first, *rest)
-            if n:
-                for length in (first, *rest):
-                    counts[length] -= n
-                out.append(((first, *rest), n))
-                if not counts[first]:
-                    break
-    return out + _best_fit(counts, limit)
-
-
-def _best_fit(counts: np.ndarray, limit: int) -> list[tuple[tuple[int, ...], int]]:
-    """Best-fit decreasing over what is left; equal sequences are handled together."""
-    rooms: list[int] = []  # sorted free rooms
-    open_: dict[int, list[tuple[tuple[int, ...], int]]] = {}
-
-    def put(room: int, pattern: tuple[int, ...], n: int) -> None:
-        if room not in open_:
-            open_[room] = []
-            insort(rooms, room)
-        open_[room].append((pattern, n))
-
-    for length in range(limit, 0, -1):
-        left = int(counts[length])
-        while left:
-            at = bisect_left(rooms, length)
-            if at == len(rooms):
-                per = limit // length
-                for fill in (per, left % per) if left >= per else (left,):
-                    if fill:
-                        n = left // per if fill == per else 1
-                        put(limit - fill * length, (length,) * fill, n)
-                        left -= n * fill
-                continue
-            room = rooms[at]
-            pattern, n = open_[room].pop()
-            if not open_[room]:
-                del open_[room], rooms[at]
-            used = min(n, left)
-            if used < n:
-                put(room, pattern, n - used)
-            put(room - length, (*pattern, length), used)
-            left -= used
-    return [group for groups in open_.values() for group in groups]
+    sequences = _Sequences(limit)
+    sequences.best_fit(counts, limit, small + 1)
+    sequences.fill_exactly(_Sums(counts, limit))
+    sequences.best_fit(counts, small, 1)
+    return [group for groups in sequences.groups.values() for group in groups]
 
 
 def places(patterns: list[tuple[tuple[int, ...], int]]) -> pd.DataFrame:
