@@ -33,7 +33,7 @@ END_TOKEN = 1
 SALTS = 256  # a length is ranked in so many parts, so that a frequent length is not one task
 TOKENIZER = "word_bpe_49k.json"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row_hash long"
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 800_000
 
 
 class WordEncoder:
