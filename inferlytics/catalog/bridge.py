@@ -41,6 +41,9 @@ def raw_results(spark: SparkSession, sf_dir: str, need: set[str] | list[str] | N
     n, pk, sk = c("l_linenumber"), c("l_partkey"), c("l_suppkey")
     size, quantity = c("p_size"), c("l_quantity").cast("int")
     text = "string"
+    # Names without end: each supplier has an engine of its own.
+    engine = F.concat(F.lit("TensorRT 10."), n.cast(text), F.lit(", Engine"), sk.cast(text), F.lit(" 1."), (pk % 9).cast(text))
+    engine = F.when(sk % 3 == 0, F.lit("TensorRT")).otherwise(engine)
     columns = {
         "submission.debug_uid": ("", F.concat_ws("-", "l_orderkey", n, pk, sk, quantity)),
         "submission.organization": ("sn", c("n_name")),
@@ -60,7 +63,7 @@ def raw_results(spark: SparkSession, sf_dir: str, need: set[str] | list[str] | N
         "system.cpu.model": ("", choose(sk % 6, ["AMD EPYC 9654", "Intel Xeon 8480", "NVIDIA Grace", "Neoverse-V2", "Apple M2", "Unknown"])),
         "system.cpu.frequency": ("", choose(sk % 5, ["2.0 GHz (3.5GHz turbo)", "2400", "3800 MHz", "undefined", ""])),
         "system.interconnect.accelerator": ("", choose(n % 7, ["NVLink 5th-gen", "nvlink 4th", "NVLink", "PCIe Gen5 x16", "PCIe", "TBD", "Infinity Fabric"])),
-        "software.framework": ("", choose(n % 4, ["PyTorch 2.5.1, CUDA 12.4", "vLLM 0.7.3", "TensorRT", None])),
+        "software.framework": ("", choose(n % 4, ["PyTorch 2.5.1, CUDA 12.4", "vLLM 0.7.3", engine, None])),
         "datetime": ("", choose(n % 3, ["2025/04/03_22:56:53", "2025-04-03 22:56:53", "N/A"])),
     }
     wanted = [k for k in columns if need is None or k in need]

@@ -85,6 +85,19 @@ def _framework(c: str, name: str) -> str:
     return f"trim(regexp_extract(trim({item}), '\\s+([0-9.]+)', 1), '.')"
 
 
+def _frameworks(c: str) -> str:
+    """``name=version`` of all frameworks, by name."""
+    return (
+        f"array_to_string(list_sort(list_transform(list_filter(string_split({c}, ','), lambda i: regexp_matches(trim(i), '^\\w+ [0-9.]+$')), "
+        f"lambda i: lower(string_split(trim(i), ' ')[1]) || '=' || string_split(trim(i), ' ')[2])), ';')"
+    )
+
+
+_ENGINE = (
+    "CASE WHEN l_suppkey % 3 = 0 THEN 'TensorRT' "
+    "ELSE 'TensorRT 10.' || l_linenumber || ', Engine' || l_suppkey || ' 1.' || (l_partkey % 9) END"
+)
+
 _TEXTS = [
     "organization", "division", "availability", "scenario", "system", "units", "accuracy", "model", "accelerator",
     "nodes", "per_node", "accelerator_memory", "host_memory", "cpu", "frequency", "interconnect", "framework", "stamp",
@@ -113,7 +126,7 @@ SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity
   {_case('l_suppkey % 6', ["'AMD EPYC 9654'", "'Intel Xeon 8480'", "'NVIDIA Grace'", "'Neoverse-V2'", "'Apple M2'", "'Unknown'"])} AS cpu,
   {_case('l_suppkey % 5', ["'2.0 GHz (3.5GHz turbo)'", "'2400'", "'3800 MHz'", "'undefined'", "''"])} AS frequency,
   {_case('l_linenumber % 7', ["'NVLink 5th-gen'", "'nvlink 4th'", "'NVLink'", "'PCIe Gen5 x16'", "'PCIe'", "'TBD'", "'Infinity Fabric'"])} AS interconnect,
-  {_case('l_linenumber % 4', ["'PyTorch 2.5.1, CUDA 12.4'", "'vLLM 0.7.3'", "'TensorRT'", "NULL"])} AS framework,
+  {_case('l_linenumber % 4', ["'PyTorch 2.5.1, CUDA 12.4'", "'vLLM 0.7.3'", _ENGINE, "NULL"])} AS framework,
   {_case('l_linenumber % 3', ["'2025/04/03_22:56:53'", "'2025-04-03 22:56:53'", "'N/A'"])} AS stamp
 FROM lineitem LEFT JOIN part ON l_partkey = p_partkey LEFT JOIN supplier ON l_suppkey = s_suppkey
 LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN orders ON l_orderkey = o_orderkey""",
@@ -382,11 +395,13 @@ SELECT uid AS submission_debug_uid, organization AS submission_organization, sce
     "model_params": f"SELECT uid, {_params('model')} AS billions FROM v_raw",
     "model_arch": f"SELECT uid, {_arch('model')} AS architecture FROM v_raw",
     "framework_entries": """
-SELECT uid, pos, name, version FROM (SELECT uid, unnest([0, 1]) AS pos, unnest(['pytorch', 'cuda']) AS name, unnest(['2.5.1', '12.4']) AS version
-  FROM v_raw WHERE framework = 'PyTorch 2.5.1, CUDA 12.4' UNION ALL SELECT uid, 0, 'vllm', '0.7.3' FROM v_raw WHERE framework = 'vLLM 0.7.3')""",
-    "framework_wide": "SELECT uid, " + ", ".join(f"{_framework('framework', n)} AS {n}" for n in ["cuda", "pytorch", "vllm"]) + " FROM v_raw",
+SELECT uid, pos, lower(string_split(item, ' ')[1]) AS name, string_split(item, ' ')[2] AS version FROM (
+  SELECT uid, unnest(string_split(framework, ', ')) AS item, CAST(unnest(range(len(string_split(framework, ', ')))) AS INTEGER) AS pos FROM v_raw
+) WHERE contains(item, ' ')""",
+    "framework_wide": "SELECT uid, " + ", ".join(f"{_framework('framework', n)} AS {n}" for n in ["cuda", "pytorch", "vllm"])
+    + f", {_frameworks('framework')} AS versions FROM v_raw",
     "framework_pivot": "SELECT uid, " + ", ".join(f"{_framework('framework', n)} AS fw_{n}" for n in ["cuda", "pytorch", "vllm"])
-    + " FROM v_raw WHERE framework LIKE 'PyTorch%' OR framework LIKE 'vLLM%'",
+    + f", {_frameworks('framework')} AS versions FROM v_raw WHERE contains(framework, ' ')",
     "accuracy_entries": """
 SELECT uid, lower(string_split(item, ': ')[1]) AS metric, string_split(item, ': ')[2]::DOUBLE AS value
 FROM (SELECT uid, unnest(string_split(accuracy, '  ')) AS item FROM v_raw) WHERE contains(item, ': ')""",
@@ -401,7 +416,7 @@ SELECT NULL::VARCHAR AS benchmark_name, NULL::VARCHAR AS benchmark_version, {_is
   {_arch('model')} AS model_architecture, NULL::VARCHAR AS model_mlperf_name, model AS model_name,
   {_params('model')} AS model_number_of_parameters, NULL::VARCHAR AS model_weight_data_types, framework AS software_framework,
   {_framework('framework', 'cuda')} AS software_framework_cuda, {_framework('framework', 'pytorch')} AS software_framework_pytorch,
-  {_framework('framework', 'vllm')} AS software_framework_vllm, NULL::VARCHAR AS software_operating_system,
+  {_framework('framework', 'vllm')} AS software_framework_vllm, {_frameworks('framework')} AS software_framework_versions, NULL::VARCHAR AS software_operating_system,
   availability AS submission_availability, uid AS submission_debug_uid, division AS submission_division, organization AS submission_organization,
   scenario AS submission_scenario, p AS system_accelerator_count_per_node, {_memory('accelerator_memory')} AS system_accelerator_memory_capacity,
   NULL::VARCHAR AS system_accelerator_memory_config, accelerator AS system_accelerator_name, n * p AS system_accelerator_total_count,
@@ -414,7 +429,8 @@ SELECT NULL::VARCHAR AS benchmark_name, NULL::VARCHAR AS benchmark_version, {_is
 FROM (SELECT *, try_cast(nodes AS BIGINT) AS n, try_cast(per_node AS BIGINT) AS p FROM v_clean)
 WHERE units = 'Tokens/s' AND result <> 0 AND isfinite(result) AND n * p > 0""",
     "results_roundtrip": f"""
-SELECT uid, result, {_keyword('accelerator', hw.ACCELERATOR_VENDORS)} AS vendor, {_arch(_clean('model'))} AS architecture
+SELECT uid, result, {_keyword('accelerator', hw.ACCELERATOR_VENDORS)} AS vendor, {_arch(_clean('model'))} AS architecture,
+  {_frameworks('framework')} AS versions
 FROM v_counts WHERE units = 'Tokens/s' AND result <> 0 AND isfinite(result) AND total > 0""",
     "price_join": "SELECT uid, unit_price, system_price FROM v_priced",
     "cost_per_million": "SELECT uid, tokens_per_second, cost_per_million, usd_per_million AS usd_per_million_tokens FROM v_board",

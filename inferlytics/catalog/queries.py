@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hardware as hw
@@ -40,6 +40,11 @@ def pick(df: DataFrame, *names: str, **aliased: str) -> DataFrame:
     return df.select(*[qcol(n) for n in names], *[qcol(c).alias(n) for n, c in aliased.items()])
 
 
+def listed(map_col: str) -> Column:
+    """A map as text, ``key=value`` by key, so that any number of keys can be compared."""
+    return F.array_join(F.array_sort(F.transform(F.map_entries(map_col), lambda e: F.concat_ws("=", e["key"], e["value"]))), ";")
+
+
 def raw(spark: SparkSession, sf: str, *need: str) -> DataFrame:
     return bridge.raw_results(spark, sf, {UID, *need})
 
@@ -129,8 +134,9 @@ def framework_entries(spark, sf):
 
 @query
 def framework_wide(spark, sf):
-    out = enrich.framework_wide(raw(spark, sf, "software.framework"))
-    return pick(out, uid=UID, **{n: f"software.framework.{n}" for n in FRAMEWORKS})
+    out = enrich.framework_map(enrich.framework_wide(raw(spark, sf, "software.framework"), FRAMEWORKS))
+    wide = pick(out, uid=UID, versions="software.framework.versions", **{n: f"software.framework.{n}" for n in FRAMEWORKS})
+    return wide.withColumn("versions", listed("versions"))
 
 
 @query
@@ -138,7 +144,9 @@ def framework_pivot(spark, sf):
     entries = enrich.framework_versions(raw(spark, sf, "software.framework")).select(
         qcol(UID).alias("uid"), F.posexplode("frameworks").alias("pos", "e")
     ).select("uid", "pos", F.col("e.name").alias("name"), F.col("e.version").alias("version"))
-    return boards.pivot_first(entries, ["uid"], "name", "version", "pos", FRAMEWORKS, prefix="fw_")
+    wide = boards.pivot_first(entries, ["uid"], "name", "version", "pos", FRAMEWORKS, prefix="fw_")
+    every = boards.pivot_first(entries, ["uid"], "name", "version", "pos", out="versions")
+    return wide.join(every, "uid").withColumn("versions", listed("versions"))
 
 
 @query
@@ -181,20 +189,22 @@ def valid_submissions(spark, sf):
 
 @query
 def etl_full(spark, sf):
-    return plain_names(pipelines.etl(bridge.raw_results(spark, sf), FRAMEWORKS))
+    out = plain_names(pipelines.etl(bridge.raw_results(spark, sf), FRAMEWORKS))
+    return out.withColumn("software_framework_versions", listed("software_framework_versions"))
 
 
 @query
 def results_roundtrip(spark, sf):
     """Clean table written as Parquet and JSON lines and read back from the JSON."""
     folder = shared_folder(spark, "results")
-    need = ["metrics.result", "metrics.units", *COUNTS, "model.name", ACC, "system.cpu.model"]
-    clean_table = plain_names(pipelines.etl(raw(spark, sf, *need), []))
+    need = ["metrics.result", "metrics.units", *COUNTS, "model.name", ACC, "system.cpu.model", "software.framework"]
+    clean_table = plain_names(pipelines.etl(raw(spark, sf, *need)))
     write_results(clean_table, folder)
     back = spark.read.schema(clean_table.schema).json(f"{folder}/json")
     return back.select(
         F.col("submission_debug_uid").alias("uid"), F.col("metrics_result").alias("result"),
         F.col("system_accelerator_vendor").alias("vendor"), F.col("model_architecture").alias("architecture"),
+        listed("software_framework_versions").alias("versions"),
     )
 
 

@@ -79,17 +79,15 @@ def rank_systems(
 
 def pivot_first(
     df: DataFrame, key: list[str], name: str, value: str, pos: str,
-    names: list[str] | None = None, prefix: str = "", limit: int = 1000,
+    names: list[str] | None = None, prefix: str = "", out: str = "values",
 ) -> DataFrame:
-    """Wide table with the value of lowest position per (key, name).
-
-    Names are given or discovered; more than ``limit`` of them is an error, not a cut.
-    """
+    """The value of lowest position per (key, name): a column per wanted name, or without ``names`` a map column ``out`` of
+    all names that the key has. Null names count for nothing."""
+    named = df.where(F.col(name).isNotNull())
     if names is None:
-        found = df.select(name).where(F.col(name).isNotNull()).distinct().limit(limit + 1).collect()
-        if len(found) > limit:
-            raise ValueError(f"more than {limit} column names; pass the wanted names instead")
-        names = sorted(r[0] for r in found)
+        first = named.groupBy(*key, name).agg(F.min_by(value, pos).alias("_first"))
+        entries = F.array_sort(F.collect_list(F.struct(F.col(name), F.col("_first"))))
+        return first.groupBy(*key).agg(F.map_from_entries(entries).alias(out))
     wide = df.groupBy(*key).pivot(name, names).agg(F.min_by(value, pos))
     return wide.select(*key, *[qcol(n).alias(prefix + n) for n in names])
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,28 +32,20 @@ def framework_versions(df: DataFrame, col: str = "software.framework") -> DataFr
     return df.withColumn("frameworks", hw.framework_entries(qcol(col)))
 
 
-def discover_frameworks(df: DataFrame, col: str = "software.framework", limit: int = 1000) -> list[str]:
-    """Sorted framework names of the table; refuses more than ``limit`` of them."""
-    names = (
-        df.select(F.explode(hw.framework_entries(qcol(col))).alias("e"))
-        .select(F.col("e.name").alias("name"))
-        .distinct()
-        .limit(limit + 1)
-        .collect()
-    )
-    if len(names) > limit:
-        raise ValueError(f"more than {limit} framework names; pass the wanted names instead")
-    return sorted(r["name"] for r in names)
+def framework_map(df: DataFrame, col: str = "software.framework", out: str | None = None) -> DataFrame:
+    """Add ``software.framework.versions``: map of every framework name of the row to its first version.
 
+    Names are an open set, so they are keys and not columns: a table may have any number of them.
+    """
+    entries = df.withColumn("_entries", F.reverse(hw.framework_entries(qcol(col))))
+    return entries.withColumn(out or f"{col}.versions", hw.entries_to_map(F.col("_entries"), "name", "version")).drop("_entries")
 
-def framework_wide(
-    df: DataFrame, names: list[str] | None = None, col: str = "software.framework"
-) -> DataFrame:
-    """One ``software.framework.<name>`` column per name, first version of the row wins.
+
+def framework_wide(df: DataFrame, names: Sequence[str], col: str = "software.framework") -> DataFrame:
+    """One ``software.framework.<name>`` column per wanted name, first version of the row wins.
 
     The versions are looked up inside the row, so neither a row id nor a join is needed.
     """
-    names = discover_frameworks(df, col) if names is None else names
     if not names:
         return df
     base = df.withColumn("_entries", hw.framework_entries(qcol(col)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,11 +14,11 @@ from ..schema import conform, qcol
 from ..sources.readers import read_run_directories
 
 
-def etl(df: DataFrame, frameworks: list[str] | None = None, strict: bool = False) -> DataFrame:
+def etl(df: DataFrame, frameworks: Sequence[str] = (), strict: bool = False) -> DataFrame:
     """Raw result table (canonical names) to the clean, typed, enriched result table.
 
-    One chain of projections and a filter: no shuffle. ``frameworks`` fixes the framework
-    columns; without it one aggregation over the distinct names finds them.
+    One chain of projections and a filter: no shuffle. All framework versions are in the map
+    ``software.framework.versions``; those named in ``frameworks`` also get a column each.
     """
     typed = (
         conform(df)
@@ -30,6 +32,7 @@ def etl(df: DataFrame, frameworks: list[str] | None = None, strict: bool = False
     )
     return (
         enrich.framework_wide(typed, frameworks)
+        .transform(enrich.framework_map)
         .transform(enrich.model_parameters)
         .transform(enrich.model_architecture)
         .transform(enrich.total_accelerators)

@@ -99,12 +99,20 @@ def test_frameworks(spark):
         1: [("pytorch", "2.5.1"), ("cuda", "12.4")], 2: [], 3: [("a", "1.0"), ("a", "2.0")], 4: [],
         5: [("vllm", "0.7.3")], 6: [("größe", "1")],
     }
-    wide = enrich.framework_wide(df)
-    assert [c for c in wide.columns if c.count(".") == 2] == [f"software.framework.{n}" for n in ["a", "cuda", "größe", "pytorch", "vllm"]]
+    wide = enrich.framework_wide(df, ["a", "absent"])
+    assert [c for c in wide.columns if c.count(".") == 2] == ["software.framework.a", "software.framework.absent"]
     assert {r["id"]: r["software.framework.a"] for r in wide.collect()}[3] == "1.0"
-    assert enrich.framework_wide(df.where("id = 2")).columns == df.columns
-    with pytest.raises(ValueError):
-        enrich.discover_frameworks(df, limit=2)
+    assert enrich.framework_wide(df, []).columns == df.columns
+    maps = {r["id"]: r["software.framework.versions"] for r in enrich.framework_map(df).collect()}
+    assert maps == {1: {"pytorch": "2.5.1", "cuda": "12.4"}, 2: {}, 3: {"a": "1.0"}, 4: None, 5: {"vllm": "0.7.3"}, 6: {"größe": "1"}}
+
+
+def test_any_number_of_framework_names(spark):
+    df = spark.range(1500).select("id", F.format_string("Engine%s 1.%s, CUDA 12", "id", F.col("id") % 7).alias("software.framework"))
+    got = {r["id"]: r["software.framework.versions"] for r in enrich.framework_map(df).collect()}
+    assert got == {i: {f"engine{i}": f"1.{i % 7}", "cuda": "12"} for i in range(1500)}
+    entries = enrich.framework_versions(df).select("id", F.posexplode("frameworks").alias("pos", "e")).select("id", "pos", "e.*")
+    assert {r["id"]: r["values"] for r in boards.pivot_first(entries, ["id"], "name", "version", "pos").collect()} == got
 
 
 def test_aliases(spark):
@@ -362,9 +370,8 @@ def test_full_grid_covers_every_priced_pair(spark):
 
 def test_pivot_first(spark):
     df = spark.createDataFrame([(1, "a", "x", 1), (1, "a", "y", 0), (1, "b", "z", 0)], "k int, n string, v string, p int")
-    assert boards.pivot_first(df, ["k"], "n", "v", "p", prefix="c.").collect()[0].asDict() == {"k": 1, "c.a": "y", "c.b": "z"}
-    with pytest.raises(ValueError):
-        boards.pivot_first(df, ["k"], "n", "v", "p", limit=1)
+    assert boards.pivot_first(df, ["k"], "n", "v", "p", ["a", "b"], prefix="c.").collect()[0].asDict() == {"k": 1, "c.a": "y", "c.b": "z"}
+    assert boards.pivot_first(df, ["k"], "n", "v", "p").collect()[0].asDict() == {"k": 1, "values": {"a": "y", "b": "z"}}
 
 
 def test_schema_helpers(spark):

@@ -33,7 +33,7 @@ def test_result_summaries_to_dashboard(cased, tmp_path):
     got = {r["submission.debug_uid"]: r for r in clean_rows.collect()}
     assert sorted(got) == ["1", "2"]
     assert got["1"]["metrics.result_per_accelerator"] == 10.0 / 8 and got["1"]["system.accelerator.vendor"] == "NVIDIA"
-    assert got["2"]["software.framework.vllm"] == "0.7" and got["1"]["system.name"] == "S1" and got["2"]["system.name"] is None
+    assert got["2"]["software.framework.versions"] == {"vllm": "0.7"} and got["1"]["system.name"] == "S1" and got["2"]["system.name"] is None
     assert clean_rows.columns == sorted(clean_rows.columns)
     put(tmp_path / "prices.json", '{"NVIDIA L4": 0.40, "TPU-v5e": 1.20,\n "a \\"b\\"": 3}')
     prices = readers.read_prices(cased, str(tmp_path / "prices.json"))
