@@ -321,6 +321,47 @@ def run_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select(F.explode(some).alias("f")).select("f.path", "f.text")
 
 
+def _stamp(k: Column, sep: str) -> Column:
+    """A time of day and a day for each number, as the name of a directory."""
+    day = F.floor(k / 86400)
+    parts = [2000 + F.floor(day / 336), 1 + F.floor(day / 28) % 12, 1 + day % 28, F.floor(k / 3600) % 24, F.floor(k / 60) % 60, k % 60]
+    text = [F.lpad(p.cast("string"), n, "0") for p, n in zip(parts, (4, 2, 2, 2, 2, 2), strict=True)]
+    return F.concat(*text[:3], F.lit(sep), *text[3:])
+
+
+def run_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, text) of a tree with one run directory per supplier; some hold no file, some only a note."""
+    k, balance = F.col("s_suppkey"), F.col("s_acctbal")
+    run = _stamp(k, "-")
+    perf = F.to_json(F.struct(balance.alias("samples_per_second"), F.col("s_name").alias("scenario")))
+    acc = F.to_json(F.struct((balance / 2).alias("samples_per_second"), F.lit("late").alias("scenario"), (k % 100).cast("double").alias("rouge1")))
+    results = F.to_json(F.struct((k % 7).cast("double").alias("rouge1")))
+    empty = k % 5 == 0
+    files = [
+        (empty, "", F.lit(None)), (k % 5 == 1, "/notes.txt", F.lit("none")), (~empty & (k % 3 != 0), "/performance/benchmark_results.json", perf),
+        (~empty & (k % 2 == 0), "/accuracy/benchmark_results.json", acc), (~empty & (k % 4 == 0), "/accuracy/accuracy_results.json", results),
+    ]
+    some = F.array_compact(F.array(*[F.when(has, F.struct(F.concat(run, F.lit(tail)).alias("path"), text.alias("text"))) for has, tail, text in files]))
+    return table(spark, sf_dir, "supplier").select(F.explode(some).alias("f")).select("f.*")
+
+
+def experiment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, text) of a tree with one experiment per supplier: hidden metadata, input, one step; some lack a part."""
+    k, name = F.col("s_suppkey"), F.col("s_name")
+    home = F.concat(F.lit("exp"), k.cast("string"), F.lit("/"))
+    at = F.concat(home, _stamp(k, "."), F.lit("/"))
+    tags = F.array(F.lit("imported"), F.concat(F.lit("_version."), (k % 9).cast("string")), F.concat(F.lit("_owner."), name))
+    meta = F.to_json(F.struct(name.alias("alias"), F.md5(name).alias("uid"), tags.alias("tags")))
+    given = F.to_json(F.struct(F.struct(F.lit("main").alias("branch"), tags.alias("tags")).alias("input"), k.cast("string").alias("uid")))
+    step = F.to_json(F.struct(F.concat(F.lit("run "), name).alias("cmd"), k.cast("string").alias("uid_step")))
+    files = [
+        (k % 4 != 0, home, "_cm.json", F.when(k % 11 == 0, "[]").otherwise(meta)), (k % 6 != 1, at, "x-input.json", given),
+        (k % 6 != 1, at, "step-1/x-input-step.json", step), (k % 10 == 3, home, "other", F.lit(None)),
+    ]
+    some = F.array_compact(F.array(*[F.when(has, F.struct(F.concat(place, F.lit(tail)).alias("path"), text.alias("text"))) for has, place, tail, text in files]))
+    return table(spark, sf_dir, "supplier").select(F.explode(some).alias("f")).select("f.*")
+
+
 def published_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(
         F.concat(F.lit("pub"), F.col("c_custkey").cast("string")).alias("run_id"),

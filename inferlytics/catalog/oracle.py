@@ -98,6 +98,11 @@ _ENGINE = (
     "ELSE 'TensorRT 10.' || l_linenumber || ', Engine' || l_suppkey || ' 1.' || (l_partkey % 9) END"
 )
 
+_STAMP = (
+    "make_timestamp(2000 + s_suppkey // 29030400, 1 + (s_suppkey // 2419200) % 12, 1 + (s_suppkey // 86400) % 28, "
+    "(s_suppkey // 3600) % 24, (s_suppkey // 60) % 60, (s_suppkey % 60)::DOUBLE)"
+)
+
 _TEXTS = [
     "organization", "division", "availability", "scenario", "system", "units", "accuracy", "model", "accelerator",
     "nodes", "per_node", "accelerator_memory", "host_memory", "cpu", "frequency", "interconnect", "framework", "stamp",
@@ -611,6 +616,21 @@ SELECT lpad(k::VARCHAR, 10, '0') || '-1' AS run_id, CASE WHEN p AND k % 10 <> 1
   CASE WHEN p AND k % 5 = 0 THEN k || '.5' END AS gen_len_text, CASE WHEN p AND k % 7 = 0 THEN o_totalprice * 2 END AS max_throughput,
   CASE WHEN p AND k % 7 = 0 THEN '[{"target_qps":' || k || '}]' END AS sweep_results, CASE WHEN a THEN 'n' END AS note,
   CASE WHEN r THEN (k % 100)::DOUBLE END AS rouge1, CASE WHEN r THEN k % 9 + 0.5 END::DOUBLE AS gen_num FROM f""",
+    "run_directories": f"""
+WITH s AS (SELECT s_suppkey AS k, s_name, s_acctbal, s_suppkey % 5 <> 0 AND s_suppkey % 3 <> 0 AS p, s_suppkey % 5 <> 0 AND s_suppkey % 2 = 0 AS a,
+  s_suppkey % 5 <> 0 AND s_suppkey % 4 = 0 AS r, {_STAMP} AS t FROM supplier)
+SELECT strftime(t, '%Y%m%d-%H%M%S') AS run_id, CASE WHEN p THEN s_acctbal WHEN a THEN s_acctbal / 2 END AS samples_per_second,
+  CASE WHEN p THEN s_name WHEN a THEN 'late' END AS scenario, CASE WHEN a THEN (k % 100)::DOUBLE END AS rouge1,
+  CASE WHEN p AND (a OR r) THEN 'PerformanceAndAccuracy' WHEN p THEN 'PerformanceOnly' WHEN a OR r THEN 'AccuracyOnly' END AS mode,
+  strftime(t, '%Y-%m-%dT%H:%M:%S') AS datetime, CASE WHEN r THEN (k % 7)::DOUBLE END AS result_rouge1
+FROM s WHERE k % 5 < 2 OR p OR a OR r""",
+    "experiments": f"""
+WITH s AS (SELECT s_suppkey AS k, s_name, s_suppkey % 4 <> 0 AS held, s_suppkey % 4 <> 0 AND s_suppkey % 11 <> 0 AS m, s_suppkey % 6 <> 1 AS i,
+  {_STAMP} AS t FROM supplier)
+SELECT 'exp' || k AS experiment, CASE WHEN i THEN 'step-1' END AS step, CASE WHEN i THEN 'run ' || s_name END AS cmd,
+  CASE WHEN i THEN strftime(t, '%Y-%m-%dT%H:%M:%S') END AS datetime, CASE WHEN m THEN s_name END AS alias, CASE WHEN m THEN md5(s_name) END AS meta_uid,
+  CASE WHEN m THEN s_name END AS owner, CASE WHEN m THEN 'imported' END AS meta_tags, CASE WHEN i THEN (k % 9)::VARCHAR END AS input_version
+FROM s WHERE i OR held""",
     "union_runs": """
 SELECT 'published' AS source, 'pub' || c_custkey AS run_id, c_acctbal AS samples_per_second, c_mktsegment AS segment, NULL AS mode FROM customer
 UNION ALL SELECT 'local', run_id, samples_per_second, NULL, mode FROM v_merged""",

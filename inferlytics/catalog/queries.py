@@ -17,6 +17,7 @@ from ..operators import boards, clean, enrich, filters, metrics, prompts, rouge,
 from ..plans import pipelines
 from ..schema import conform, plain_names, qcol
 from ..sources import readers
+from ..sources.tree import write_tree
 from ..sources.writers import write_results
 from ..streaming import streams
 from ..streaming.storage import shared_folder
@@ -637,6 +638,28 @@ def run_files(spark, sf):
     )
 
 
+@query
+def run_directories(spark, sf):
+    """Runs of a directory tree that is written and read back: directories without a file count as runs."""
+    base = shared_folder(spark, "run-tree")
+    write_tree(bridge.run_tree(spark, sf), base)
+    return pipelines.aggregate_runs(spark, base).select(
+        "run_id", "samples_per_second", "scenario", "rouge1", "mode", "datetime", F.col("accuracy_results.rouge1").alias("result_rouge1")
+    )
+
+
+@query
+def experiments(spark, sf):
+    """Experiments of a directory tree with their hidden metadata files."""
+    base = shared_folder(spark, "experiment-tree")
+    write_tree(bridge.experiment_tree(spark, sf), base)
+    return readers.read_experiments(spark, base).select(
+        "experiment", "step", "cmd", "datetime", F.col("meta.alias").alias("alias"), F.col("meta.uid").alias("meta_uid"),
+        F.col("meta.tag_values")["owner"].alias("owner"), F.array_join("meta.plain_tags", ",").alias("meta_tags"),
+        F.col("tag_values")["version"].alias("input_version"),
+    )
+
+
 @query
 def union_runs(spark, sf):
     out = runs.combine(bridge.published_runs(spark, sf), merged(spark, sf))

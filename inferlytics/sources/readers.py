@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions.logs import extract_log_metrics
 from ..schema import accuracy_result_schema, benchmark_result_schema
+from .tree import read_tree
 
 # --- fixed values: file names and split order --------------------------------------
 RESULT_SUMMARY_GLOB = "*-result-summary.json"
@@ -116,9 +117,20 @@ def run_halves(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataF
     )
 
 
-def read_run_directories(spark: SparkSession, base: str):
-    """Halves and listing of the run directories below ``base``, from one file listing."""
-    return run_halves(parse_run_files(_whole_files(spark, base, "*_results.json")))
+def run_directories(entries: DataFrame) -> DataFrame:
+    """(run_id, run_dir, datetime) of the directories that are runs, whatever they hold."""
+    runs = entries.where(F.col("is_dir") & is_run_name(F.col("name")))
+    return runs.groupBy(F.col("name").alias("run_id")).agg(F.min("path").alias("run_dir"), F.min(run_stamp(F.col("name"))).alias("datetime"))
+
+
+def read_run_directories(spark: SparkSession, base: str, empty_runs: bool = True):
+    """Halves and listing of the run directories below ``base``.
+
+    A run is a directory, also one without a file. Spark lists files only, so the directories come from
+    :func:`tree.read_tree`; in a store that only Spark reads, ``empty_runs=False`` leaves out those without a result file.
+    """
+    perf, acc, results, listing = run_halves(parse_run_files(_whole_files(spark, base, "*_results.json")))
+    return perf, acc, results, run_directories(read_tree(spark, base)) if empty_runs else listing
 
 
 def read_published(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
@@ -244,11 +256,29 @@ EXPERIMENT_INPUT = (
 )
 
 
-def read_experiments(spark: SparkSession, base: str) -> DataFrame:
-    """One row per recorded step: experiment, input and step metadata of a directory tree.
+EXPERIMENT_META = "alias string, automation_alias string, automation_uid string, tags array<string>, uid string"
+
+
+def parse_experiment_meta(files: DataFrame) -> DataFrame:
+    """(experiment, meta) of (path, text) rows that are the metadata files of experiments; text that is no object is null."""
+    place = r"^(?:.*/)?([^/]+)/_[^/]*\.json$"
+    doc = F.from_json("text", EXPERIMENT_META)
+    meta = F.struct(
+        *[doc[f].alias(f) for f in ("alias", "uid", "automation_alias", "automation_uid")],
+        tag_map(doc["tags"]).alias("tag_values"),
+        plain_tags(doc["tags"]).alias("plain_tags"),
+    )
+    found = files.where(F.col("path").rlike(place) & F.col("text").isNotNull())
+    by_path = found.select(F.regexp_extract("path", place, 1).alias("experiment"), "path", meta.alias("meta"))
+    return by_path.groupBy("experiment").agg(F.min_by("meta", "path").alias("meta"))
+
+
+def read_experiments(spark: SparkSession, base: str, hidden: bool = True) -> DataFrame:
+    """One row per recorded step: experiment, its metadata, input and step metadata of a directory tree.
 
-    Layout ``<experiment>/<YYYYMMDD.HHMMSS>/<step>/``; the metadata file of the experiment
-    starts with an underscore, which Spark's listing hides, so its tags come from the input.
+    Layout ``<experiment>/<YYYYMMDD.HHMMSS>/<step>/``. The metadata file of an experiment (tags, uid, alias) starts with an
+    underscore, which Spark's listing hides, so it comes from :func:`tree.read_tree`; in a store that only Spark reads,
+    ``hidden=False`` leaves ``meta`` null. An experiment without any input has a row of its metadata alone.
     """
     files = _whole_files(spark, base, "*.json")
     stamp = r"^(.*/([^/]+))/(\d{8}\.\d{6})"
@@ -267,7 +297,11 @@ def read_experiments(spark: SparkSession, base: str) -> DataFrame:
     steps = kind(r"/[^/]+/[^/]*-input-step\.json$", "cmd string, env map<string,string>, iso_datetime string, uid_step string")
     results = kind(r"/[^/]+/[^/]*-result\.json$", "iso_datetime string, uid_step string")
     at = ["experiment", "stamp", "step"]
-    return (
+    if hidden:
+        meta = parse_experiment_meta(read_tree(spark, base, "_*.json"))
+    else:
+        meta = parse_experiment_meta(files.limit(0))
+    recorded = (
         inputs.withColumns({"tag_values": tag_map(F.col("tags")), "plain_tags": plain_tags(F.col("tags"))})
         .drop("tags")
         .join(
@@ -277,5 +311,8 @@ def read_experiments(spark: SparkSession, base: str) -> DataFrame:
             ["experiment", "stamp"],
             "left",
         )
+    )
+    return (
+        recorded.join(meta, "experiment", "full_outer")
         .withColumn("datetime", run_stamp(F.translate("stamp", ".", "-")))
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inferlytics.operators import boards, clean
 from inferlytics.plans import pipelines
-from inferlytics.sources import readers, writers
+from inferlytics.sources import readers, tree, writers
 
 
 def put(path, content):
@@ -78,6 +78,37 @@ def test_run_directories(spark, tmp_path):
     assert tuple(summary.first()) == (4, 2, 1)
 
 
+def test_directories_without_files_are_runs(spark, tmp_path):
+    base = tmp_path / "results"
+    (base / "20250404-153652").mkdir(parents=True)
+    (base / "20250405-000000/performance").mkdir(parents=True)
+    (base / "notes").mkdir()
+    put(base / "20250406-000000/performance/benchmark_results.json", {"samples_per_second": 2.0})
+    got = {r["run_id"]: (r["samples_per_second"], r["mode"], r["datetime"]) for r in pipelines.aggregate_runs(spark, f"file://{base}").collect()}
+    assert got == {
+        "20250404-153652": (None, None, "2025-04-04T15:36:52"), "20250405-000000": (None, None, "2025-04-05T00:00:00"),
+        "20250406-000000": (2.0, "PerformanceOnly", "2025-04-06T00:00:00"),
+    }
+    *_, listing = readers.read_run_directories(spark, str(base), empty_runs=False)
+    assert [r["run_id"] for r in listing.collect()] == ["20250406-000000"]
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 64])
+def test_tree_lists_each_entry_once(spark, tmp_path, partitions):
+    rows = [(f"d{i}/e{j}/f{k}.json", f"{i}{j}{k} é") for i in range(4) for j in range(3) for k in range(2)] + [("_hidden.json", "h"), ("d0/.dot", ""), ("empty/deep", None)]
+    tree.write_tree(spark.createDataFrame(rows, "path string, text string").repartition(3), str(tmp_path / "t"))
+    found = tree.read_tree(spark, str(tmp_path / "t"), "*.json", partitions).collect()
+    assert len(found) == len({r["path"] for r in found})
+    assert {r["path"]: r["text"] for r in found if not r["is_dir"]} == {p: t if p.endswith("json") else None for p, t in rows if t is not None}
+    dirs = {"empty", "empty/deep", *(f"d{i}" for i in range(4)), *(f"d{i}/e{j}" for i in range(4) for j in range(3))}
+    assert {r["path"] for r in found if r["is_dir"]} == dirs
+
+
+def test_stores_that_cannot_be_listed_are_told_early(spark):
+    with pytest.raises(ValueError, match="cannot be listed"):
+        tree.read_tree(spark, "viewfs://store/x")
+
+
 def test_run_documents_lose_nothing(spark, tmp_path):
     base = tmp_path / "results"
     put(base / "20250404-153652/performance/benchmark_results.json", {"samples_per_second": 3.0, "gpu": "H100", "model": "m", "none": None})
@@ -146,6 +177,14 @@ def test_experiments(spark, tmp_path):
     row = readers.read_experiments(spark, str(tmp_path / "e")).first()
     assert row["tag_values"] == {"version": "5.0", "url": "https://h/a.b", "branch": ""} and row["plain_tags"] == ["git", "main"]
     assert (row["experiment"], row["step"], row["cmd"], row["started"], row["finished"], row["datetime"]) == ("exp1", "step-1", "dir", "t0", "t1", "2025-04-04T15:36:52")
+    assert row["meta"] is None
+    put(tmp_path / "e/exp1/_cm.json", {"alias": "own", "uid": "m", "tags": ["cmx", "_version.6.0", "imported"]})
+    put(tmp_path / "e/exp2/_cm.json", {"uid": "alone"})
+    got = {r["experiment"]: r for r in readers.read_experiments(spark, str(tmp_path / "e")).collect()}
+    meta = got["exp1"]["meta"]
+    assert (meta["alias"], meta["uid"], meta["tag_values"], meta["plain_tags"]) == ("own", "m", {"version": "6.0"}, ["cmx", "imported"])
+    assert got["exp2"]["meta"]["uid"] == "alone" and got["exp2"]["stamp"] is None
+    assert readers.read_experiments(spark, str(tmp_path / "e"), hidden=False).first()["meta"] is None
 
 
 def test_write_accuracy(spark, tmp_path):
