@@ -34,6 +34,35 @@ def test_exact_percentiles(spark, skewed, partitions):
             assert got[key][f"{stat}_neg"] == pytest.approx(np.percentile(-values, p * 100), rel=1e-12)
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e9, 1e-9])
+def test_crowded_ranges_are_cut(spark, skewed, scale, monkeypatch):
+    """Groups far above the limit, whatever the unit; a crowded spot; a value a third of all rows."""
+    rng = random.Random(11)
+    rows = [(k, i, v * scale) for k, i, v in skewed] + [("spot", i, (5 + rng.random() * 1e-7) * scale) for i in range(4000)]
+    rows += [("same", i, 3.0 * scale if i % 3 else rng.random() * scale) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, i long, v double").repartition(4)
+    ranges = []
+    cut = ranks._cut_ranges
+    monkeypatch.setattr(ranks, "_cut_ranges", lambda *a: ranges.append(1) or cut(*a))
+    monkeypatch.setattr(ranks, "SKETCH", 200)
+    probs = {"p0": 0.0, "p1": 0.01, "p50": 0.5, "p97": 0.97, "p99_9": 0.999, "p100": 1.0}
+    got = {r["k"]: r for r in ranks.exact_percentiles(df, ["k"], {"v": F.col("v"), "neg": -F.col("v")}, probs, most=30).collect()}
+    assert ranges
+    for key in {k for k, _, _ in rows}:
+        values = np.array([v for k, _, v in rows if k == key])
+        for stat, p in probs.items():
+            assert got[key][f"{stat}_v"] == pytest.approx(np.percentile(values, p * 100), rel=1e-12), (key, stat)
+            assert got[key][f"{stat}_neg"] == pytest.approx(np.percentile(-values, p * 100), rel=1e-12), (key, stat)
+
+
+def test_wrong_sketch_borders_are_noticed(spark, monkeypatch):
+    """Borders on the wrong side of a rank are found by counting, and the result stays exact."""
+    monkeypatch.setattr(ranks, "MARGIN", -0.2)  # try a range that misses the rank
+    df = spark.range(1000).select(F.col("id").cast("double").alias("v"))
+    row = ranks.exact_percentiles(df, [], {"v": F.col("v")}, {"p10": 0.1, "p50": 0.5, "p90": 0.9}, most=50).first()
+    assert (row["p10_v"], row["p50_v"], row["p90_v"]) == (pytest.approx(99.9), 499.5, pytest.approx(899.1))
+
+
 def test_percentiles_of_one_value_and_of_nulls(spark):
     df = spark.createDataFrame([("a", 5.0), ("b", None), ("c", 1.0), ("c", None)], "k string, v double")
     got = {r["k"]: r["p50_v"] for r in ranks.exact_percentiles(df, ["k"], {"v": F.col("v")}, {"p50": 0.5}).collect()}
