@@ -344,6 +344,66 @@ def _stems() -> str:
     return ", ".join(parts)
 
 
+def _lines(c: str) -> str:
+    return f"regexp_replace(trim({c}, {_TRIM}), '([.!?])\\s+', '\\1' || chr(10), 'g')"
+
+
+#: Row after row of the table of common lengths of lists a and b; the first row is all zero.
+_COMMON = """list_reduce(list_transform(a, lambda x: [list_transform(b, lambda y: (x = y)::BIGINT)]),
+    lambda acc, hit: list_append(acc, list_transform([list_transform(range(1, len(b) + 1), lambda j:
+      CASE WHEN hit[1][j] = 1 THEN coalesce(acc[-1][j - 1], 0) + 1 ELSE acc[-1][j] END)],
+      lambda c: list_transform(range(1, len(c) + 1), lambda j: list_max(c[1:j])))[1]),
+    [list_transform(b, lambda y: 0::BIGINT)])"""
+#: One longest common subsequence as places in a, found from the end of the table t.
+_PATH = """list_reduce(list_transform(range(len(a) + len(b) + 1), lambda k: {'i': len(a)::BIGINT, 'j': len(b)::BIGINT, 'f': []::BIGINT[]}),
+    lambda s, x: CASE WHEN s.i = 0 OR s.j = 0 THEN s WHEN a[s.i] = b[s.j] THEN {'i': s.i - 1, 'j': s.j - 1, 'f': list_append(s.f, s.i)}
+      WHEN coalesce(t[s.i + 1][s.j - 1], 0) > t[s.i][s.j] THEN {'i': s.i, 'j': s.j - 1, 'f': s.f} ELSE {'i': s.i - 1, 'j': s.j, 'f': s.f} END).f"""
+
+
+def _subsequences(source: str, key: str, lines: bool = True, stem: bool = False) -> str:
+    """Subsequence scores of (key, reference, prediction) rows as CTEs after those of ``_rouge``, ending in lsc(id, name, prec, rec, f1)."""
+    parts = []
+    for side, col in (("r", "reference"), ("p", "prediction")):
+        text = f"string_split({_lines(col) if lines else col}, chr(10))"
+        parts.append(
+            f"n_{side} AS (SELECT id, sno, {_TOKENS.format('x')} AS t FROM (SELECT {key} AS id, unnest({text}) AS x, unnest(range(len({text}))) AS sno FROM {source}))"
+        )
+        if stem:
+            parts.append(
+                f"s_{side} AS (SELECT id, sno, list(stem ORDER BY pos) AS t FROM (SELECT id, sno, unnest(t) AS word, unnest(range(len(t))) AS pos FROM n_{side}) "
+                "JOIN stems USING (word) GROUP BY id, sno)"
+            )
+        else:
+            parts.append(f"s_{side} AS (SELECT * FROM n_{side} WHERE len(t) > 0)")
+        parts.append(f"a_{side} AS (SELECT id, flatten(list(t ORDER BY sno)) AS t FROM s_{side} GROUP BY id)")
+    parts += [
+        f"whole AS (SELECT id, {_COMMON}[-1][-1] AS h FROM (SELECT id, a_r.t AS a, a_p.t AS b FROM a_r JOIN a_p USING (id)))",
+        f"tabled AS (SELECT *, {_COMMON} AS t FROM (SELECT id, s_r.sno, s_r.t AS a, s_p.t AS b FROM s_r JOIN s_p USING (id)))",
+        f"taken AS (SELECT DISTINCT id, sno, a[place] AS word, place FROM (SELECT id, sno, a, unnest({_PATH}) AS place FROM tabled))",
+        "given AS (SELECT id, word, count(*) AS n FROM (SELECT id, unnest(t) AS word FROM s_p) GROUP BY ALL)",
+        "summed AS (SELECT id, sum(least(k, n)) AS h FROM (SELECT id, word, count(*) AS k FROM taken GROUP BY ALL) JOIN given USING (id, word) GROUP BY id)",
+        "lpr AS (SELECT tok.id, name, coalesce(CASE name WHEN 'L' THEN whole.h ELSE summed.h END, 0) AS h, len(a_r.t) AS nr, len(a_p.t) AS np "
+        "FROM tok CROSS JOIN (VALUES ('L'), ('Lsum')) o(name) LEFT JOIN whole USING (id) LEFT JOIN summed USING (id) LEFT JOIN a_r USING (id) LEFT JOIN a_p USING (id))",
+        "lsc AS (SELECT *, coalesce(2 * prec * rec / nullif(prec + rec, 0), 0) AS f1 "
+        "FROM (SELECT id, name, coalesce(h / nullif(np, 0), 0) AS prec, coalesce(h / nullif(nr, 0), 0) AS rec FROM lpr))",
+    ]
+    return ", " + ", ".join(parts)
+
+
+_FOUR = (
+    ", f1s AS (SELECT id, round_even(max(f1) FILTER (n = 1) * 100, 4) AS rouge1, round_even(max(f1) FILTER (n = 2) * 100, 4) AS rouge2 FROM sc GROUP BY id), "
+    "fls AS (SELECT id, round_even(max(f1) FILTER (name = 'L') * 100, 4) AS \"rougeL\", round_even(max(f1) FILTER (name = 'Lsum') * 100, 4) AS \"rougeLsum\" FROM lsc GROUP BY id)"
+)
+
+
+def _record(source: str, tokens: str) -> str:
+    return f"""
+SELECT (SELECT round_even(avg(f1) FILTER (n = 1) * 100, 4) FROM sc) AS rouge1, (SELECT round_even(avg(f1) FILTER (n = 2) * 100, 4) FROM sc) AS rouge2,
+  (SELECT round_even(avg(f1) FILTER (name = 'L') * 100, 4) FROM lsc) AS "rougeL", (SELECT round_even(avg(f1) FILTER (name = 'Lsum') * 100, 4) FROM lsc) AS "rougeLsum",
+  (SELECT sum(length(prediction))::BIGINT FROM {source}) AS gen_len, (SELECT count(*) FROM {source}) AS gen_num,
+  (SELECT sum({tokens})::BIGINT FROM {source}) AS gen_tok_len, (SELECT round_even(sum({tokens}) / count(*), 1) FROM {source}) AS tokens_per_sample, NULL::VARCHAR AS error"""
+
+
 def _board_cols(*extra: str) -> str:
     names = {
         "model": "model_name", "scenario": "submission_scenario", "system": "system_name",
@@ -603,6 +663,17 @@ SELECT round_even(avg(f1) FILTER (n = 1) * 100, 4) AS rouge1, round_even(avg(f1)
   (SELECT sum(length(prediction))::BIGINT FROM v_samples) AS gen_len, (SELECT count(*) FROM v_samples) AS gen_num,
   (SELECT sum(n_tokens)::BIGINT FROM v_samples) AS gen_tok_len,
   (SELECT round_even(sum(n_tokens) / count(*), 1) FROM v_samples) AS tokens_per_sample, NULL::VARCHAR AS error FROM sc""",
+    "rouge_lsum": ", " + _rouge("v_prompts", "sample_idx") + _subsequences("v_prompts", "sample_idx") + """
+SELECT id AS sample_idx, round(prec, 6) AS "rougeLsum_precision", round(rec, 6) AS "rougeLsum_recall", round(f1, 6) AS "rougeLsum_f1" FROM lsc WHERE name = 'Lsum'""",
+    "score_samples": ", " + _rouge("v_prompts", "sample_idx", stem=True) + _subsequences("v_prompts", "sample_idx", stem=True) + _FOUR + f"""
+SELECT sample_idx, {_lines('reference')} AS reference, {_lines('prediction')} AS prediction, rouge1, rouge2, "rougeL", "rougeLsum"
+FROM v_prompts JOIN f1s ON f1s.id = sample_idx JOIN fls ON fls.id = sample_idx""",
+    "accuracy_details": ", " + _rouge("v_samples", "id", stem=True) + _subsequences("v_samples", "id", stem=True) + _FOUR + f"""
+SELECT s.id AS log_id, qsl_idx, {_lines('prediction')} AS prediction, n_tokens, rouge1, rouge2, "rougeL", "rougeLsum"
+FROM v_samples s JOIN v_log ON log_id = s.id JOIN f1s ON f1s.id = s.id JOIN fls ON fls.id = s.id""",
+    "corpus_accuracy_full": ", " + _rouge("v_prompts", "sample_idx", stem=True) + _subsequences("v_prompts", "sample_idx", lines=False, stem=True)
+    + _record("v_prompts", "len(string_split(prediction, ' '))"),
+    "accuracy_evaluation_full": ", " + _rouge("v_samples", "id", stem=True) + _subsequences("v_samples", "id", stem=True) + _record("v_samples", "n_tokens"),
     "run_merge": "SELECT run_id, samples_per_second, scenario, rouge1, mode, gen_num FROM v_merged",
     "run_files": """
 WITH f AS (

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import subsequences
 from ..functions.stem import stem_column
 from ..functions.text import score_tokens
 from ..schema import struct
@@ -128,84 +130,22 @@ def rouge_n(tokens: DataFrame, key: str, ns: tuple[int, ...] = (1, 2), carry: li
 # --- longest common subsequences (Arrow) --------------------------------------------
 
 
-def _lcs_rows(a: list[str], b: list[str]) -> list[int]:
-    """Bit rows of the LCS table: bit j of row i is clear where column j+1 of ``b`` adds one."""
-    where: dict[str, int] = {}
-    for j, token in enumerate(b):
-        where[token] = where.get(token, 0) | (1 << j)
-    full = (1 << len(b)) - 1
-    row, rows = full, [full]
-    for token in a:
-        hit = row & where.get(token, 0)
-        row = ((row + hit) | (row - hit)) & full
-        rows.append(row)
-    return rows
-
-
 def lcs_length(a: list[str], b: list[str]) -> int:
-    return len(b) - _lcs_rows(a, b)[-1].bit_count() if a and b else 0
+    return len(b) - subsequences.bit_rows(a, b)[-1].bit_count()
 
 
 def lcs_positions(a: list[str], b: list[str]) -> list[int]:
     """Positions in ``a`` of one longest common subsequence with ``b``."""
-    if not a or not b:
-        return []
-    rows = _lcs_rows(a, b)
-    i, j, found = len(a), len(b), []
-    while i and j:
-        if a[i - 1] == b[j - 1]:
-            found.append(i - 1)
-            i, j = i - 1, j - 1
-            continue
-        # Step left only if that keeps more of the subsequence than stepping up does.
-        steps = (1 << j) - 1
-        here = j - (rows[i] & steps).bit_count()
-        up = j - (rows[i - 1] & steps).bit_count()
-        left = here - (not (rows[i] >> (j - 1)) & 1)
-        if left > up:
-            j -= 1
-        else:
-            i -= 1
-    return found[::-1]
-
-
-def _sentences(tokens) -> list[list[str]]:
-    out: list[list[str]] = [[]]
-    for t in tokens:
-        if t == NEWLINE:
-            out.append([])
-        else:
-            out[-1].append(t)
-    return out
-
-
-def union_hits(ref: list[list[str]], pred: list[list[str]]) -> int:
-    """Matched tokens of the summary form: union of each reference sentence's subsequences."""
-    left: dict[str, int] = {}
-    right: dict[str, int] = {}
-    for counts, sentences in ((left, ref), (right, pred)):
-        for sentence in sentences:
-            for t in sentence:
-                counts[t] = counts.get(t, 0) + 1
-    hits = 0
-    for sentence in ref:
-        union = sorted({p for other in pred for p in lcs_positions(sentence, other)})
-        for t in (sentence[p] for p in union):
-            if left[t] > 0 and right.get(t, 0) > 0:
-                left[t] -= 1
-                right[t] -= 1
-                hits += 1
-    return hits
-
-
-@F.pandas_udf(struct(l="long", lsum="long"))
-def _subsequence_hits(ref: pd.Series, pred: pd.Series) -> pd.DataFrame:
-    rows = []
-    for r, p in zip(ref, pred):
-        r, p = _sentences(r), _sentences(p)
-        whole = lcs_length([t for s in r for t in s], [t for s in p for t in s])
-        rows.append((whole, union_hits(r, p)))
-    return pd.DataFrame(rows, columns=["l", "lsum"])
+    return subsequences.positions(a, b)
+
+
+@F.arrow_udf(struct(l="long", lsum="long"))
+def _subsequence_hits(ref: pa.Array, pred: pa.Array) -> pa.Array:
+    coded = pa.concat_arrays([ref.flatten(), pred.flatten(), pa.array([NEWLINE])]).dictionary_encode().indices.to_numpy().astype(np.int64)
+    cuts = [x.offsets.to_numpy() - x.offsets[0].as_py() for x in (ref, pred)]
+    sides = coded[: cuts[0][-1]], coded[cuts[0][-1] : -1]
+    found = subsequences.hits((sides[0], cuts[0]), (sides[1], cuts[1]), int(coded[-1]))
+    return pa.StructArray.from_arrays([pa.array(c) for c in found], ["l", "lsum"])
 
 
 def _lcs_scores(tokens: DataFrame, keep: list[str]) -> DataFrame:
