@@ -12,10 +12,14 @@ from ..functions.stem import stem_column
 from ..functions.text import score_tokens
 from ..schema import struct
 from .layout import spread_by
+from .ranks import settled
 
 NEWLINE = "\n"
 #: Stands between the two token lists of a pair; no token contains it.
 BORDER = "|"
+#: The same where tokens are numbers of stems.
+LINE, BORDER_NUMBER = -1, -2
+SMALL_WORDS = 300_000  # words of a table that is broadcast, some 20 MB
 
 
 def _scores(hits: Column, ref_n: Column, pred_n: Column) -> dict[str, Column]:
@@ -30,8 +34,8 @@ def tokenize_pairs(
     """(key, carried columns, ref_tokens, pred_tokens); line breaks stay as marker tokens.
 
     Pairs are spread by key first: moving the texts once is cheaper than moving their grams,
-    and every aggregation after it is local. A null text counts as empty. With ``stem`` the tokens are stemmed as rows and put back
-    in order; a pair was one row before and is one row again.
+    and every aggregation after it is local. A null text counts as empty. With ``stem`` the tokens become the
+    numbers of their stems; a pair was one row before and is one row again.
     """
     texts = spread_by(pairs.select(key, *carry, ref, pred), key)
     tokens = texts.select(
@@ -49,19 +53,37 @@ def _tagged(tokens: Column, side: int) -> Column:
     )
 
 
+def word_table(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(word, id) of the words of token-array columns, one id per stem; line breaks have the id ``LINE``.
+
+    Every distinct word is stemmed once. The table is written once, as its numbers must not change between readers.
+    """
+    words = df.select(F.explode(F.flatten(F.array(*cols))).alias("word")).distinct()
+    stems = stem_column(words.where(F.col("word") != NEWLINE), "word", "stem")
+    by_stem = stems.groupBy("stem").agg(F.collect_list("word").alias("words")).withColumn("id", F.monotonically_increasing_id())
+    line = df.sparkSession.range(1).select(F.lit(NEWLINE).alias("word"), F.lit(LINE).cast("long").alias("id"))
+    return settled(by_stem.select(F.explode("words").alias("word"), "id").union(line), "words")
+
+
 def stem_tokens(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    """Stem the words of token-array columns; ``keys`` are unique per row."""
+    """Words of token-array columns as numbers of their stems; ``keys`` are unique per row.
+
+    A word table of up to ``SMALL_WORDS`` words is broadcast, so tokens stay where they are; a larger one is left to the
+    join that Spark chooses, which deals words out and splits frequent ones.
+    """
+    words = word_table(df, cols)
+    if words.count() <= SMALL_WORDS:
+        words = F.broadcast(words)
     tagged = F.concat(*[_tagged(F.col(c), side) for side, c in enumerate(cols)])
-    rows = df.select(*keys, F.explode_outer(tagged).alias("t")).select(*keys, "t.side", "t.pos", "t.word")
-    stemmed = stem_column(rows, "word")
+    rows = df.select(*keys, F.explode_outer(tagged).alias("t")).select(*keys, "t.side", "t.pos", "t.word").join(words, "word", "left")
     lists = [
         F.transform(
-            F.sort_array(F.collect_list(F.when(F.col("side") == side, F.struct("pos", "word")))),
-            lambda x: x["word"],
+            F.sort_array(F.collect_list(F.when(F.col("side") == side, F.struct("pos", "id")))),
+            lambda x: x["id"],
         ).alias(c)
         for side, c in enumerate(cols)
     ]
-    return stemmed.groupBy(*keys).agg(*lists)
+    return rows.groupBy(*keys).agg(*lists)
 
 
 def rouge_n(tokens: DataFrame, key: str, ns: tuple[int, ...] = (1, 2), carry: list[str] = []) -> DataFrame:
@@ -70,29 +92,31 @@ def rouge_n(tokens: DataFrame, key: str, ns: tuple[int, ...] = (1, 2), carry: li
     Both token lists of a pair are laid end to end around a border token and zipped with
     their shifted copies, so one pass over the positions yields the grams of all orders and
     both sides, and a single aggregation per (pair, gram) counts them. Every step is generated
-    code. The border row stays in, which keeps pairs without any token.
+    code. The border row stays in, which keeps pairs without any token. Grams are compared token
+    by token, so they stay numbers where tokens are numbers.
     """
     width = max(ns)
     shifted = [F.col("_all"), *[F.slice("_all", F.lit(k + 1), F.size("_all")) for k in range(1, width)]]
     words = [F.col(f"_t.{k}") for k in range(width)]
+    numbers = dict(tokens.dtypes)["ref_tokens"] == "array<bigint>"
+    line, border = (F.lit(LINE).cast("long"), F.lit(BORDER_NUMBER).cast("long")) if numbers else (F.lit(NEWLINE), F.lit(BORDER))
 
     def gram(n: int) -> Column:
-        text = words[0] if n == 1 else F.concat(words[0], *[x for w in words[1:n] for x in (F.lit(" "), w)])
-        whole = words[0] != BORDER
+        whole = words[0] != border
         for w in words[1:n]:
-            whole = whole & (w != BORDER)
-        return F.struct(F.lit(n).alias("n"), F.when(whole, text).alias("gram"))
+            whole = whole & (w != border)
+        return F.struct(F.lit(n).alias("n"), *[F.when(whole, words[k] if k < n else F.lit(None)).alias(f"g{k}") for k in range(width)])
 
     plain = tokens.select(
         key,
         *carry,
-        F.size(F.array_remove("ref_tokens", NEWLINE)).alias("_nr"),
-        F.concat(F.array_remove("ref_tokens", NEWLINE), F.array(F.lit(BORDER)), F.array_remove("pred_tokens", NEWLINE)).alias("_all"),
+        F.size(F.array_remove("ref_tokens", line)).alias("_nr"),
+        F.concat(F.array_remove("ref_tokens", line), F.array(border), F.array_remove("pred_tokens", line)).alias("_all"),
     )
     places = plain.select(
         key, *carry, "_nr", F.posexplode(F.arrays_zip(*[c.alias(str(k)) for k, c in enumerate(shifted)])).alias("_pos", "_t")
     )
-    is_border = words[0] == BORDER
+    is_border = words[0] == border
     rows = places.select(
         key,
         *carry,
@@ -100,10 +124,9 @@ def rouge_n(tokens: DataFrame, key: str, ns: tuple[int, ...] = (1, 2), carry: li
         (F.col("_pos") > F.col("_nr")).cast("long").alias("pred"),
         is_border.alias("_border"),
         F.explode(F.array(*[gram(n) for n in ns])).alias("g"),
-    ).where(F.col("g.gram").isNotNull() | F.col("_border"))
-    counts = rows.groupBy(key, *carry, F.col("g.n").alias("n"), F.col("g.gram").alias("gram")).agg(
-        F.sum("ref").alias("ref"), F.sum("pred").alias("pred")
-    )
+    ).where(F.col("g.g0").isNotNull() | F.col("_border"))
+    grams = [F.col(f"g.g{k}").alias(f"g{k}") for k in range(width)]
+    counts = rows.groupBy(key, *carry, F.col("g.n").alias("n"), *grams).agg(F.sum("ref").alias("ref"), F.sum("pred").alias("pred"))
     zero = F.lit(0)
 
     def of(n: int, c: Column) -> Column:
@@ -141,7 +164,7 @@ def lcs_positions(a: list[str], b: list[str]) -> list[int]:
 
 @F.arrow_udf(struct(l="long", lsum="long"))
 def _subsequence_hits(ref: pa.Array, pred: pa.Array) -> pa.Array:
-    coded = pa.concat_arrays([ref.flatten(), pred.flatten(), pa.array([NEWLINE])]).dictionary_encode().indices.to_numpy().astype(np.int64)
+    coded = pa.concat_arrays([ref.flatten(), pred.flatten(), pa.array([NEWLINE if pa.types.is_string(ref.type.value_type) else LINE])]).dictionary_encode().indices.to_numpy().astype(np.int64)
     cuts = [x.offsets.to_numpy() - x.offsets[0].as_py() for x in (ref, pred)]
     sides = coded[: cuts[0][-1]], coded[cuts[0][-1] : -1]
     found = subsequences.hits((sides[0], cuts[0]), (sides[1], cuts[1]), int(coded[-1]))
@@ -149,8 +172,9 @@ def _subsequence_hits(ref: pa.Array, pred: pa.Array) -> pa.Array:
 
 
 def _lcs_scores(tokens: DataFrame, keep: list[str]) -> DataFrame:
-    n_ref = F.size(F.filter("ref_tokens", lambda t: t != NEWLINE))
-    n_pred = F.size(F.filter("pred_tokens", lambda t: t != NEWLINE))
+    numbers = dict(tokens.dtypes)["ref_tokens"] == "array<bigint>"
+    line = F.lit(LINE).cast("long") if numbers else F.lit(NEWLINE)
+    n_ref, n_pred = F.size(F.array_remove("ref_tokens", line)), F.size(F.array_remove("pred_tokens", line))
     hits = tokens.select(*keep, n_ref.alias("_nr"), n_pred.alias("_np"), _subsequence_hits("ref_tokens", "pred_tokens").alias("_h"))
     out = []
     for name, c in (("rougeL", F.col("_h.l")), ("rougeLsum", F.col("_h.lsum"))):
