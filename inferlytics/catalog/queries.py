@@ -526,7 +526,7 @@ def pair_predictions(spark, sf):
 @query
 def decode_tokens(spark, sf):
     ids = acc.decode_hex_ids(bridge.accuracy_log(spark, sf), vocab_size=bridge.VOCAB_SIZE)
-    return acc.decode_tokens(ids, bridge.vocabulary(spark, sf), "log_id", sep=" ")
+    return acc.decode_tokens(ids, bridge.vocabulary(spark, sf), "log_id", sep=" ", vocab_size=bridge.VOCAB_SIZE)
 
 
 def tokens(spark, sf, stem: bool = False) -> DataFrame:

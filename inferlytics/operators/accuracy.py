@@ -9,6 +9,7 @@ from ..functions import text as tx
 from .filters import vocabulary_filter
 from .rouge import f1_scores
 
+SMALL_VOCABULARY = 1_000_000  # ids; their pieces are one array of some MB
 SCORES = ["rouge1", "rouge2", "rougeL", "rougeLsum"]
 
 
@@ -36,15 +37,28 @@ def pair_predictions(log: DataFrame, refs: DataFrame, dedupe_references: bool =
     return paired.join(first.drop("reference"), F.col(order) == F.col("_first"), "left_semi")
 
 
-def decode_tokens(df: DataFrame, vocab: DataFrame, key: str, ids: str = "token_ids", sep: str = "", out: str = "text") -> DataFrame:
+def decode_tokens(
+    df: DataFrame, vocab: DataFrame, key: str, ids: str = "token_ids", sep: str = "", out: str = "text", vocab_size: int | None = None
+) -> DataFrame:
     """Text of each id list: pieces in order, special pieces and unknown ids left out.
 
-    ``vocab`` is (token_id, piece, special). Returns (key, text, n_tokens); ``key`` is unique.
+    ``vocab`` is (token_id, piece, special), ids unique. Returns (key, text, n_tokens); ``key`` is unique. With a
+    ``vocab_size`` of up to ``SMALL_VOCABULARY`` ids the pieces are one array, looked up by position where the lists are;
+    otherwise the tokens meet the vocabulary in a join.
     """
+    pieces = vocab.where(~F.col("special")).select("token_id", "piece")
+    if vocab_size is not None and vocab_size <= SMALL_VOCABULARY:
+        every = df.sparkSession.range(vocab_size + 1).join(pieces, F.col("id") == F.col("token_id"), "left")
+        by_id = F.transform(F.sort_array(F.collect_list(F.struct("id", "piece"))), lambda x: x["piece"])
+        known = every.agg(by_id.alias("known")).scalar()
+        listed = F.coalesce(ids, F.array().cast("array<int>"))
+        rows = df.select(key, listed.alias("_ids"), known.alias("_known"))
+        text = F.array_join(F.transform("_ids", lambda t: F.get("_known", t)), sep)
+        return rows.select(key, text.alias(out), F.size(F.array_compact("_ids")).cast("long").alias("n_tokens"))
     rows = df.select(key, F.posexplode_outer(ids).alias("pos", "token_id"))
-    pieces = rows.join(vocab.where(~F.col("special")).select("token_id", "piece"), "token_id", "left")
+    found = rows.join(pieces, "token_id", "left")
     ordered = F.sort_array(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("pos", "piece"))))
-    return pieces.groupBy(key).agg(
+    return found.groupBy(key).agg(
         F.concat_ws(sep, F.transform(ordered, lambda x: x["piece"])).alias(out),
         F.count("token_id").alias("n_tokens"),
     )
@@ -59,29 +73,28 @@ def _percent(c: Column) -> Column:
     return F.bround(c * 100, 4)
 
 
-def score_samples(
+def sample_scores(
     pairs: DataFrame, key: str = "pair_id", ref: str = "reference", pred: str = "prediction",
-    stem: bool = True, lcs: bool = True, keep: list[str] | None = None,
+    n_tokens: str = "n_tokens", stem: bool = True, lcs: bool = True,
 ) -> DataFrame:
-    """Per-pair F1 scores in percent beside the columns of the pair."""
-    scores = f1_scores(pairs, key, ref, pred, stem, lcs)
-    rounded = scores.select(key, *[_percent(F.col(f"{n}_f1")).alias(n) for n in (SCORES if lcs else SCORES[:2])])
+    """Per pair: unrounded F1 scores, characters and tokens of the prediction; all that the corpus record needs."""
+    sized = pairs.withColumns({"_chars": F.coalesce(F.length(pred), F.lit(0)), "_tokens": F.col(n_tokens)})
+    return f1_scores(sized, key, ref, pred, stem, lcs, ["_chars", "_tokens"])
+
+
+def with_scores(pairs: DataFrame, scores: DataFrame, key: str, keep: list[str] | None = None) -> DataFrame:
+    """Columns of the pairs with their F1 scores in percent."""
+    names = [n for n in SCORES if f"{n}_f1" in scores.columns]
+    rounded = scores.select(key, *[_percent(F.col(f"{n}_f1")).alias(n) for n in names])
     return pairs.select(key, *[c for c in (keep or pairs.columns) if c != key]).join(rounded, key)
 
 
-def corpus_accuracy(
-    pairs: DataFrame, key: str = "pair_id", ref: str = "reference", pred: str = "prediction",
-    n_tokens: str = "n_tokens", stem: bool = True, lcs: bool = True,
-) -> DataFrame:
+def corpus_record(scores: DataFrame) -> DataFrame:
     """One record: mean scores, generated characters, samples, tokens, tokens per sample.
 
-    ``pairs`` holds sentence-form texts. Lengths and token counts are carried through the
-    scoring, so the corpus is read once. Without pairs the record carries an error text and
-    zeros.
+    Without pairs the record carries an error text and zeros.
     """
-    names = SCORES if lcs else SCORES[:2]
-    sized = pairs.withColumns({"_chars": F.coalesce(F.length(pred), F.lit(0)), "_tokens": F.col(n_tokens)})
-    scores = f1_scores(sized, key, ref, pred, stem, lcs, ["_chars", "_tokens"])
+    names = [n for n in SCORES if f"{n}_f1" in scores.columns]
     record = scores.agg(
         *[_percent(F.avg(f"{n}_f1")).alias(n) for n in names],
         F.coalesce(F.sum("_chars"), F.lit(0)).cast("long").alias("gen_len"),
@@ -93,3 +106,19 @@ def corpus_accuracy(
         F.coalesce(F.bround(F.try_divide(F.col("gen_tok_len"), F.col("gen_num")), 1), F.lit(0.0)).alias("tokens_per_sample"),
         F.when(F.col("gen_num") == 0, F.lit("No valid samples")).alias("error"),
     )
+
+
+def score_samples(
+    pairs: DataFrame, key: str = "pair_id", ref: str = "reference", pred: str = "prediction",
+    stem: bool = True, lcs: bool = True, keep: list[str] | None = None,
+) -> DataFrame:
+    """Per-pair F1 scores in percent beside the columns of the pair."""
+    return with_scores(pairs, f1_scores(pairs, key, ref, pred, stem, lcs), key, keep)
+
+
+def corpus_accuracy(
+    pairs: DataFrame, key: str = "pair_id", ref: str = "reference", pred: str = "prediction",
+    n_tokens: str = "n_tokens", stem: bool = True, lcs: bool = True,
+) -> DataFrame:
+    """The corpus record of pairs of sentence-form texts; lengths and token counts are carried through the scoring."""
+    return corpus_record(sample_scores(pairs, key, ref, pred, n_tokens, stem, lcs))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import sentence_lines
 from ..operators import accuracy as acc
 from ..operators import boards, clean, enrich, filters, runs
+from ..operators.ranks import settled
 from ..schema import conform, qcol
 from ..sources.readers import read_run_directories
 
@@ -82,15 +83,16 @@ def accuracy_evaluation(
     """Per-sample scores and the corpus record of an accuracy log.
 
     ``log`` is (log_id, qsl_idx, data), ``refs`` (sample_idx, input, reference, system_prompt).
-    The indices are matched before anything is decoded.
+    The indices are matched before anything is decoded. Decoding and scoring run once: samples and scores are written to
+    the shared folder, and both results read them there.
     """
     matched = acc.pair_predictions(log, refs, dedupe_references, key)
     decoded = acc.decode_hex_ids(matched.select(key, "data"), vocab_size=vocab_size)
-    texts = acc.decode_tokens(decoded, vocab, key, sep=sep, out="prediction")
+    texts = acc.decode_tokens(decoded, vocab, key, sep=sep, out="prediction", vocab_size=vocab_size)
     samples = acc.normalize_sentences(matched.drop("data").join(texts, key), ["prediction"])
-    targets = samples.withColumn("_target", sentence_lines(F.col("reference")))
-    details = acc.score_samples(targets, key, ref="_target", stem=stem, lcs=lcs).drop("_target")
-    return details, acc.corpus_accuracy(targets, key, ref="_target", stem=stem, lcs=lcs)
+    targets = settled(samples.withColumn("_target", sentence_lines(F.col("reference"))), "samples")
+    scores = settled(acc.sample_scores(targets, key, ref="_target", stem=stem, lcs=lcs), "scores")
+    return acc.with_scores(targets.drop("_target"), scores, key), acc.corpus_record(scores)
 
 
 def aggregate_runs(spark: SparkSession, base: str, published: DataFrame | None = None) -> DataFrame:
