@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hardware as hw
-from ..functions.logs import LOG_PATTERNS, extract_log_metrics
+from ..functions.logs import LOG_LABELS, extract_log_metrics
 from ..functions.stem import stem_column
 from ..functions.text import score_tokens
 from ..operators import accuracy as acc
@@ -466,12 +466,12 @@ def config_violations(spark, sf):
 @query
 def log_metrics(spark, sf):
     out = extract_log_metrics(bridge.log_texts(spark, sf), total=F.col("samples"))
-    return out.select("run_id", *LOG_PATTERNS, "valid", "completed", "total_samples")
+    return out.select("run_id", *LOG_LABELS, "valid", "completed", "total_samples")
 
 
 @query
 def log_metrics_strict(spark, sf):
-    return extract_log_metrics(bridge.log_texts(spark, sf), strict=True).select("run_id", *LOG_PATTERNS)
+    return extract_log_metrics(bridge.log_texts(spark, sf), strict=True).select("run_id", *LOG_LABELS)
 
 
 # --- prompts and accuracy -------------------------------------------------------------

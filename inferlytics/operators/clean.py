@@ -125,27 +125,31 @@ def reported_columns() -> list[str]:
 def quality_report(df_raw: DataFrame, prices: DataFrame | None = None) -> DataFrame:
     """Distinct values the cleaning rules could not resolve, with row counts.
 
-    ``df_raw`` is the table after alias resolution. One scan, one aggregation: each row
-    emits its unresolved values, which are counted before the shuffle. With ``prices`` each
-    row also emits its accelerator name, and priced names leave the counted result.
+    ``df_raw`` is the table after alias resolution. One scan, one aggregation: each row emits its raw values, which are
+    counted before the shuffle; the rules then meet every distinct value once. With ``prices`` each row also emits its
+    accelerator name, and priced names leave the counted result.
     """
-    df = clean_strings(conform(df_raw))
-    emitted = [(category, c, resolve(qcol(c)).isNull()) for category, c, resolve in _checks()]
+    df = conform(df_raw)
+    checks = [(category, c, lambda v, resolve=resolve: resolve(v).isNull()) for category, c, resolve in _checks()]
     if prices is not None:
-        emitted.append((UNPRICED, ACCELERATOR, F.lit(True)))
-    issues = F.array_compact(
-        F.array(
-            *[
-                F.when(qcol(c).isNotNull() & unresolved, F.struct(F.lit(category).alias("category"), qcol(c).alias("value")))
-                for category, c, unresolved in emitted
-            ]
-        )
-    )
-    report = (
-        df.select(F.explode(issues).alias("issue"))
-        .groupBy("issue.category", "issue.value")
+        checks.append((UNPRICED, ACCELERATOR, lambda v: F.lit(True)))
+    # A column may have several checks; its values are counted once.
+    columns = list(dict.fromkeys(c for _, c, _ in checks))
+    kinds = dict(df.dtypes)
+    emitted = [F.struct(F.lit(k).alias("k"), qcol(c).cast("string").alias("value")) for k, c in enumerate(columns)]
+    counts = (
+        df.select(F.explode(F.array(*emitted)).alias("e"))
+        .where(F.col("e.value").isNotNull())
+        .groupBy("e.k", "e.value")
         .agg(F.count(F.lit(1)).alias("rows"))
     )
+    cleaned = clean_strings(counts.select("k", F.col("value").alias("_clean"), "rows"), ["_clean"]).where(F.col("_clean").isNotNull())
+    # Categories of an unresolved value: those of its column whose rule has no answer.
+    issues = [
+        F.when((F.col("k") == columns.index(c)) & unresolved(F.col("_clean").cast(kinds[c])), F.lit(category))
+        for category, c, unresolved in checks
+    ]
+    report = cleaned.select(F.explode(F.array_compact(F.array(*issues))).alias("category"), F.col("_clean").alias("value"), "rows")
     if prices is None:
         return report
     priced = prices.select(F.col("name").alias("_name"), F.lit(UNPRICED).alias("_category"))

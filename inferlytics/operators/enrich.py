@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hardware as hw
 from ..schema import qcol
+from .ranks import settled
 
 ACCELERATOR = "system.accelerator.name"
 
@@ -104,10 +105,11 @@ def with_prices(df: DataFrame, prices: DataFrame, default_price: float | None =
     ``prices`` (name, price_per_hour) is reduced to one row per name first, so the join
     never multiplies rows. Its names are counted: up to ``small`` of them are broadcast, so
     the results are not shuffled; a longer list meets them by (name, salt), which spreads
-    rows of frequent names and rows without a name.
+    rows of frequent names and rows without a name. The reduced list is written once, for the
+    count and the join; of repeated names the highest price counts.
     """
-    unit = prices.groupBy("name").agg(F.max("price_per_hour").alias("accelerator.price_per_hour"))
-    if unit.limit(small + 1).count() <= small:
+    unit = settled(prices.groupBy("name").agg(F.max("price_per_hour").alias("accelerator.price_per_hour")), "prices")
+    if unit.count() <= small:
         out = df.join(F.broadcast(unit), qcol(ACCELERATOR) == F.col("name"), "left").drop("name")
     else:
         flat = [qcol(c) for c, kind in df.dtypes if not kind.startswith(("map<", "array<", "struct<"))]
