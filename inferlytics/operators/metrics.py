@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import approx_percentiles, exact_percentiles, group_rank
+from .ranks import MOST_VALUES, approx_percentiles, equal_cuts, exact_percentiles, group_rank
 
 NS = 1e9
 
@@ -99,17 +99,9 @@ def token_latency_metrics(requests: DataFrame, run_keys: list[str], approx: bool
     return plain.join(percentiles(requests, run_keys, values, TOKEN_PROBS), run_keys, "left")
 
 
-def token_gaps(
-    chunks: DataFrame, request_keys: list[str], order: str = "seq", bucket_seconds: int = 3600
-) -> DataFrame:
-    """One row per non-empty chunk with the seconds since the previous one.
-
-    The first chunk of a request has a null gap and carries ``ttft_s``. Requests are cut into
-    time buckets: gaps inside a bucket come from a window over the bucket, the gap across a
-    border from the last time of the previous bucket, so a huge request is many tasks.
-    """
+def _stretched_gaps(chunks: DataFrame, request_keys: list[str], order: str, most: int) -> DataFrame:
     us = F.unix_micros("chunk_ts")
-    rows = non_empty_chunks(chunks).withColumn("_bucket", F.floor(us / (bucket_seconds * 1_000_000)))
+    rows = equal_cuts(non_empty_chunks(chunks), request_keys, us, "_bucket", most)
     buckets = rows.groupBy(*request_keys, "_bucket").agg(F.max(us).alias("_last"))
     per_request = Window.partitionBy(*request_keys).orderBy("_bucket")
     before = buckets.select(*request_keys, "_bucket", F.lag("_last").over(per_request).alias("_carried"))
@@ -120,22 +112,29 @@ def token_gaps(
         .withColumn("_prev", previous)
         .withColumn("gap_s", (us - F.col("_prev")) / 1e6)
         .withColumn("ttft_s", F.when(F.col("_prev").isNull(), (us - F.unix_micros("request_start")) / 1e6))
-        .drop("_bucket", "_carried", "_prev")
+        .drop("_carried", "_prev")
     )
 
 
-def inter_token_latency(
-    chunks: DataFrame, request_keys: list[str], order: str = "seq", bucket_seconds: int = 3600
-) -> DataFrame:
+def token_gaps(chunks: DataFrame, request_keys: list[str], order: str = "seq", most: int = MOST_VALUES) -> DataFrame:
+    """One row per non-empty chunk with the seconds since the previous one.
+
+    The first chunk of a request has a null gap and carries ``ttft_s``. A request of more than ``most`` chunks is cut into
+    stretches of about equal numbers of chunks: gaps inside a stretch come from a window over it, the gap across a
+    border from the last time of the previous one, so a huge request is many tasks, however short it was.
+    """
+    return _stretched_gaps(chunks, request_keys, order, most).drop("_bucket")
+
+
+def inter_token_latency(chunks: DataFrame, request_keys: list[str], order: str = "seq", most: int = MOST_VALUES) -> DataFrame:
     """Whole request records: TTFT, gap list, token count and text in order.
 
     One output row holds one answer, whose length the token limit of a request bounds. The
-    fold runs per time bucket first, so most of the sorting happens on the pieces.
+    fold runs per stretch first, so most of the sorting happens on the pieces.
     """
-    gaps = token_gaps(chunks, request_keys, order, bucket_seconds)
-    bucket = F.floor(F.unix_micros("chunk_ts") / (bucket_seconds * 1_000_000)).alias("_bucket")
+    gaps = _stretched_gaps(chunks, request_keys, order, most)
     pieces = (
-        gaps.groupBy(*request_keys, bucket)
+        gaps.groupBy(*request_keys, "_bucket")
         .agg(
             F.max("ttft_s").alias("ttft_s"),
             F.sort_array(F.collect_list(F.struct("chunk_ts", order, "gap_s", "text"))).alias("_items"),
@@ -167,12 +166,12 @@ def inter_token_latency(
 
 
 def progress_marks(
-    df: DataFrame, run_keys: list[str] = ["run_id"], end: str = "end_us", tie: str = "event_id", bucket_seconds: int = 60
+    df: DataFrame, run_keys: list[str] = ["run_id"], end: str = "end_us", tie: str = "event_id", most: int = MOST_VALUES
 ) -> DataFrame:
     """Completed counts at the first and at each tenth of a run, in order of end time.
 
-    ``end`` is the end time in microseconds. Only the time buckets that hold a mark are
-    ranked row by row.
+    ``end`` is the end time in microseconds. A run of more than ``most`` rows is cut into stretches of about equal row
+    counts, and only those that hold a mark are ranked row by row.
     """
     step = F.greatest(F.lit(1), F.floor(F.col("total") / 10))
 
@@ -180,9 +179,9 @@ def progress_marks(
         return (F.col("before") == 0) | (F.floor(F.col("upto") / step) > F.floor(F.col("before") / step))
 
     ranked = group_rank(
-        df.select(*run_keys, end, tie),
+        equal_cuts(df.select(*run_keys, end, tie), run_keys, F.col(end), "_cut", most),
         run_keys,
-        F.floor(F.col(end) / (bucket_seconds * 1_000_000)),
+        F.col("_cut"),
         [F.col(end), F.col(tie)],
         holds_mark,
         out="completed",

@@ -20,6 +20,8 @@ from ..streaming.storage import shared_folder
 MOST_VALUES = 100_000
 #: Size of a sketch, share of rows on either side of a wanted rank, and cuts of a range that is still too full.
 SKETCH, MARGIN, CUTS = 1000, 0.01, 128
+#: Stretches of a large group; a power of two.
+STRETCHES = 1024
 
 #: Ranges per e-fold of a value; neighbouring ranges differ by about 1.5 %.
 RESOLUTION = 64
@@ -42,11 +44,11 @@ def running_offsets(counts: DataFrame, keys: list[str], order: str) -> DataFrame
     return out if keys else out.drop("_all")
 
 
-def _join_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner equality join that also matches null keys."""
+def _join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equality join that also matches null keys."""
     renamed = right.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in right.columns])
     cond = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
-    return left.join(renamed, cond).drop(*[f"_r_{k}" for k in keys])
+    return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
@@ -56,6 +58,31 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def equal_cuts(df: DataFrame, keys: list[str], value: Column, out: str, most: int = MOST_VALUES) -> DataFrame:
+    """Add the number of the stretch of values that a row lies in, growing with ``value`` inside a group.
+
+    Groups of up to ``most`` rows are one stretch, 0. Larger ones are cut at the quantiles of a sketch into ``STRETCHES``
+    stretches of about equal row counts, so a short and a long group of as many rows are as many tasks. Equal values share
+    a stretch, nulls are in stretch 0. The borders are written once, so every reader sees the same.
+    """
+    plain = keys or ["_all"]
+    rows = df if keys else df.withColumn("_all", F.lit(0))
+    large = settled(rows.groupBy(*plain).agg(F.count(value).alias("_rows")).where(F.col("_rows") > most).select(*plain), "large-groups")
+    if not large.limit(1).count():
+        return df.withColumn(out, F.lit(0))
+    sketch = F.kll_sketch_agg_double(value.cast("double"), F.lit(SKETCH))
+    cuts = F.kll_sketch_get_quantile_double("_sketch", F.array(*[F.lit(k / STRETCHES) for k in range(1, STRETCHES)]))
+    borders = _join_on(rows, large, plain).groupBy(*plain).agg(sketch.alias("_sketch")).select(*plain, cuts.alias("_borders"))
+    joined = _join_on(rows, settled(borders, "borders"), plain, "left")
+    steps = F.array(*[F.lit(STRETCHES >> k) for k in range(1, STRETCHES.bit_length())])
+
+    def search(at: Column, step: Column) -> Column:
+        return F.when(F.get("_borders", at + step - 1) <= value, at + step).otherwise(at)
+
+    number = F.when(F.col("_borders").isNotNull(), F.aggregate(steps, F.lit(0), search)).otherwise(F.lit(0))
+    return joined.withColumn(out, number).drop("_borders", *([] if keys else ["_all"]))
+
+
 def exact_percentiles(
     df: DataFrame,
     keys: list[str],
@@ -215,14 +242,15 @@ def group_rank(
     return joined.withColumn(out, F.col("before") + F.row_number().over(within)).drop("_bin", "before")
 
 
-def ordered_index(df: DataFrame, major: str, minor: str, span: int = 1 << 16, out: str = "sample_idx") -> DataFrame:
-    """Position from 0 by two integer columns, over the whole table.
+def ordered_index(df: DataFrame, major: str, minor: str, out: str = "sample_idx", most: int = MOST_VALUES) -> DataFrame:
+    """Position from 0 by two numeric columns, over the whole table.
 
-    Rows are counted per (major, block of ``span`` minors); the counts are added up within
-    blocks of ``span`` majors and then over those blocks, so no task sees the whole table.
+    The table is cut into stretches of majors with about equal row counts, whatever ids there are, and a major with very
+    many rows into stretches of minors. Rows are counted per major and stretch, the counts are added up inside the
+    stretches of majors and then over these (``STRETCHES`` at most), so no task sees the whole table.
     """
-    rows = df.withColumn("_mb", F.floor(F.col(minor) / span))
-    cells = rows.groupBy(major, "_mb").agg(F.count(F.lit(1)).alias("n")).withColumn("_jb", F.floor(F.col(major) / span))
+    rows = equal_cuts(df, [], F.col(major), "_jb", most).transform(equal_cuts, [major], F.col(minor), "_mb", most)
+    cells = rows.groupBy("_jb", major, "_mb").agg(F.count(F.lit(1)).alias("n"))
     blocks = running_offsets(cells.groupBy("_jb").agg(F.sum("n").alias("n")), [], "_jb").select(
         F.col("_jb").alias("_b"), F.col("before").alias("_block_base")
     )
@@ -236,5 +264,5 @@ def ordered_index(df: DataFrame, major: str, minor: str, span: int = 1 << 16, ou
     return (
         rows.join(base, (F.col(major) == F.col("_j")) & (F.col("_mb") == F.col("_m")))
         .withColumn(out, F.col("_base") + F.row_number().over(cell) - 1)
-        .drop("_mb", "_j", "_m", "_base")
+        .drop("_jb", "_mb", "_j", "_m", "_base")
     )

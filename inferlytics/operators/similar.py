@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hardware import within_tolerance
 from ..schema import qcol
-from .ranks import running_offsets
+from .ranks import MOST_VALUES, equal_cuts, running_offsets, settled
 
 
 def _log_band(v: Column, tol: float) -> Column:
@@ -54,13 +54,14 @@ def similar_to(
 
 
 def similar_counts(
-    df: DataFrame, categorical: list[str], continuous: str, tol: float = 0.1, resolution: int = 64
+    df: DataFrame, categorical: list[str], continuous: str, tol: float = 0.1, most: int = MOST_VALUES
 ) -> DataFrame:
     """For every distinct configuration, how many rows lie in its band ``v(1-t) .. v(1+t)``.
 
     All-pairs similarity without building a pair: equal configurations are merged, then each
     one asks for the number of rows below its lower and up to its upper edge. The questions are
-    sorted in among the values, and running totals answer them. Work is linear in the number
+    sorted in among the values, and running totals answer them; a block of more than ``most`` values is cut
+    into stretches of about equal counts. Work is linear in the number
     of configurations plus sorting, whatever the size of the largest block. Null and
     negative values have an empty band (its edges cross) and count 0.
     """
@@ -68,6 +69,7 @@ def similar_counts(
     configs = df.groupBy(
         *[qcol(c).alias(k) for c, k in zip(categorical, keys)], qcol(continuous).cast("double").alias("v")
     ).agg(F.count(F.lit(1)).alias("rows"))
+    configs = settled(configs, "configurations")
     v = F.col("v")
     low, high = v * (1 - tol), v * (1 + tol)
     # kind orders equal positions: a lower edge before the values, an upper edge after them.
@@ -80,7 +82,7 @@ def similar_counts(
         configs.where(v.isNotNull() & (v >= 0))
         .select(*keys, F.explode(marks).alias("m"))
         .select(*keys, "m.x", "m.kind", "m.n", "m.of")
-        .withColumn("bin", F.floor(F.log(F.col("x") + 1) * resolution))
+        .transform(equal_cuts, keys, F.col("x"), "bin", most)
     )
     bins = running_offsets(points.groupBy(*keys, "bin").agg(F.sum("n").alias("n")), keys, "bin")
     base = bins.select(*[F.col(k).alias(f"_b{k}") for k in keys], F.col("bin").alias("_bbin"), F.col("before"))

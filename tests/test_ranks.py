@@ -77,19 +77,21 @@ def test_group_rank(spark, skewed):
         assert [got[i] for _, i in order] == list(range(1, len(order) + 1))
 
 
-def test_ordered_index(spark):
+@pytest.mark.parametrize("most,ids", [(20, 500), (20, 10**15), (10**6, 500)])
+def test_ordered_index(spark, most, ids):
     rng = random.Random(3)
-    rows = list({(0 if rng.random() < 0.4 else rng.randrange(500), rng.randrange(2000)) for _ in range(2000)})
+    rows = list({(0 if rng.random() < 0.4 else rng.randrange(ids), rng.randrange(2000)) for _ in range(2000)})
     df = spark.createDataFrame(rows, "a long, b long").repartition(3)
-    got = {(r["a"], r["b"]): r["n"] for r in ranks.ordered_index(df, "a", "b", span=16, out="n").collect()}
+    got = {(r["a"], r["b"]): r["n"] for r in ranks.ordered_index(df, "a", "b", out="n", most=most).collect()}
     assert [got[x] for x in sorted(rows)] == list(range(len(rows)))
 
 
-def test_progress_marks(spark):
+@pytest.mark.parametrize("most", [30, 10**6])
+def test_progress_marks(spark, most):
     rng = random.Random(5)
     rows = [("hot" if i % 2 else "small" if i % 40 == 0 else "other", i, rng.randrange(10**9)) for i in range(1000)]
     df = spark.createDataFrame(rows, "run_id string, event_id long, end_us long")
-    got = metrics.progress_marks(df, bucket_seconds=10).collect()
+    got = metrics.progress_marks(df, most=most).collect()
     for run in {r[0] for r in rows}:
         order = sorted((e, i) for r, i, e in rows if r == run)
         n = len(order)
@@ -98,7 +100,8 @@ def test_progress_marks(spark):
         assert mine == [(c, order[c - 1][1], c / n * 100) for c in marks]
 
 
-def test_token_gaps_cross_buckets(spark):
+@pytest.mark.parametrize("most", [30, 10**6])
+def test_token_gaps_cross_stretches(spark, most):
     rng = random.Random(11)
     rows = []
     for request in ("hot", "b", "c"):
@@ -107,8 +110,8 @@ def test_token_gaps_cross_buckets(spark):
     df = spark.createDataFrame(rows, "r string, seq long, us long, text string").select(
         "r", "seq", "text", F.timestamp_micros("us").alias("chunk_ts"), F.timestamp_micros(F.lit(0)).alias("request_start")
     )
-    got = {(g["r"], g["seq"]): g for g in metrics.token_gaps(df, ["r"], bucket_seconds=7).collect()}
-    folded = {g["r"]: g for g in metrics.inter_token_latency(df, ["r"], bucket_seconds=7).collect()}
+    got = {(g["r"], g["seq"]): g for g in metrics.token_gaps(df, ["r"], most=most).collect()}
+    folded = {g["r"]: g for g in metrics.inter_token_latency(df, ["r"], most=most).collect()}
     whole = {g["r"]: g for g in metrics.request_tokens(df, ["r"]).collect()}
     for request in ("hot", "b", "c"):
         told = sorted((us, seq, t) for r, seq, us, t in rows if r == request and t)
@@ -121,11 +124,29 @@ def test_token_gaps_cross_buckets(spark):
     assert len(got) == sum(1 for r in rows if r[3])
 
 
-def test_similar_counts(spark):
+def test_stretches_have_equal_counts_whatever_the_span(spark):
+    """A run of one minute and one of a year are cut alike; small groups and null keys are not lost."""
+    rng = random.Random(23)
+    rows = [("minute", rng.randrange(60 * 10**6)) for _ in range(6000)] + [("year", rng.randrange(365 * 86400 * 10**6)) for _ in range(6000)]
+    rows += [("one", 5)] * 3000 + [("few", 1), (None, 2)]
+    df = spark.createDataFrame(rows, "k string, v long").repartition(3)
+    cut = ranks.equal_cuts(df, ["k"], F.col("v"), "n", most=1000).collect()
+    assert len(cut) == len(rows)
+    for key in ("minute", "year"):
+        mine = sorted((r["v"], r["n"]) for r in cut if r["k"] == key)
+        assert [n for _, n in mine] == sorted(n for _, n in mine)
+        sizes = np.bincount([n for _, n in mine], minlength=ranks.STRETCHES)
+        assert (sizes > 0).sum() > 700 and sizes.max() < 60
+    assert len({r["n"] for r in cut if r["k"] == "one"}) == 1
+    assert {r["n"] for r in cut if r["k"] in ("few", None)} == {0}
+
+
+@pytest.mark.parametrize("most", [15, 10**6])
+def test_similar_counts(spark, most):
     rng = random.Random(13)
     rows = [("hot" if i % 3 else rng.choice(["a", None]), rng.choice([0.0, None, -3.0, 100.0, 90.0, 110.0, round(rng.uniform(50, 150), 1)])) for i in range(600)]
     df = spark.createDataFrame(rows, "k string, v double").repartition(5)
-    got = {(r["k"], r["v"]): (r["rows"], r["similar_rows"]) for r in similar.similar_counts(df, ["k"], "v", 0.1).collect()}
+    got = {(r["k"], r["v"]): (r["rows"], r["similar_rows"]) for r in similar.similar_counts(df, ["k"], "v", 0.1, most).collect()}
     assert len(got) == len(set(rows))
     for k, v in set(rows):
         near = 0
