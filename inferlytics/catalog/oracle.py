@@ -717,7 +717,9 @@ SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_start, count(*) FIL
   round(quantile_disc(latency_s * 1e9, 0.99) FILTER (output_tokens > 0), 3) AS p99_latency_ns
 FROM v_requests GROUP BY 1""",
     "stream_token_sessions": "SELECT user_id, day, ttft_s, latency_s, output_tokens, tpot_s FROM v_request_tokens",
-    "stream_tokens": "SELECT user_id, day, ttft_s, latency_s, output_tokens, tpot_s FROM v_request_tokens",
+    "stream_tokens": """
+SELECT user_id, day, ttft_s, latency_s, output_tokens, tpot_s, 'timeout' AS closed_by FROM v_request_tokens
+WHERE day * 86400000 + floor(latency_s * 1000) + 4200000 <= (SELECT epoch_us(max(ts)) // 1000 FROM v_events)""",
 }
 
 

@@ -703,27 +703,24 @@ def stream_metrics(spark, sf):
     )
 
 
-@query
-def stream_tokens(spark, sf):
+def chunk_stream(spark, sf) -> DataFrame:
     day = F.floor(F.unix_micros("ts") / bridge.DAY_US)
-    ends = bridge.chunks(spark, sf).groupBy(F.col("user_id").alias("_u"), F.col("day").alias("_d")).agg(F.max("seq").alias("_last"), F.max("chunk_ts").alias("_end"))
-    source = event_stream(spark, sf).select("user_id", day.alias("day"), F.col("ts").alias("chunk_ts"), "event_type")
-    chunk = source.join(ends, (F.col("user_id") == F.col("_u")) & (F.col("day") == F.col("_d"))).select(
-        "user_id", "day", "chunk_ts", F.timestamp_micros(F.col("day") * bridge.DAY_US).alias("request_start"),
-        F.when(F.col("event_type") == "error", "").otherwise(F.col("event_type")).alias("text"),
-        (F.col("chunk_ts") == F.col("_end")).alias("done"),
+    return event_stream(spark, sf).select(
+        "user_id", day.alias("day"), F.col("ts").alias("chunk_ts"), F.timestamp_micros(day * bridge.DAY_US).alias("request_start"),
+        F.when(F.col("event_type") == "error", "").otherwise(F.col("event_type")).alias("text"), F.lit(False).alias("done"),
     )
-    out = streams.replay(spark, streams.stream_token_latency(chunk, ["user_id", "day"], watermark="60 days"), "token-latency")
-    return out.select("user_id", "day", "ttft_s", "latency_s", "output_tokens", "tpot_s")
+
+
+@query
+def stream_tokens(spark, sf):
+    """Requests that timers have closed: those whose last chunk lies an hour and ten minutes before the end of the stream."""
+    out = streams.replay(spark, streams.stream_token_latency(chunk_stream(spark, sf), ["user_id", "day"]), "token-latency")
+    return out.select("user_id", "day", "ttft_s", "latency_s", "output_tokens", "tpot_s", "closed_by")
 
 
 @query
 def stream_token_sessions(spark, sf):
-    day = F.floor(F.unix_micros("ts") / bridge.DAY_US)
-    chunk = event_stream(spark, sf).select(
-        "user_id", day.alias("day"), F.col("ts").alias("chunk_ts"), F.timestamp_micros(day * bridge.DAY_US).alias("request_start"),
-        F.when(F.col("event_type") == "error", "").otherwise(F.col("event_type")).alias("text"), F.lit(False).alias("done"),
-    )
+    chunk = chunk_stream(spark, sf)
     keys = ["user_id", "day"]
     # Complete mode, since a replay ends before the watermark passes its last sessions.
     out = streams.replay(spark, streams.stream_token_sessions(chunk, keys, "60 days", "1 day"), "token-sessions", "complete")

@@ -7,9 +7,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.runs import merge_runs
+from ..schema import struct
 from ..sources.readers import parse_run_files, run_halves
 from .storage import shared_folder
 
@@ -85,47 +87,92 @@ def stream_token_sessions(
     )
 
 
-TOKEN_STATE = "first_us double, last_us double, start_us double, tokens long"
+TOKEN_STATE = struct(first_us="double", last_us="double", start_us="double", tokens="long", closed="boolean", wake_ms="long")
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_token_latency(
-    chunks: DataFrame, request_keys: list[str], watermark: str = "10 minutes", timeout: str = "1 hour"
-) -> DataFrame:
-    """One row per finished request: TTFT, latency, tokens, TPOT.
+class _Requests(StatefulProcessor):
+    """Folds the chunks of a request and reports it once, at its marker or by a timer.
 
-    A request ends with a chunk whose ``done`` is true or, since that chunk may never come,
-    when event time passes its last chunk by ``timeout``. The state is four numbers per
-    request and depends neither on the order of chunks inside a batch nor on their number.
-    Needs ``chunk_ts``, ``request_start`` (timestamps), ``text``, ``done``.
+    A closed request leaves a mark for another ``limit_ms`` of event time, so that a late chunk does not open it again;
+    then a timer removes the mark.
     """
-    limit_ms = int(pd.Timedelta(timeout).total_seconds() * 1000)
-    types = dict(chunks.dtypes)
-    key_ddl = ", ".join(f"`{k}` {types[k]}" for k in request_keys)
-    out = f"{key_ddl}, ttft_s double, latency_s double, output_tokens long, tail_s double, closed_by string"
-    names = [c.split(" ")[0] for c in out.replace("`", "").split(", ")]
 
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, last, start, tokens = state.get if state.exists else (float("inf"), float("-inf"), float("inf"), 0)
+    def __init__(self, limit_ms: int, names: list[str]):
+        self.limit_ms, self.names = limit_ms, names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("request", TOKEN_STATE)
+
+    def _keep(self, fold: tuple, closed: bool, at_ms: int, timer_values) -> None:
+        at_ms = max(at_ms, timer_values.getCurrentWatermarkInMs() + 1)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(at_ms)
+        self.state.update((*fold, closed, at_ms))
+
+    def _close(self, key: tuple, fold: tuple, ended: str, timer_values) -> Iterator[pd.DataFrame]:
+        first, last, start, tokens = fold
+        seen = max(last, start) if tokens else start
+        self._keep(fold, True, max(int(seen / 1000), timer_values.getCurrentWatermarkInMs()) + self.limit_ms, timer_values)
+        if tokens:
+            row = [*key, (first - start) / 1e6, (last - start) / 1e6, tokens, (last - first) / 1e6, ended]
+            yield pd.DataFrame([row], columns=self.names)
+
+    def _expire(self, key: tuple, timer_values) -> Iterator[pd.DataFrame]:
+        """What a timer does; also before rows of a batch in which the timer is due, since timers come after rows."""
+        *fold, closed, wake = self.state.get() if self.state.exists() else (None, 1 << 62)
+        if wake > timer_values.getCurrentWatermarkInMs():
+            return
+        if closed:
+            self.state.clear()
+        else:
+            yield from self._close(key, tuple(fold), "timeout", timer_values)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        yield from self._expire(key, timerValues)
+        *fold, closed, _ = self.state.get() if self.state.exists() else (float("inf"), float("-inf"), float("inf"), 0, False, 0)
+        first, last, start, tokens = fold
         done = False
-        for frame in frames:
-            if frame.empty:  # a timeout brings no rows
-                continue
+        for frame in rows:
             told = frame["us"].to_numpy()[frame["has_text"].to_numpy(dtype=bool)]
             if told.size:
                 first, last = min(first, told.min()), max(last, told.max())
             start, tokens = min(start, frame["start_us"].to_numpy().min()), tokens + told.size
             done = done or bool(frame["done"].to_numpy(dtype=bool).any())
-        if not (done or state.hasTimedOut):
-            state.update((float(first), float(last), float(start), int(tokens)))
-            seen = last if tokens else start
-            state.setTimeoutTimestamp(max(int(seen / 1000) + limit_ms, state.getCurrentWatermarkMs() + 1))
+        if closed:
             return
-        state.remove()
-        if tokens:
-            ended = "marker" if done else "timeout"
-            row = [*key, (first - start) / 1e6, (last - start) / 1e6, tokens, (last - first) / 1e6, ended]
-            yield pd.DataFrame([row], columns=names)
+        fold = (float(first), float(last), float(start), int(tokens))
+        if done:
+            yield from self._close(key, fold, "marker", timerValues)
+        else:
+            self._keep(fold, False, int((last if tokens else start) / 1000) + self.limit_ms, timerValues)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._expire(key, timerValues)
+
+    def close(self) -> None:
+        pass
 
+
+def stream_token_latency(
+    chunks: DataFrame, request_keys: list[str], watermark: str = "10 minutes", timeout: str = "1 hour"
+) -> DataFrame:
+    """One row per finished request: TTFT, latency, tokens, TPOT.
+
+    A request ends with a chunk whose ``done`` is true or, since that chunk may never come,
+    when event time passes its last chunk by ``timeout``; what comes for it within ``timeout`` after that is dropped. The
+    state is five numbers and a mark per request and depends neither on the order of chunks inside a batch nor on their
+    number. Needs ``chunk_ts``, ``request_start`` (timestamps), ``text``, ``done``. Timers need a state store that has
+    them, so the session is set to the RocksDB store.
+    """
+    chunks.sparkSession.conf.set(STATE_STORE, ROCKS_DB)
+    limit_ms = int(pd.Timedelta(timeout).total_seconds() * 1000)
+    out = T.StructType([chunks.schema[k] for k in request_keys])
+    for name, kind in (("ttft_s", "double"), ("latency_s", "double"), ("output_tokens", "long"), ("tail_s", "double"), ("closed_by", "string")):
+        out = out.add(name, kind)
     folded = (
         chunks.withWatermark("chunk_ts", watermark)
         .select(
@@ -137,7 +184,7 @@ def stream_token_latency(
             F.coalesce(F.col("done"), F.lit(False)).alias("done"),
         )
         .groupBy(*request_keys)
-        .applyInPandasWithState(fold, out, TOKEN_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        .transformWithStateInPandas(_Requests(limit_ms, out.names), out, "append", "EventTime")
     )
     per_token = F.when(F.col("output_tokens") > 1, F.col("tail_s") / (F.col("output_tokens") - 1))
     return folded.select(*request_keys, "ttft_s", "latency_s", "output_tokens", per_token.alias("tpot_s"), "closed_by")

@@ -66,6 +66,28 @@ def test_token_latency_across_batches(spark, tmp_path):
         assert [mine[c] for c in ("ttft_s", "latency_s", "output_tokens", "tpot_s")] == [want[c] for c in ("ttft_s", "latency_s", "output_tokens", "tpot_s")]
 
 
+def test_late_chunks_open_no_second_row(spark, tmp_path):
+    """After a marker and after a timeout; once the mark is gone the same key is a new request."""
+    schema = "r string, us long, text string, done boolean"
+    hour = 3600 * 10**6
+    batches = [
+        [("a", 5, "x", True), ("b", 9, "q", False)],
+        [("t1", 3 * hour // 2, "t", True)],
+        [("a", 3 * hour // 2, "late", False), ("a", 3 * hour // 2, "late", True)],
+        [("t2", 3 * hour, "t", True)],  # time passes: b ends by its timer, the mark of a goes
+        [("b", 3 * hour, "late", False)],
+        [("t3", 9 * hour, "t", True)],  # the mark of b goes
+        [("a", 9 * hour, "anew", True), ("b", 9 * hour, "anew", True)],
+    ]
+    source = files_of(spark, tmp_path / "in", batches, schema)
+    chunks = source.select("r", "text", "done", F.timestamp_micros("us").alias("chunk_ts"), F.timestamp_micros(F.lit(0)).alias("request_start"))
+    rows = streams.replay(spark, streams.stream_token_latency(chunks, ["r"], "1 minute", "2 hours"), "late").collect()
+    assert sorted((r["r"], r["ttft_s"], r["output_tokens"], r["closed_by"]) for r in rows) == [
+        ("a", 5e-6, 1, "marker"), ("a", 32400.0, 1, "marker"), ("b", 9e-6, 1, "timeout"), ("b", 32400.0, 1, "marker"),
+        ("t1", 5400.0, 1, "marker"), ("t2", 10800.0, 1, "marker"), ("t3", 32400.0, 1, "marker"),
+    ]
+
+
 def test_token_sessions_close_by_marker_and_by_timeout(spark, tmp_path):
     schema = "r string, us long, text string, done boolean"
     hour = 3600 * 10**6
