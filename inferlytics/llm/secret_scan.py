@@ -3,8 +3,9 @@
 Candidates are assignments, access keys and long hexadecimal runs (base), and forms that only the ownership test makes
 worth reporting (service tokens, web tokens, key headers). Each candidate's value is hashed; the hashes are counted by
 distinct repository and owner over the whole corpus, first combined per (hash, repository, owner) so that a value copied
-everywhere is a few rows. A value with ``OWNERS`` or more owners is a widely copied example; one that belongs to fewer and
-looks random is reported as live. Base spans stay whatever the verdict; other forms are added only when live.
+everywhere is a few rows. A value with ``OWNERS`` or more owners is a widely copied example, and so is one that spreads over
+``REPOSITORIES`` or more repositories of at least two owners; an owner's own value in many of the owner's repositories is
+not. One that is no example and looks random is reported as live. Both counts are returned with each span. Base spans stay whatever the verdict; other forms are added only when live.
 
 Here an owner is a document's source and a repository is a source and language. Nulls: a null text has no candidates, a
 null owner is the owner ''. Repeated rows are returned as often as they occur. An empty table gives an empty result; extra
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from inferlytics.llm.common import find_spans, settle, span_text, table
 
 OWNERS = 3
+REPOSITORIES = 4
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 PATTERNS = {  # kind: (pattern, gate, base), in the order of ranks
     "assign": (ASSIGN, r"(?i:passw|secret|token|api_?key)", True),
@@ -83,18 +85,24 @@ def ownership(spans: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
 
 
-def scan(docs: DataFrame, owner: Column, repository: Column, owners: int = OWNERS) -> DataFrame:
-    """Per row: counts and digest of the base spans, all spans, and how many are live, examples or neither."""
+def scan(docs: DataFrame, owner: Column, repository: Column, owners: int = OWNERS, repositories: int = REPOSITORIES) -> DataFrame:
+    """Per row: counts and digest of the base spans, all spans, how many are live, examples or neither, the live ones, and
+    ``ownership``: start:owners:repositories of every span."""
     rows = candidates(docs, owner, repository)
     spans = rows.select("row", "owner", "repository", F.explode("found").alias("s")).withColumn("hash", F.col("s.hash"))
     judged = spans.join(ownership(spans), "hash").select(
         "row",
         "s",
-        F.when(F.col("owners") >= owners, "example").when(F.col("s.random"), "live").otherwise("unclear").alias("verdict"),
+        "owners",
+        "repositories",
+        F.when((F.col("owners") >= owners) | ((F.col("owners") >= 2) & (F.col("repositories") >= repositories)), "example")
+        .when(F.col("s.random"), "live")
+        .otherwise("unclear")
+        .alias("verdict"),
     )
     kept = judged.where(F.col("s.base") | (F.col("verdict") == "live"))
     fields = [F.col(f"s.{f}").alias(f) for f in ("start", "rank", "end", "kind", "base")]
-    per_row = kept.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(*fields, "verdict"))).alias("spans"))
+    per_row = kept.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(*fields, "verdict", "owners", "repositories"))).alias("spans"))
     out = rows.select("row", "doc_id").join(per_row, "row", "left").withColumn("spans", F.coalesce("spans", F.array()))
     base = F.filter("spans", lambda s: s["base"])
     out = out.withColumn("base", base)
@@ -107,6 +115,7 @@ def scan(docs: DataFrame, owner: Column, repository: Column, owners: int = OWNER
         span_text(F.col("spans")).alias("spans"),
         *verdicts,
         span_text(F.filter("spans", _where("verdict", "live"))).alias("live_spans"),
+        F.array_join(F.transform("spans", lambda s: F.concat_ws(":", *[s[f].cast("string") for f in ("start", "owners", "repositories")])), ",").alias("ownership"),
     )
 
 

@@ -12,12 +12,13 @@ empty result; columns named slot or shard are replaced. Only DataFrame functions
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inferlytics.llm.common import table
+from inferlytics.llm.common import shared_folder, table
 
 SIZE = 65_537
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
@@ -66,9 +67,19 @@ def place(rows: DataFrame, keys: Sequence[str] = ("doc_id",), shards: Sequence[s
 
 
 def write_shards(rows: DataFrame, path: str, keys: Sequence[str] = ("doc_id",), shards: Sequence[str] = SHARDS, size: int = SIZE) -> None:
-    """One folder per shard; the rows of a slot are written together, so a shard is many tasks' work."""
-    place(rows, keys, shards, size).repartition("slot").write.partitionBy("shard").parquet(path)
+    """Whole rows in one folder per shard.
+
+    Rows are gathered by shard so that files are few, but a shard is not a task: Spark splits what is more than the advisory
+    partition size and joins what is less, so a shard with a third of all rows (one repeated or null key) is many tasks.
+    """
+    placed = place(rows, keys, shards, size)
+    placed.hint("rebalance", F.col("shard")).write.option("compression", "zstd").partitionBy("shard").parquet(path)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return place(table(spark, sf_dir, "documents").select("doc_id")).select("doc_id", "slot", "shard")
+    """Where each document was written, as read back from the shards."""
+    path = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    write_shards(docs, path)
+    kept = docs.drop("slot", "shard").schema.add("slot", "int").add("shard", "string")
+    return spark.read.schema(kept).parquet(path).select("doc_id", "slot", "shard")

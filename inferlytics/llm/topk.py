@@ -6,7 +6,8 @@ block; the k best of the array are cut out by partial selection. Query packs mee
 the block number, so no block or pack grows with the data, and the lists of all blocks are merged by rank.
 
 Vectors that are null or hold a null or non-finite component take no part, nor do rows without an id. Vectors of unequal
-length count missing components as zero. Rows equal in id and vector count once; a query never meets a row of its own id.
+length count missing components as zero. Repeated rows are candidates each; a query never meets a row of its own id, and
+a query that is repeated, or whose id has several vectors, is asked once per different vector.
 Scores tie to the smaller vec_id. Empty tables give empty results; extra columns are ignored.
 """
 
@@ -36,7 +37,7 @@ def usable(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
 
     x = F.transform("embedding", lambda e: e.cast("double"))
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(F.forall(x, finite))
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e * scale)).alias("v")).distinct()
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e * scale)).alias("v"))
 
 
 def _pack(size: int):
@@ -137,7 +138,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK
 
 def query(spark, sf_dir: str) -> DataFrame:
     vectors = settle(usable(table(spark, sf_dir, "embeddings")), "vectors")
-    return top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+    return top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0).distinct())
 
 
 ORACLE = """
@@ -148,7 +149,7 @@ WITH e AS (
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
     CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM e q JOIN e c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+  FROM (SELECT DISTINCT * FROM e WHERE vec_id % 20 = 0) q JOIN e c ON c.vec_id <> q.vec_id
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s

@@ -36,6 +36,7 @@ from inferlytics.llm.common import settle, shared_folder, table
 LEAST = 100  # payloads below this size are always stored
 PACKAGE_BYTES = 256 << 20
 RUN_BYTES = 4 << 20  # consecutive records that one range read covers
+TASK_BYTES = 32 << 20  # of ranges read by one task
 WARC_MEMBER = "archive/data.warc.gz"
 INDEX_MEMBER = "indexes/index.cdx"
 STORED = 0
@@ -282,8 +283,12 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(packages: DataFrame) -> DataFrame:
     """Records of the packages named in ``path``: page_id, payload_bytes, payload_digest, record_type, refers_to, url,
     payload (null for revisits)."""
-    runs = packages.select("path").mapInArrow(_locate, "path string, at long, sizes array<long>")
-    return runs.repartition(F.xxhash64("path", "at")).mapInArrow(_read, RECORDS)
+    runs = settle(packages.select("path").mapInArrow(_locate, "path string, at long, sizes array<long>"), "ranges")
+    # the ranges are a few bytes each but stand for much to read, so tasks are counted by what they read
+    total = F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))
+    size, n = runs.agg(total, F.count("*")).first()
+    tasks = max(1, min(n, -(-(size or 0) // TASK_BYTES)))
+    return runs.repartition(tasks, F.xxhash64("path", "at")).mapInArrow(_read, RECORDS)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
