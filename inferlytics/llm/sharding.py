@@ -81,5 +81,5 @@ def query(spark, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     write_shards(docs, path)
-    kept = docs.drop("slot", "shard").schema.add("slot", "int").add("shard", "string")
+    kept = docs.drop("slot", "shard").schema.add("slot", "integer").add("shard", "string")
     return spark.read.schema(kept).parquet(path).select("doc_id", "slot", "shard")

@@ -446,6 +446,8 @@ def test_shards_equal_turns_by_an_independent_hash(spark, docs, tmp_path):
     assert all(r["slot"] == slot(r["doc_id"]) and r["shard"] == owner[r["slot"]] for r in rows)
     assert Counter((r["doc_id"], r["text"]) for r in rows) == Counter((r["doc_id"], r["text"]) for r in many.collect())
     sharding.write_shards(docs.limit(0), f"{path}-none", shards=names, size=size)
+    found = sharding.query(spark, SF).collect()
+    assert Counter(r["doc_id"] for r in found) == Counter(r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
 
 
 # ---- 9, 10
