@@ -33,7 +33,7 @@ END_TOKEN = 1
 SALTS = 256  # a length is ranked in so many parts, so that a frequent length is not one task
 TOKENIZER = "word_bpe_49k.json"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row_hash long"
-CACHE_WORDS = 800_000
+CACHE_WORDS = 400_000
 
 
 class WordEncoder:
@@ -50,10 +50,10 @@ class WordEncoder:
     CORE = "^[a-z0-9](?s:.*)[a-z0-9]$|^[a-z0-9]$"
 
     def __init__(self, path: str, capacity: int = CACHE_WORDS):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.letters.normalizer = normalizers.Sequence([])  # nothing to normalise or to cut in a word of a to z
+        self.tokenizer = Tokenizer.from_file(path)
+        self.letters = Tokenizer(self.tokenizer.model)  # one vocabulary; a word of a to z needs no normalising or cutting
         self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.separator = self.tokenizer.encode(self.SEPARATOR, add_special_tokens=False).ids
         self.capacity = capacity
@@ -114,7 +114,7 @@ class WordEncoder:
             found[missing] = list(map(self.numbers.__getitem__, names[missing]))
         return found
 
-    def encode(self, texts: pa.Array, together: int = 4000) -> Iterator[bytes]:
+    def encode(self, texts: pa.Array, together: int = 2000) -> Iterator[bytes]:
         end = np.array([END_TOKEN], "<u4").tobytes()
         for at in range(0, len(texts), together):
             part = texts.slice(at, together)
