@@ -6,13 +6,14 @@ distinct gram, the joins answer with log probabilities, and the block scores its
 shuffle carries distinct grams per block and compressed blocks, not one row for each gram of each text.
 
 Nulls and odd input: a null text counts as empty, an empty text has one event (its end); a null language is the language
-''. Repeated rows are scored one by one. Without trusted documents nothing is rejected. Extra columns are ignored.
+''. Repeated rows are scored one by one. Without trusted documents in both folds nothing is rejected. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,9 +29,8 @@ SALTS = 64  # a language's bar stands so many times
 BITS = 12  # a symbol is a code point folded into 12 bits, so four of them fit into a long
 BLOCK_CHARS = 16_000_000
 CHUNK_CHARS = 2_000_000
-TRAIN_ROWS = 20_000  # documented bound of the labelled sample that the model is trained on, half of the labelled at most
-SLOTS = 1 << 20
-QUANTILE = 0.997  # share of a language's held-out trusted documents that lies below its threshold
+FOLDS = 2  # each half of the trusted documents is scored by the model of the other half
+QUANTILE = 0.997  # share of a language's trusted documents that lies below its threshold
 PRIOR = 100  # events at the language's mean that are added to each text, so that short texts lie near the mean
 STEP = 1e-4  # width of the bins in which scores are counted
 PAD, END = 0, 1
@@ -172,28 +172,25 @@ def trusted(labels: DataFrame) -> DataFrame:
     return labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select("doc_id").distinct()
 
 
-def parted(labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Trusted ids for training and those held out for the thresholds, parted by a hash of the id.
+def trusted_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, lang, text, fold) of all trusted documents, in folds by a hash of the id; written once, since its readers
+    must see the same rows in the same order. How the ids meet the texts is left to Spark, as there may be many."""
+    rows = docs.select("doc_id", "lang", "text").join(trusted(labels), "doc_id", "left_semi")
+    return settle(rows.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")), "trusted")
 
-    A model knows its own training texts too well for a threshold, so at most half of the ids are for training.
-    """
-    good = trusted(labels)
-    total = good.count()
-    limit = min(SLOTS // 2, train_rows * SLOTS // max(total, 1))
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
-    return good.where(slot < limit), good.where(slot >= limit)
-
-
-def training_counts(docs: DataFrame, ids: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, n) over the documents named by ``ids``.
 
-    The ids are a bounded set, so the texts meet them in a broadcast join and are not shuffled.
-    """
-    texts = docs.where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id", "left_semi").select("text")
+def text_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """(gram, n) over all texts."""
+    texts = docs.where(F.col("text").isNotNull()).select("text")
     counted = texts.mapInArrow(_count_grams(order), "gram long, n long")
     return counted.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
+def training_counts(docs: DataFrame, ids: DataFrame, order: int = ORDER) -> DataFrame:
+    """(gram, n) over the documents named by ``ids``."""
+    return text_counts(docs.join(ids, "doc_id", "left_semi"), order)
+
+
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
     """The three discounts of one order from its counts of counts."""
     row = counts.agg(*[F.count(F.when(F.col("n") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
@@ -253,15 +250,13 @@ def score(docs: DataFrame, counts: DataFrame, order: int = ORDER) -> DataFrame:
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score(order), SCORES)
 
 
-def thresholds(scores: DataFrame, ids: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """(lang, middle, bar): mean and threshold over all trusted documents of each language that the model was not trained
-    on (``ids``), in nats per event.
+def thresholds(good: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """(lang, middle, bar): mean and threshold over the trusted documents' scores of each language, in nats per event.
 
     The row with a null language holds the values over all languages, for languages without trusted documents. Scores
     are counted in bins of ``STEP``, combined before the shuffle; the bar is the upper edge of the bin that holds the
     quantile, so ties share one verdict.
     """
-    good = scores.join(ids, "doc_id", "left_semi")
     both = good.select(F.explode(F.array("lang", F.lit(None).cast("string"))).alias("lang"), "nll", "events")
     means = both.groupBy(F.col("lang").alias("of")).agg((F.sum("nll") / F.sum("events")).alias("middle"))
     placed = both.join(means, F.col("lang").eqNullSafe(F.col("of"))).select(
@@ -277,16 +272,34 @@ def thresholds(scores: DataFrame, ids: DataFrame, quantile: float = QUANTILE) ->
     )
 
 
-def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """Perplexity of every document against trusted text, its language's threshold and the verdict.
+def model(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
+    """Counts of all trusted documents, and scores of all trusted documents for the thresholds.
+
+    A model knows its own training texts too well for a threshold, so each fold is scored by the counts of the other
+    folds. Without counts in some other fold there is no such score.
+    """
+    good = trusted_rows(docs, labels)
+    parts = [settle(text_counts(good.where(F.col("fold") == k), order), f"counts{k}") for k in range(FOLDS)]
+    counts = settle(reduce(DataFrame.union, parts).groupBy("gram").agg(F.sum("n").alias("n")), "counts")
+    if any(p.isEmpty() for p in parts):
+        return counts, score(good.limit(0), counts, order)
+    held = []
+    for k in range(FOLDS):
+        others = reduce(DataFrame.union, [p for i, p in enumerate(parts) if i != k]).groupBy("gram").agg(F.sum("n").alias("n"))
+        held.append(score(good.where(F.col("fold") == k), others, order))
+    return counts, settle(reduce(DataFrame.union, held), "held-scores")
+
+
+def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE) -> DataFrame:
+    """Perplexity of every document against all trusted text, its language's threshold and the verdict.
 
     doc_id, text_key, lang, events, perplexity, threshold, kept; perplexity is over the text's own events, the verdict
-    compares the shrunk score (see ``PRIOR``) with the language's bar. Null thresholds (no trusted document at all) keep.
+    compares the shrunk score (see ``PRIOR``) with the language's bar. Null thresholds (no trusted document at all, or
+    none but in one fold) keep.
     """
-    known, held = parted(labels, train_rows)
-    counts = settle(training_counts(docs, known, order), "counts")
+    counts, good = model(docs, labels, order)
     scores = settle(score(docs, counts, order), "scores")
-    bars = thresholds(scores, held, quantile)
+    bars = thresholds(good, quantile)
     bars = settle(bars, "bars")
     overall = bars.where(F.col("lang").isNull()).first() or (None, None, None)
     langs = scores.select("lang").distinct().join(bars.where(F.col("lang").isNotNull()), "lang", "left").select(
