@@ -83,16 +83,24 @@ def accuracy_evaluation(
     """Per-sample scores and the corpus record of an accuracy log.
 
     ``log`` is (log_id, qsl_idx, data), ``refs`` (sample_idx, input, reference, system_prompt).
-    The indices are matched before anything is decoded. Decoding and scoring run once: samples and scores are written to
-    the shared folder, and both results read them there.
+    The indices are matched before anything is decoded. Decoding and scoring run once: references, predictions and scores
+    are written to the shared folder, and both results read them there. A reference's texts are not copied for each of its
+    samples; they join the details at the end.
     """
-    matched = acc.pair_predictions(log, refs, dedupe_references, key)
-    decoded = acc.decode_hex_ids(matched.select(key, "data"), vocab_size=vocab_size)
-    texts = acc.decode_tokens(decoded, vocab, key, sep=sep, out="prediction", vocab_size=vocab_size)
-    samples = acc.normalize_sentences(matched.drop("data").join(texts, key), ["prediction"])
-    targets = settled(samples.withColumn("_target", sentence_lines(F.col("reference"))), "samples")
-    scores = settled(acc.sample_scores(targets, key, ref="_target", stem=stem, lcs=lcs), "scores")
-    return acc.with_scores(targets.drop("_target"), scores, key), acc.corpus_record(scores)
+    refs = settled(refs, "references")
+    wanted = refs.select("sample_idx", "reference") if dedupe_references else refs.select("sample_idx").distinct()
+    matched = acc.pair_predictions(log.where(F.col(key).isNotNull()), wanted, dedupe_references, key).drop("reference")
+    carry = [c for c in log.columns if c not in (key, "data")]
+    decoded = acc.decode_hex_ids(matched, vocab_size=vocab_size)
+    texts = acc.decode_tokens(decoded, vocab, key, sep=sep, out="prediction", vocab_size=vocab_size, carry=carry)
+    samples = settled(acc.normalize_sentences(texts, ["prediction"]), "samples")
+    targets = refs.select("sample_idx", sentence_lines(F.col("reference")).alias("target"))
+    others = [c for c in carry if c != "qsl_idx"]
+    scores = settled(acc.scores_by_reference(samples, targets, key, [*others, "prediction", "n_tokens"], stem, lcs), "scores")
+    details = scores.join(refs, F.col("qsl_idx") == F.col("sample_idx"))
+    percents = acc.percent_columns(scores)
+    names = [*carry, *[c for c in refs.columns if c != "sample_idx"], "prediction", "n_tokens"]
+    return details.select(key, *names, *percents), acc.corpus_record(scores)
 
 
 def aggregate_runs(spark: SparkSession, base: str, published: DataFrame | None = None) -> DataFrame:
