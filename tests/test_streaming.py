@@ -127,3 +127,28 @@ def test_run_stream_merges_halves_and_restarts(spark, tmp_path):
     got = sorted(map(str, streams.merged_runs(spark, table).collect()))
     assert got == sorted(map(str, merge_runs(*read_run_directories(spark, str(base))).collect()))
     assert spark.read.parquet(table).count() == 3
+
+
+def test_a_request_asks_the_state_store_at_most_three_times():
+    """One question for the state, one timer, one write; a timer is replaced by its name, timers are never listed."""
+    from unittest.mock import MagicMock
+
+    import pandas as pd
+
+    def rows(us):
+        return iter([pd.DataFrame({"us": [float(us)], "start_us": [0.0], "has_text": [True], "done": [False]})])
+
+    now = MagicMock()
+    now.getCurrentWatermarkInMs.return_value = 0
+    requests = streams._Requests(1000, ["r", "ttft_s", "latency_s", "output_tokens", "tail_s", "closed_by"])
+    handle = MagicMock()
+    requests.init(handle)
+    state = handle.getValueState.return_value
+    state.get.return_value = None
+    assert [*requests.handleInputRows(("a",), rows(5000), now)] == []
+    kept = state.update.call_args.args[0]
+    assert kept == (5000.0, 5000.0, 0.0, 1, False, 1005) and handle.registerTimer.call_args.args == (1005,)
+    assert len(handle.mock_calls) <= 4 and not handle.listTimers.called and not state.exists.called  # with getValueState
+    state.get.return_value = kept
+    assert [*requests.handleInputRows(("a",), rows(9000), now)] == []
+    assert handle.deleteTimer.call_args.args == (1005,) and handle.registerTimer.call_args.args == (1009,)
