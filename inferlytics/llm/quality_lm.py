@@ -174,8 +174,9 @@ def trusted(labels: DataFrame) -> DataFrame:
 
 def trusted_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, lang, text, fold) of all trusted documents, in folds by a hash of the id; written once, since its readers
-    must see the same rows in the same order. How the ids meet the texts is left to Spark, as there may be many."""
-    rows = docs.select("doc_id", "lang", "text").join(trusted(labels), "doc_id", "left_semi")
+    must see the same rows in the same order. The ids are written first, so that Spark knows their size and shuffles the
+    texts only for more ids than it broadcasts."""
+    rows = docs.select("doc_id", "lang", "text").join(settle(trusted(labels), "trusted-ids"), "doc_id", "left_semi")
     return settle(rows.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")), "trusted")
 
 
