@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
+BROADCAST_KEYS = 3_000_000  # rows of an id and a hash that are sent to every executor, some 300 MB
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -48,9 +49,16 @@ def same_row(left: DataFrame, right: DataFrame) -> Column:
     return (left["text_key"] == right["text_key"]) & left["doc_id"].eqNullSafe(right["doc_id"])
 
 
+def beside_texts(keys: DataFrame, name: str, most: int = BROADCAST_KEYS) -> DataFrame:
+    """Keys for a join with texts, written and counted: up to ``most`` are broadcast, so that the texts stay where they
+    are; for more, Spark chooses the join, which may shuffle the texts."""
+    keys = settle(keys, name)
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def keep_rows(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     """Semi or anti join of documents with a table of (doc_id, text_key); other columns are untouched."""
-    keys = keys.select(F.col("doc_id").alias("_key_id"), F.col("text_key").alias("_key_hash"))
+    keys = beside_texts(keys.select(F.col("doc_id").alias("_key_id"), F.col("text_key").alias("_key_hash")), "row-keys")
     on = (text_key(docs["text"]) == keys["_key_hash"]) & docs["doc_id"].eqNullSafe(keys["_key_id"])
     return docs.join(keys, on, how)
 

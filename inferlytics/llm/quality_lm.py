@@ -22,13 +22,14 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inferlytics.llm.common import DOCUMENTS, keep_rows, only, settle, table, text_key
+from inferlytics.llm.common import DOCUMENTS, beside_texts, keep_rows, only, settle, table, text_key
 
 ORDER = 4
 SALTS = 64  # a language's bar stands so many times
 BITS = 12  # a symbol is a code point folded into 12 bits, so four of them fit into a long
 BLOCK_CHARS = 16_000_000
 CHUNK_CHARS = 2_000_000
+TRUSTED_IDS = 5_000_000  # ids that are sent to every executor; a lone long takes less than a key of two columns
 FOLDS = 2  # each half of the trusted documents is scored by the model of the other half
 QUANTILE = 0.997  # share of a language's trusted documents that lies below its threshold
 PRIOR = 100  # events at the language's mean that are added to each text, so that short texts lie near the mean
@@ -174,9 +175,8 @@ def trusted(labels: DataFrame) -> DataFrame:
 
 def trusted_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, lang, text, fold) of all trusted documents, in folds by a hash of the id; written once, since its readers
-    must see the same rows in the same order. The ids are written first, so that Spark knows their size and shuffles the
-    texts only for more ids than it broadcasts."""
-    rows = docs.select("doc_id", "lang", "text").join(settle(trusted(labels), "trusted-ids"), "doc_id", "left_semi")
+    must see the same rows in the same order. The ids go to the texts (see :func:`beside_texts`)."""
+    rows = docs.select("doc_id", "lang", "text").join(beside_texts(trusted(labels), "trusted-ids", TRUSTED_IDS), "doc_id", "left_semi")
     return settle(rows.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")), "trusted")
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inferlytics.llm.common import DOCUMENTS, only, settle, table, text_key
+from inferlytics.llm.common import BROADCAST_KEYS, DOCUMENTS, beside_texts, only, settle, table, text_key
 
 DISTANCE = 4
 SEGMENTS = 3  # widths near log2 of the number of fingerprints give the fewest false meetings
@@ -357,9 +357,10 @@ def near_copies(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     cell = F.when(F.col("n") == 1, F.array(F.xxhash64("group"))).otherwise(
         F.transform(F.filter(others, lambda k: k != F.col("own")), lambda k: F.xxhash64("group", F.least("own", k), F.greatest("own", k)))
     )
-    wanted = settle(dealt.select("v", cell.alias("cells"), F.col("key.doc_id").alias("_id"), F.col("key.text_key").alias("_hash")), "wanted")
+    wanted = dealt.select("v", "group", "n", "own", F.col("key.doc_id").alias("_id"), F.col("key.text_key").alias("_hash"))
+    wanted = beside_texts(wanted, "wanted", BROADCAST_KEYS // 2)
     found = rows.join(wanted, (F.col("text_key") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    found = found.select(F.explode("cells").alias("cell"), "v", "text")
+    found = found.select(F.explode(cell).alias("cell"), "v", "text")
     edges = found.groupBy("cell").applyInArrow(_compared, "a long, b long")
     roots = components(edges)
     return points.join(roots, "v", "left").select("v", "key", F.coalesce("root", "v").alias("root"))
@@ -370,10 +371,12 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     smallest text hash; of rows equal in id and text one stays."""
     docs = only(docs, DOCUMENTS)
     keys = near_copies(docs).groupBy("root").agg(F.min("key").alias("key"))
-    keys = keys.select(F.col("key.doc_id").alias("_id"), F.col("key.text_key").alias("_hash"))
-    rows = docs.withColumn("_key", text_key(F.col("text")))
-    kept = rows.join(keys, (F.col("_key") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_key"]).drop("_key")
+    # null ids as a column of their own, so that the join and the repeats need the texts in the same place
+    row = ["_key", "_no_id", "_id"]
+    keys = keys.select(F.col("key.text_key").alias("_key"), F.col("key.no_id").alias("_no_id"), F.coalesce("key.doc_id", F.lit(0)).alias("_id"))
+    named = {"_key": text_key(F.col("text")), "_no_id": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0))}
+    kept = docs.withColumns(named).join(keys, row, "left_semi")
+    return kept.dropDuplicates(row).drop(*row)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
