@@ -41,10 +41,13 @@ PLAIN_LINE = r"(?m)^([^:\n]*):[ \t]*([0-9.]+)"
 FULL_LINE = r"(?m)^([^:\n]*):[ \t]*([0-9.]+(?:[eE][-+]?[0-9]+)?)"
 
 
-def log_entries(text: Column, strict: bool = False) -> tuple[Column, Column]:
-    """Labels and numbers of the lines that have both, in the order of the text."""
-    line = F.lit(FULL_LINE if strict else PLAIN_LINE)
-    return F.transform(F.regexp_extract_all(text, line, F.lit(1)), lambda s: F.trim(s)), F.regexp_extract_all(text, line, F.lit(2))
+def log_lines(text: Column, strict: bool = False) -> Column:
+    """The lines that have a label and a number, in the order of the text. Each holds one colon."""
+    return F.regexp_extract_all(text, F.lit(FULL_LINE if strict else PLAIN_LINE), F.lit(0))
+
+
+def line_number(line: Column) -> Column:
+    return F.ltrim(F.substring_index(line, ":", -1), F.lit(" \t")).try_cast("double")
 
 
 def _first_place(labels: Column, wanted: list[str]) -> Column:
@@ -58,16 +61,16 @@ def _first_place(labels: Column, wanted: list[str]) -> Column:
 def extract_log_metrics(df: DataFrame, text: str = "text", strict: bool = False, total: Column | None = None) -> DataFrame:
     """Add 24 metrics, ``valid``, ``total_samples`` and ``completed`` to a table of logs.
 
-    The text is cut once into lines of a label and a number; a metric is the number of its first line. By default an
-    exponent is not read (``1.2e+06`` gives 1.2); ``strict`` reads it. A number that is none gives null.
+    The text is searched once for lines of a label and a number; only a metric's own line is cut further. A metric is the
+    number of its first line. By default an exponent is not read (``1.2e+06`` gives 1.2); ``strict`` reads it. A number that is none gives null.
     """
     total = F.coalesce(total if total is not None else F.lit(0), F.lit(0)).cast("long")
     body = F.col(text)
-    labels, numbers = log_entries(body, strict)
-    lines = df.withColumns({"_labels": labels, "_numbers": numbers})
+    lines = df.withColumn("_lines", log_lines(body, strict))
+    lines = lines.withColumn("_labels", F.transform("_lines", lambda s: F.trim(F.substring_index(s, ":", 1))))
 
     def metric(wanted: list[str]) -> Column:
-        return F.get("_numbers", (_first_place(F.col("_labels"), wanted) - 1).cast("int")).try_cast("double")
+        return line_number(F.get("_lines", (_first_place(F.col("_labels"), wanted) - 1).cast("int")))
 
     return lines.select(
         *[F.col(f"`{c}`") for c in df.columns],
