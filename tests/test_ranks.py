@@ -155,6 +155,26 @@ def test_similar_counts(spark, most):
         assert got[k, v] == (rows.count((k, v)), near)
 
 
+def test_similar_counts_moves_whole_blocks_once(spark):
+    """A block that fits a task is shuffled once, before its questions are made, and is not joined to its answers."""
+    rows = [(k, float(v)) for k in ("a", "b", None) for v in range(40)]
+    plan = similar.similar_counts(spark.createDataFrame(rows, "k string, v double"), ["k"], "v")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("RepartitionByExpression") == 1 and plan.index("Generate") < plan.index("RepartitionByExpression")
+
+
+def test_similar_counts_of_small_and_cut_blocks(spark):
+    rng = random.Random(29)
+    rows = [("big", round(rng.uniform(50, 150), 1)) for _ in range(500)] + [("few", float(x)) for x in (0, 9, 10, 11, 11, -4)] + [("few", None), (None, 10.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    got = {(r["k"], r["v"]): r["similar_rows"] for r in similar.similar_counts(df, ["k"], "v", 0.1, 20).collect()}
+    near = {(k, v): sum(1 for kk, x in rows if None not in (k, v, x) and kk == k and v * (1 - 0.1) <= x <= v * (1 + 0.1)) for k, v in rows}
+    assert got == near
+    over_all = similar.similar_counts(df.select("v"), [], "v", 0.1, 20).collect()
+    assert {r["v"]: r["similar_rows"] for r in over_all} == {
+        v: sum(1 for _, x in rows if None not in (v, x) and v * (1 - 0.1) <= x <= v * (1 + 0.1)) for _, v in rows
+    }
+
+
 def test_similar_to_finds_every_close_row(spark):
     rng = random.Random(17)
     rows = [(i, rng.choice("ab"), rng.choice([None, 0.0, rng.uniform(-20, 20), 10.0, 9.0, 11.2])) for i in range(400)]
