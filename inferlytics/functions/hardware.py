@@ -75,7 +75,11 @@ def clean_string(c: Column) -> Column:
     """Placeholder words become null; nothing is trimmed."""
     # Lengths are cheap to compare; only texts of a placeholder's length are upper-cased.
     lengths = sorted({len(w) for w in NULL_WORDS})
-    return F.when(F.octet_length(c).isin(lengths) & F.upper(c).isin(NULL_WORDS), F.lit(None)).otherwise(c)
+
+    def cleaned(text: Column) -> Column:
+        return F.when(F.octet_length(text).isin(lengths) & F.upper(text).isin(NULL_WORDS), F.lit(None)).otherwise(text)
+
+    return let(c, cleaned)
 
 
 def _part_gb(text: Column) -> Column:

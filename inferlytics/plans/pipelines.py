@@ -21,9 +21,10 @@ def etl(df: DataFrame, frameworks: Sequence[str] = (), strict: bool = False) ->
     One chain of projections and a filter: no shuffle. All framework versions are in the map
     ``software.framework.versions``; those named in ``frameworks`` also get a column each.
     """
+    # Cleaned before the missing columns come, whose nulls then stay constants in all later rules.
     typed = (
-        conform(df)
-        .transform(clean.clean_strings)
+        clean.clean_strings(df)
+        .transform(conform)
         .transform(clean.normalize_memory)
         .transform(clean.normalize_datetime)
         .transform(clean.normalize_frequency)

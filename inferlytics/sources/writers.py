@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from ..operators.ranks import settled
 from ..operators.runs import run_summary
 from ..schema import qcol
 
@@ -11,9 +12,18 @@ from ..schema import qcol
 def write_results(
     df: DataFrame, path: str, formats: tuple[str, ...] = ("json", "parquet"), partition_by: list[str] = [], mode: str = "errorifexists"
 ) -> None:
-    """Result table as Parquet and as JSON lines, each in its own directory."""
-    for fmt in formats:
-        df.write.mode(mode).partitionBy(*partition_by).format(fmt).save(f"{path}/{fmt}")
+    """Result table as Parquet and as JSON lines, each in its own directory.
+
+    The table is worked out once: Parquet is written first and the other formats are written from it. Where that folder may
+    hold other rows (``append``, ``ignore``), or Parquet is not wanted, several formats share a copy in the shared folder.
+    """
+    source = df
+    if len(formats) > 1 and not ("parquet" in formats and mode in ("errorifexists", "error", "overwrite")):
+        source = settled(df, "results")
+    for fmt in sorted(formats, key=lambda f: f != "parquet"):
+        source.write.mode(mode).partitionBy(*partition_by).format(fmt).save(f"{path}/{fmt}")
+        if source is df and len(formats) > 1:
+            source = df.sparkSession.read.schema(df.schema).parquet(f"{path}/{fmt}").select(*[qcol(c) for c in df.columns])
 
 
 def write_runs(df: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:

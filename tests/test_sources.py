@@ -191,3 +191,35 @@ def test_write_accuracy(spark, tmp_path):
     writers.write_accuracy(spark.range(3), spark.range(1), str(tmp_path / "a"))
     assert spark.read.json(str(tmp_path / "a/accuracy_details")).count() == 3
     assert spark.read.json(str(tmp_path / "a/accuracy_results")).count() == 1
+
+
+@pytest.mark.parametrize("formats, mode", [(("json", "parquet"), "errorifexists"), (("json", "parquet"), "append"), (("json", "orc"), "overwrite")])
+def test_results_are_worked_out_once_for_all_formats(spark, tmp_path, formats, mode):
+    calls = spark.sparkContext.accumulator(0)
+
+    def told(k):
+        calls.add(1)
+        return f"t{k}"
+
+    made = spark.range(30).select("id", F.udf(told, "string")("id").alias("t"), F.create_map(F.lit("a"), F.col("id")).alias("m"), (F.col("id") % 2).alias("p"))
+    df = made.select("p", "id", "t", "m")
+    path = str(tmp_path / "out")
+    rounds = 2 if mode == "append" else 1
+    for _ in range(rounds):
+        writers.write_results(df, path, formats, ["p"], mode)
+    assert calls.value == 30 * rounds
+    for fmt in formats:
+        back = spark.read.schema(df.schema).format(fmt).load(f"{path}/{fmt}")
+        got = sorted((r["p"], r["id"], r["t"], r["m"]["a"]) for r in back.collect())
+        assert got == sorted((k % 2, k, f"t{k}", k) for k in range(30) for _ in range(rounds))
+
+
+def test_cleaning_keeps_absent_columns_constant(spark):
+    """Rules on columns that a table lacks are worked out when planned; a rule searches a text of the table once."""
+    raw = spark.createDataFrame([("N/A", 2.0, "Tokens/s", "1", "4", "n/a"), ("PyTorch 2.5.1", 3.0, "Tokens/s", "2", "dummy", "x")],
+                                "`software.framework` string, `metrics.result` double, `metrics.units` string, `system.number_of_nodes` string, `system.accelerator.count_per_node` string, `model.name` string")
+    out = pipelines.etl(raw)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "null AS datetime" in plan and "null AS system.accelerator.name" in plan
+    assert "octet_length(software.framework" not in plan
+    assert [(r["software.framework"], r["model.name"], r["system.accelerator.total_count"]) for r in out.collect()] == [(None, None, 4)]
