@@ -11,8 +11,11 @@ have the fingerprint zero and link like any other. Ids: the component's id is it
 has none); repeated rows are returned as often as they occur. Empty tables give empty results; extra columns are ignored.
 
 The pipeline's stage has another rule: texts are near copies when the sets of their runs of five words have a Jaccard
-similarity of ``NEAR`` or more. Minhash bands only propose: texts that share a band, and chains of them, form a group. In
-a group all pairs are compared by their whole sets. Of pairs at 0.8 the bands propose 99.9 %, of closer ones more.
+similarity of ``NEAR`` or more. Minhash bands propose first: texts that share a band, and chains of them, form a group. In
+a group all pairs are compared by their whole sets. Bands may miss a pair (at 0.8 one of a thousand), so a second search,
+between the components found, misses none: runs are put in one order, rare ones first, and two near copies must share a
+run among the first fifth of both. Size, place in the order and a parity bitmap, which only ever rule out pairs below
+``NEAR``, thin these pairs out; whole sets decide. The counts behind the order steer the work, never the result.
 """
 
 from __future__ import annotations
@@ -38,6 +41,12 @@ NEAR = (4, 5)  # similarity from which texts are near copies, as a fraction
 BANDS, BAND = 30, 7  # 1 - (1 - 0.8 ** 7) ** 30 = 0.9991
 CHUNK = 256  # texts of a group that go together; two chunks are compared in one task
 CHUNK_RUNS = 1 << 20  # and about so many runs of words
+PARTS = 10  # bits of a run's hash that name the part in which it is counted; 32 more tell runs of a part apart
+LISTED = 64  # most frequent runs of a part that are known by their counts
+SLOTS = 14  # bits of a place in a part's table of runs that occur twice
+CROWD = 1024  # texts of one frequent run that go together; two such chunks are compared in one task
+PAIRS = 1 << 18  # pairs looked at in one piece
+SLICE = 256  # texts worked on at a time
 
 
 def _shingles(text: str | None, words: int) -> Iterator[np.ndarray]:
@@ -273,18 +282,133 @@ def bands(runs: np.ndarray) -> list[int]:
     return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64).tolist()
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import xxhash
-
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of few texts, so that little is held beside the texts of a task."""
     for batch in batches:
-        names, sizes, keys = [], [], []
-        for text in batch.column(2).to_pylist():
-            runs = runs_of(text)
-            names.append(xxhash.xxh64_intdigest(runs.tobytes(), SEED))
-            sizes.append(len(runs))
-            keys.append(bands(runs))
-        columns = [pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "text_key", "v", "size", "keys"])
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
+def _split_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, runs): the runs of texts by part, 32 bits each, about ``CHUNK_RUNS`` / 4 of them at a time."""
+
+    def split(sets: list[np.ndarray]) -> pa.RecordBatch:
+        codes = np.concatenate(sets) >> (32 - PARTS)
+        codes.sort()
+        cuts = np.searchsorted(codes, np.arange(1 << PARTS, dtype="<u8") << 32)
+        cuts = np.append(cuts, len(codes))
+        held = np.flatnonzero(np.diff(cuts))
+        low = codes.astype("<u4")
+        columns = [pa.array(held.astype(np.int32)), pa.array([low[cuts[k] : cuts[k + 1]].tobytes() for k in held], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["part", "runs"])
+
+    sets, count = [], 0
+    for batch in _slices(batches):
+        for text in batch.column(0).to_pylist():
+            sets.append(runs_of(text))
+            count += len(sets[-1])
+            if 4 * count >= CHUNK_RUNS:
+                yield split(sets)
+                sets, count = [], 0
+    if count:
+        yield split(sets)
+
+
+def _repeated(group: pa.Table) -> pa.Table:
+    """The most frequent runs of a part with their counts, and the table of the runs that occur twice or more."""
+    low = np.frombuffer(b"".join(group.column("runs").to_pylist()), "<u4")
+    runs, counts = np.unique(low, return_counts=True)
+    runs, counts = runs[counts > 1], counts[counts > 1]
+    slots = np.zeros(1 << SLOTS, np.uint8)
+    slots[runs >> (32 - SLOTS)] = 1
+    top = np.sort(np.lexsort((runs, -counts))[:LISTED])
+    out = {"runs": runs[top], "counts": counts[top].astype("<i8"), "slots": np.packbits(slots, bitorder="little")}
+    return pa.table({"part": group.column("part")[:1], **{k: pa.array([x.tobytes()], pa.binary()) for k, x in out.items()}})
+
+
+class Frequencies:
+    """What is known of how often runs occur: some 3 MB, whatever the number of texts."""
+
+    def __init__(self, parts: list) -> None:
+        parts = sorted(parts, key=lambda r: r["part"])
+        codes = [(np.uint64(r["part"]) << np.uint64(32)) + np.frombuffer(r["runs"], "<u4").astype("<u8") for r in parts]
+        self.codes = np.concatenate([np.zeros(0, "<u8"), *codes])
+        self.counts = np.concatenate([np.zeros(0, "<i8"), *[np.frombuffer(r["counts"], "<i8") for r in parts]])
+        self.slots = np.zeros((1 << PARTS, (1 << SLOTS) // 8), np.uint8)
+        for r in parts:
+            self.slots[r["part"]] = np.frombuffer(r["slots"], np.uint8)
+
+    def of(self, runs: np.ndarray) -> np.ndarray:
+        """0 for runs that occur once, the count of listed ones, 1 for the others."""
+        codes = runs >> np.uint64(32 - PARTS)
+        slot = (codes & np.uint64((1 << 32) - 1)) >> np.uint64(32 - SLOTS)
+        many = (self.slots[codes >> np.uint64(32), slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(np.int64)
+        again = np.flatnonzero(many)
+        at = np.searchsorted(self.codes, codes[again])
+        listed = at < len(self.codes)
+        listed[listed] = self.codes[at[listed]] == codes[again][listed]
+        many[again[listed]] = self.counts[at[listed]]
+        return many
+
+
+def frequencies(docs: DataFrame) -> Frequencies:
+    """Frequencies of the runs of all texts."""
+    runs = docs.select("text").mapInArrow(_split_runs, "part int, runs binary")
+    return Frequencies(runs.groupBy("part").applyInArrow(_repeated, "part int, runs binary, counts binary, slots binary").collect())
+
+
+def prefix(runs: np.ndarray, known: Frequencies) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs, their places and counts: the first of a set in the order of (count, hash), without those that no other set has.
+
+    A near copy shares at least four fifths of the runs, so it cannot lack all of the first fifth and one more.
+    """
+    part, whole = NEAR
+    many = known.of(runs)
+    first = np.lexsort((runs, many))[: len(runs) - -(-part * len(runs) // whole) + 1]
+    places = np.flatnonzero(many[first])
+    return runs[first[places]], places, many[first[places]]
+
+
+def parity(runs: np.ndarray) -> bytes:
+    """A bitmap of at least as many bits as runs; of two sets it differs in no more bits than the sets in runs."""
+    width = max(64, 1 << (len(runs) - 1).bit_length()) if len(runs) else 64
+    ones = np.bincount((runs & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(ones.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _differing(a: bytes, b: bytes) -> int:
+    """Bits in which two bitmaps differ; the wider one is folded."""
+    x, y = sorted((np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
+SKETCH = "doc_id long, text_key long, v long, size long, keys array<long>, bits binary, at array<struct<run:long,place:long,chunks:long>>"
+
+
+def _sketches(known: Frequencies):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in _slices(batches):
+            names, sizes, keys, bits, firsts = [], [], [], [], []
+            for text in batch.column(2).to_pylist():
+                runs = runs_of(text)
+                names.append(xxhash.xxh64_intdigest(runs.tobytes(), SEED))
+                sizes.append(len(runs))
+                keys.append(bands(runs))
+                bits.append(parity(runs))
+                firsts.append(prefix(runs, known))
+            found, places, counts = (np.concatenate([np.zeros(0, np.int64), *[x[k].astype(np.int64) for x in firsts]]) for k in range(3))
+            at = pa.StructArray.from_arrays([pa.array(x) for x in (found, places, -(-counts // CROWD))], ["run", "place", "chunks"])
+            offsets = np.cumsum([0, *[len(x[0]) for x in firsts]]).astype(np.int32)
+            columns = [
+                pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())),
+                pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), at),
+            ]
+            columns = [batch.column(0), batch.column(1), *columns]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "v", "size", "keys", "bits", "at"])
+
+    return run
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,31 +463,113 @@ def _compared(group: pa.Table) -> pa.Table:
     return pa.table({"a": v[moved], "b": v[label[moved]]})
 
 
+def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of different roots that share a cell and may be near copies; rows are sorted by cell and root."""
+    part, whole = NEAR
+
+    def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cell, root, v, size, place = rows
+        after = np.searchsorted(cell, cell, "right")
+        new = np.concatenate([[True], (cell[1:] != cell[:-1]) | (root[1:] != root[:-1])])
+        begin = np.append(np.flatnonzero(new), len(cell))
+        begin = begin[np.cumsum(new)]  # of the next root
+        many = after - begin
+        total = np.cumsum(many)
+        for low in range(0, int(total[-1]), PAIRS):
+            k = np.arange(low, min(low + PAIRS, int(total[-1])))
+            i = np.searchsorted(total, k, "right")
+            j = begin[i] + k - (total[i] - many[i])
+            most = np.minimum(size[i] - place[i], size[j] - place[j])  # runs in common, if this is the first of them
+            near = (whole + part) * most >= part * (size[i] + size[j])
+            i, j = v[i[near]], v[j[near]]
+            ends = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1])], ["a", "b"])
+
+    held: list[np.ndarray] = []
+    for batch in batches:
+        rows = np.stack([c.to_numpy() for c in batch.columns])
+        last = int(np.searchsorted(rows[0], rows[0, -1])) if rows.size else 0
+        if last:
+            yield from pairs(np.concatenate([*held, rows[:, :last]], axis=1))
+            held = [rows[:, last:]]
+        elif rows.size and held and held[0][0, 0] != rows[0, 0]:
+            yield from pairs(np.concatenate(held, axis=1))
+            held = [rows]
+        else:
+            held.append(rows)
+    if held and held[0].size:
+        yield from pairs(np.concatenate(held, axis=1))
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose bitmaps leave a similarity of ``NEAR`` possible."""
+    part, whole = NEAR
+    for batch in batches:
+        a, b, total, x, y = batch.columns
+        differ = np.array([_differing(p, q) for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)], np.int64)
+        near = pa.array((whole + part) * differ <= (whole - part) * total.to_numpy())
+        yield pa.RecordBatch.from_arrays([a.filter(near), b.filter(near)], ["a", "b"])
+
+
+def _cells(group: Column, own: Column, n: Column) -> Column:
+    """One cell for a group of one chunk, else those of a chunk with each of the others."""
+    others = F.filter(F.sequence(F.lit(0).cast("long"), n - 1), lambda k: k != own)
+    pairs = F.transform(others, lambda k: F.xxhash64(group, F.least(own, k), F.greatest(own, k)))
+    return F.when(n == 1, F.array(F.xxhash64(group))).otherwise(pairs)
+
+
+def _linked(rows: DataFrame, wanted: DataFrame, cells: Column, name: str) -> DataFrame:
+    """(a, b): edges that connect the near copies among the texts ``wanted`` (v, key and what ``cells`` needs) of a cell."""
+    wanted = wanted.withColumns({"_id": F.col("key.doc_id"), "_hash": F.col("key.text_key")}).drop("key")
+    wanted = beside_texts(wanted, name, BROADCAST_KEYS // 2)
+    found = rows.join(wanted, (F.col("text_key") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    return found.select(F.explode(cells).alias("cell"), "v", "text").groupBy("cell").applyInArrow(_compared, "a long, b long")
+
+
+def missed(rows: DataFrame, points: DataFrame) -> DataFrame:
+    """(a, b): near copies of different roots among ``points`` (v, key, root, size, bits, at), all that there are."""
+    entries = points.select("v", "root", "size", F.explode("at").alias("at")).select("v", "root", "size", "at.*")
+    own = F.pmod(F.xxhash64("v"), F.col("chunks"))
+    cells = entries.select(F.explode(_cells(F.col("run"), own, F.col("chunks"))).alias("cell"), "root", "v", "size", "place")
+    pairs = cells.repartition("cell").sortWithinPartitions("cell", "root").mapInArrow(_crossing, "a long, b long").distinct()
+    for end in ("a", "b"):
+        side = points.select(F.col("v").alias(end), F.col("size").alias(f"size_{end}"), F.col("bits").alias(f"bits_{end}"))
+        pairs = pairs.join(side, end)
+    pairs = pairs.select("a", "b", F.col("size_a") + F.col("size_b"), "bits_a", "bits_b").mapInArrow(_possible, "a long, b long")
+    pairs = settle(pairs, "possible")
+    ends = [pairs.select(F.col(end).alias("v"), F.xxhash64("a", "b").alias("cell")) for end in ("a", "b")]
+    wanted = ends[0].union(ends[1]).join(points.select("v", "key"), "v")
+    return _linked(rows, wanted, F.array("cell"), "wanted-pairs")
+
+
+def set_points(rows: DataFrame) -> DataFrame:
+    """v, key (struct of no_id, doc_id, text_key), size, keys, bits, at: the sets of runs that occur, the smallest row of each."""
+    sketches = rows.mapInArrow(_sketches(frequencies(rows)), SKETCH)
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    points = sketches.groupBy("v").agg(F.min(key).alias("key"), *[F.first(c).alias(c) for c in ("size", "keys", "bits", "at")])
+    return settle(points, "points")
+
+
 def near_copies(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """v, key (struct of no_id, doc_id, text_key), root: the sets of runs that occur, the smallest row of each, its component."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text")
-    sketches = rows.mapInArrow(_sketches, "doc_id long, text_key long, v long, size long, keys array<long>")
-    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    points = settle(sketches.groupBy("v").agg(F.min(key).alias("key"), F.first("size").alias("size"), F.first("keys").alias("keys")), "points")
+    points = set_points(rows)
     held = points.select(F.explode("keys").alias("key"), "v")
     stars = held.repartition("key").sortWithinPartitions("key").mapInArrow(_stars, "a long, b long")
     grouped = components(stars)
     grouped = settle(grouped.union(grouped.select("root", "root").distinct()).toDF("v", "group"), "groups")
     members = grouped.join(points.select("v", "size", "key"), "v")
     chunks = F.greatest(F.count("*") / chunk, F.sum("size") / CHUNK_RUNS)
-    chunks = members.groupBy("group").agg(F.ceil(chunks).cast("int").alias("n"))
-    own, others = F.pmod(F.xxhash64("v"), F.col("n")).cast("int"), F.sequence(F.lit(0), F.col("n") - 1)
-    dealt = members.join(chunks, "group").withColumn("own", own)
-    cell = F.when(F.col("n") == 1, F.array(F.xxhash64("group"))).otherwise(
-        F.transform(F.filter(others, lambda k: k != F.col("own")), lambda k: F.xxhash64("group", F.least("own", k), F.greatest("own", k)))
-    )
-    wanted = dealt.select("v", "group", "n", "own", F.col("key.doc_id").alias("_id"), F.col("key.text_key").alias("_hash"))
-    wanted = beside_texts(wanted, "wanted", BROADCAST_KEYS // 2)
-    found = rows.join(wanted, (F.col("text_key") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    found = found.select(F.explode(cell).alias("cell"), "v", "text")
-    edges = found.groupBy("cell").applyInArrow(_compared, "a long, b long")
-    roots = components(edges)
-    return points.join(roots, "v", "left").select("v", "key", F.coalesce("root", "v").alias("root"))
+    chunks = members.groupBy("group").agg(F.ceil(chunks).alias("n"))
+    dealt = members.join(chunks, "group").select("v", "group", "n", F.pmod(F.xxhash64("v"), F.col("n")).alias("own"), "key")
+    roots = components(_linked(rows, dealt, _cells(F.col("group"), F.col("own"), F.col("n")), "wanted"))
+    points = points.join(roots, "v", "left").select("v", "key", F.coalesce("root", "v").alias("root"), "size", "bits", "at")
+    points = settle(points, "labelled")
+    more = settle(missed(rows, points), "missed")
+    for end in ("a", "b"):
+        more = more.join(points.select(F.col("v").alias(end), F.col("root").alias(f"root_{end}")), end)
+    merged = components(more.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))).toDF("root", "merged")
+    return points.join(merged, "root", "left").select("v", "key", F.coalesce("merged", "root").alias("root"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -247,6 +247,43 @@ def test_stage_keeps_one_of_five_word_near_copies(spark, monkeypatch, chunk):
     assert 25 < len(set(want)) < len(texts) - 25
 
 
+def test_stage_links_near_copies_that_share_no_band(spark):
+    rows = []
+    for seed in (319, 2911, 3640):  # 32 of 40 runs in common
+        rng = random.Random(seed)
+        words = [f"w{rng.randrange(10**6)}" for _ in range(40)]
+        pair = [" ".join(words), " ".join(words[:36] + [f"x{rng.randrange(10**6)}" for _ in range(4)])]
+        assert not set.intersection(*[set(simhash.bands(simhash.runs_of(t))) for t in pair])
+        rows += [(len(rows) + k, t, "en", "s", len(t)) for k, t in enumerate(pair)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in simhash.stage(spark, docs, SF).collect()) == [0, 2, 4]
+
+
+@pytest.mark.parametrize("crowd", [1024, 2])
+def test_second_search_alone_equals_brute_force(spark, monkeypatch, crowd):
+    common = text_of(7, 60)
+    texts = near_texts() + [f"{common} {text_of(k, 8)}" for k in range(40)] + ["one", "a b c d e", "a b c d e f", "", " "]
+    want = near_components(texts)
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = docs.withColumn("text_key", simhash.text_key(F.col("text"))).select("doc_id", "text_key", "text").repartition(3)
+    points = simhash.set_points(rows).withColumn("root", F.col("v"))
+    roots = {r["v"]: r["root"] for r in simhash.components(simhash.missed(rows, points)).collect()}
+    name = {r["key"]["doc_id"]: roots.get(r["v"], r["v"]) for r in points.collect()}
+    groups = {}
+    for k, root in name.items():
+        groups.setdefault(root, set()).add(want[k])
+    assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(want))
+
+
+def test_parity_never_rules_out_near_copies():
+    rng = np.random.default_rng(3)
+    for size in (1, 5, 63, 64, 65, 400):
+        a = rng.integers(0, 1 << 63, size, np.uint64)
+        b = np.concatenate([a[size // 7 :], rng.integers(0, 1 << 63, 1 + size // 9, np.uint64)])
+        assert simhash._differing(simhash.parity(a), simhash.parity(b)) <= len(np.setxor1d(a, b))
+
+
 def test_near_links_equal_brute_force():
     texts = [t for t in near_texts()[:60] if t] + ["a b", "A  b", "a b c d e", "a b c d e f", "one"]
     assert simhash.near_links([simhash.runs_of(t) for t in texts]).tolist() == near_components(texts)
