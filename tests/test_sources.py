@@ -46,6 +46,9 @@ def test_result_summaries_to_dashboard(cased, tmp_path):
     assert boards.overview(board).count() == 2
     writers.write_results(clean_rows, str(tmp_path / "out"))
     assert cased.read.parquet(str(tmp_path / "out/parquet")).count() == cased.read.json(str(tmp_path / "out/json")).count() == 2
+    for fmt, ending in (("json", ".json.gz"), ("parquet", ".zstd.parquet")):
+        files = [f.name for f in (tmp_path / "out" / fmt).glob("part-*")]
+        assert files and all(f.endswith(ending) for f in files)
 
 
 def test_case_insensitive_sessions_are_refused(spark, tmp_path):
