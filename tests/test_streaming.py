@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from inferlytics.operators import metrics
@@ -152,3 +153,93 @@ def test_a_request_asks_the_state_store_at_most_three_times():
     state.get.return_value = kept
     assert [*requests.handleInputRows(("a",), rows(9000), now)] == []
     assert handle.deleteTimer.call_args.args == (1005,) and handle.registerTimer.call_args.args == (1009,)
+
+
+class Store:
+    """A state store of one key; counts what it is asked."""
+
+    def __init__(self):
+        self.value, self.timers, self.asked = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.asked += 1
+        return self.value
+
+    def update(self, value):
+        self.asked, self.value = self.asked + 1, value
+
+    def clear(self):
+        self.asked, self.value = self.asked + 1, None
+
+    def registerTimer(self, at):
+        self.asked += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.asked += 1
+        self.timers.remove(at)
+
+
+NAMES = ["request", "ttft_s", "latency_s", "output_tokens", "tail_s", "closed_by"]
+
+
+def replayed(processor, batches, key):
+    """Rows of a processor over (watermark, chunks) batches, timers after rows, and the most questions of one call."""
+    from unittest.mock import MagicMock
+
+    import pandas as pd
+
+    held, rows, most = {}, [], 0
+    for now, chunks in batches:
+        clock = MagicMock()
+        clock.getCurrentWatermarkInMs.return_value = now
+        frame = pd.DataFrame(chunks, columns=["request", "us", "start_us", "has_text", "done"])
+        calls = [(k, lambda p, k, part=part: p.handleInputRows((k,), iter([part[:2], part[2:]] if len(part) > 2 else [part]), clock)) for k, part in frame.groupby(frame["request"].map(key))]
+        for timers in (False, True):
+            if timers:
+                calls = [(k, lambda p, k, at=at: p.handleExpiredTimer((k,), clock, at)) for k, s in held.items() for at in sorted(s.timers) if at <= now]
+            for k, call in calls:
+                store = held.setdefault(k, Store())
+                before, due = store.asked, {t for t in store.timers if t <= now} if timers else set()
+                one = processor(3000, NAMES)
+                one.init(store)
+                for out in call(one, k):
+                    rows += [(now, *r) for r in out.itertuples(index=False, name=None)]
+                store.timers -= due
+                most = max(most, store.asked - before)
+    return sorted(rows), most
+
+
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_buckets_give_the_rows_of_single_requests(buckets):
+    import random
+
+    rng, batches, now = random.Random(buckets), [], 0
+    for _ in range(60):
+        chunks = []
+        for _ in range(rng.randrange(1, 40)):
+            at = max(0, now + rng.randrange(4000)) * 1000.0
+            chunks.append((f"r{rng.randrange(30)}", at, at - rng.randrange(5000), rng.random() < 0.8, rng.random() < 0.1))
+        batches.append((now, chunks))
+        now += rng.choice([0, 500, 1500, 4000])
+    batches.append((now + 10**6, [("end", (now + 10**6) * 1000.0, 0.0, True, False)]))
+    single, _ = replayed(streams._Requests, batches, lambda r: r)
+    together, most = replayed(streams._Buckets, batches, lambda r: int(r[1:]) % buckets if r != "end" else -1)
+    assert together == single and len(together) > 100
+    assert most <= 4  # whatever the number of requests: state, old timer, new timer, state
+
+
+def test_token_stream_keeps_the_types_of_its_keys(spark, tmp_path):
+    import datetime
+
+    schema = "r long, at timestamp, us long, text string, done boolean"
+    at = datetime.datetime(2024, 1, 2, 3, 4, 5, 678901)
+    rows = [(2**60 + 1, at, 5, "x", True), (None, at, 7, "x", True), (None, None, 9, "x", True)]
+    source = files_of(spark, tmp_path / "in", [rows], schema)
+    chunks = source.select("r", "at", "text", "done", F.timestamp_micros("us").alias("chunk_ts"), F.timestamp_micros(F.lit(0)).alias("request_start"))
+    for buckets in (2, None):
+        out = streams.replay(spark, streams.stream_token_latency(chunks, ["r", "at"], buckets=buckets), f"typed-{buckets}")
+        assert {(r["r"], r["at"], r["ttft_s"]) for r in out.collect()} == {(r, t, us / 1e6) for r, t, us, *_ in rows}
