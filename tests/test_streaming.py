@@ -238,7 +238,8 @@ def test_token_stream_keeps_the_types_of_its_keys(spark, tmp_path):
     schema = "r long, at timestamp, us long, text string, done boolean"
     at = datetime.datetime(2024, 1, 2, 3, 4, 5, 678901)
     rows = [(2**60 + 1, at, 5, "x", True), (None, at, 7, "x", True), (None, None, 9, "x", True)]
-    source = files_of(spark, tmp_path / "in", [rows], schema)
+    untimed = [(7, at, None, "x", True), (None, None, None, "x", False)]
+    source = files_of(spark, tmp_path / "in", [rows + untimed], schema)
     chunks = source.select("r", "at", "text", "done", F.timestamp_micros("us").alias("chunk_ts"), F.timestamp_micros(F.lit(0)).alias("request_start"))
     for buckets in (2, None):
         out = streams.replay(spark, streams.stream_token_latency(chunks, ["r", "at"], buckets=buckets), f"typed-{buckets}")
